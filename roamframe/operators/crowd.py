@@ -1,0 +1,80 @@
+"""Exact nearest neighbours for steps that hold too many objects for one array.
+
+Cells shrink by a factor of four per level, from the search radius down to the millimetre grid of
+the rounded positions.  A point looks in the 27 cells around it, finest level first, and leaves the
+search as soon as ``k`` others lie within one cell side: nothing outside those cells can be nearer.
+A point still open at a level has fewer than ``k`` others within a quarter of its side, so a cell
+holds a bounded number of open points however many points it holds, and work grows with the number
+of points, not with its square.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from roamframe.functions.geometry import norm
+from roamframe.storage import cut
+
+_CELL = ["__cx", "__cy", "__cz"]
+_GRID = 0.001
+
+
+def _sides(radius: float) -> list[float]:
+    sides = [radius]
+    while sides[-1] >= _GRID:
+        sides.append(sides[-1] / 4)
+    return sides[::-1]
+
+
+def nearest_in_crowd(
+    points: DataFrame, keys: Sequence[str], k: int, radius: float
+) -> DataFrame:
+    """Up to ``k`` nearest others within ``radius`` per point, ties by ``det_ord``.
+
+    ``points``: keys, object_id, det_ord, local_x, local_y, local_z.  Returns keys, the source point
+    (s_ columns), the neighbour (n_ columns), ``dist`` and ``rank``.
+    """
+    keys = list(keys)
+    axes = ["local_x", "local_y", "local_z"]
+    cols = ["object_id", "det_ord", *axes]
+    # Of points at one place only the first k + 1 can be anybody's neighbour.
+    place = Window.partitionBy(*keys, *axes).orderBy("det_ord")
+    candidates = cut(
+        points.withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= k + 1)
+    ).select(*keys, *[F.col(c).alias(f"n_{c}") for c in cols])
+    open_points = points.select(*keys, *[F.col(c).alias(f"s_{c}") for c in cols])
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    results: list[DataFrame] = []
+    for side in _sides(radius):
+        width = side * (1 + 1e-9)
+        near = open_points
+        for cell, axis in zip(_CELL, axes):
+            own = F.floor(F.col(f"s_{axis}") / width)
+            near = near.withColumn(
+                cell, F.explode(F.transform(around, lambda d, own=own: own + d))
+            )
+        there = candidates.withColumns(
+            {c: F.floor(F.col(f"n_{a}") / width) for c, a in zip(_CELL, axes)}
+        )
+        pairs = (
+            near.join(there, [*keys, *_CELL])
+            .where(F.col("s_object_id") != F.col("n_object_id"))
+            .withColumn("dist", norm(*[F.col(f"n_{a}") - F.col(f"s_{a}") for a in axes]))
+            .where(F.col("dist") <= side)
+            .drop(*_CELL)
+        )
+        order = Window.partitionBy(*keys, "s_object_id").orderBy("dist", "n_det_ord")
+        found = cut(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        if side == radius:
+            results.append(found)
+            break
+        done = found.where(F.col("rank") == k).select(*keys, "s_object_id")
+        results.append(found.join(done, [*keys, "s_object_id"], "left_semi"))
+        open_points = cut(open_points.join(done, [*keys, "s_object_id"], "left_anti"))
+    out = results[0]
+    for more in results[1:]:
+        out = out.unionByName(more)
+    return out
