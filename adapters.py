@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from roamframe.operators.aggregates import displaced_ids
 from roamframe.ordered import row_number, with_ordered
+from roamframe.plans.facts import plan_all
 from roamframe.plans.tables import EpisodeTables, derive
 from roamframe.storage import saved
 
@@ -254,3 +255,14 @@ def derived(spark: SparkSession, sf_dir: str) -> EpisodeTables:
 
 def displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return displaced_ids(base(spark, sf_dir).events)
+
+
+_facts: dict[tuple[str, str], DataFrame] = {}
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All planned facts, stored like the other tables before items are worded."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _facts:
+        _facts[key] = saved(plan_all(derived(spark, sf_dir)), "facts")
+    return _facts[key]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roamframe.storage import cut
+from roamframe.storage import saved
 
 
 def adjacency(connectivity: DataFrame) -> DataFrame:
@@ -41,16 +41,15 @@ def adjacency(connectivity: DataFrame) -> DataFrame:
     )
 
 
-def region_path_bfs(
-    connectivity: DataFrame, pairs: DataFrame, max_hops: int | None = None
+def region_paths_from(
+    connectivity: DataFrame, starts: DataFrame, max_hops: int | None = None
 ) -> DataFrame:
-    """Shortest path and its passages per (scene_id, start, goal); pairs without one are absent.
+    """Shortest path and its passages from each (scene_id, start) to every region it reaches.
 
     All starts of all scenes advance together, one join per hop.  Among shortest paths the one with
     the smallest hop ordinals is kept, which is the one a first-in-first-out search finds.
     """
-    hops = cut(adjacency(connectivity))
-    starts = pairs.select("scene_id", "start").distinct()
+    hops = saved(adjacency(connectivity), "hops")
     level = starts.select(
         "scene_id",
         "start",
@@ -59,7 +58,7 @@ def region_path_bfs(
         F.array("start").alias("path_regions"),
         F.array().cast("array<string>").alias("passages"),
     )
-    reached = level = cut(level)
+    reached = level = saved(level, "level")
     depth = 0
     while max_hops is None or depth < max_hops:
         wider = (
@@ -77,10 +76,19 @@ def region_path_bfs(
             .agg(F.min(F.struct("hops", "path_regions", "passages")).alias("best"))
             .select("scene_id", "start", "node", "best.*")
         )
-        level = cut(wider)
+        level = saved(wider, "level")
         if level.isEmpty():
             break
         reached = reached.unionByName(level)
         depth += 1
-    found = reached.withColumnRenamed("node", "goal").drop("hops")
-    return pairs.join(found, ["scene_id", "start", "goal"])
+    return reached.withColumnRenamed("node", "goal").drop("hops")
+
+
+def region_path_bfs(
+    connectivity: DataFrame, pairs: DataFrame, max_hops: int | None = None
+) -> DataFrame:
+    """Shortest path per wanted (scene_id, start, goal); pairs without one are absent."""
+    starts = pairs.select("scene_id", "start").distinct()
+    return pairs.join(
+        region_paths_from(connectivity, starts, max_hops), ["scene_id", "start", "goal"]
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamframe.functions import geometry as G
@@ -130,20 +130,12 @@ def region_segments(change_points: DataFrame) -> DataFrame:
 
 
 def segment_turns(segments: DataFrame, turns: DataFrame) -> DataFrame:
-    """Turns with ``t0 <= step < t1``.  Segments do not overlap, so this is an as-of read."""
-    bounds = segments.select("episode_id", F.col("t0").alias("timestep"), "seg", "t1")
-    found = asof(bounds, turns, ["episode_id"], "timestep", "step")
-    return found.where(F.col("step") < F.col("t1")).select("episode_id", "seg", *[
-        c for c in turns.columns if c != "episode_id"
-    ])
-
-
-def plannable(segments: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Segments with turns, long ones only if they have few."""
-    counts = assigned.groupBy("episode_id", "seg").agg(F.count(F.lit(1)).alias("n_turns"))
-    return segments.join(counts, ["episode_id", "seg"]).where(
-        (F.col("t1") - F.col("t0") <= LONG_SEGMENT) | (F.col("n_turns") <= MANY_TURNS)
-    )
+    """Turns with ``t0 <= step < t1`` and their segment.
+
+    Segments do not overlap, so this is an as-of read.
+    """
+    found = asof(segments, turns, ["episode_id"], "t0", "step", unique=True)
+    return found.where(F.col("step") < F.col("t1"))
 
 
 def run_lengths(turns: Column) -> Column:
@@ -175,21 +167,33 @@ def run_lengths(turns: Column) -> Column:
 
 
 def action_runs(segment_turns: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Run-length text of each segment's turns; long lists are cut with an ellipsis.
+    """Run-length text of each plannable segment's turns; long lists end in an ellipsis.
 
-    Callers pass plannable segments only, whose turns are at most ``LONG_SEGMENT``.
+    A segment is skipped if it is long and has many turns.  One turn more than a plannable segment
+    can have tells which ones to skip, so no longer list is gathered.
     """
+    bounds = ["t0", "t1", "source", "goal", "source_region_id", "goal_region_id"]
     merges = F.col("merges") if "merges" in segment_turns.columns else F.lit(True)
+    place = Window.partitionBy("episode_id", "seg").orderBy("step")
     turn = F.struct(
         "step", "action", F.col("degrees").cast("double").alias("degrees"), merges.alias("merges")
     )
-    runs = segment_turns.groupBy("episode_id", "seg").agg(
-        run_lengths(F.sort_array(F.collect_list(turn))).alias("runs")
+    gathered = (
+        segment_turns.withColumn("__n", F.row_number().over(place))
+        .where(F.col("__n") <= LONG_SEGMENT + 1)
+        .groupBy("episode_id", "seg", *bounds)
+        .agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+        .where((F.col("t1") - F.col("t0") <= LONG_SEGMENT) | (F.size("turns") <= MANY_TURNS))
+    )
+    labels = F.transform(
+        run_lengths(F.col("turns")), lambda r: action_label(r["action"], r["degrees"], r["n"])
     )
-    labels = F.transform("runs", lambda r: action_label(r["action"], r["degrees"], r["n"]))
-    cut_short = F.concat(F.slice(labels, 1, max_tokens - 1), F.array(F.lit("…")))
-    return runs.select(
+    cut_short = F.concat(F.slice("labels", 1, max_tokens - 1), F.array(F.lit("…")))
+    return gathered.withColumn("labels", labels).select(
         "episode_id",
         "seg",
-        F.when(F.size(labels) > max_tokens, cut_short).otherwise(labels).alias("turn_labels"),
+        *bounds,
+        F.when(F.size("labels") > max_tokens, cut_short).otherwise(F.col("labels")).alias(
+            "turn_labels"
+        ),
     )

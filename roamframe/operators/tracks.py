@@ -175,43 +175,62 @@ def change_points_eps(
 
 
 def asof(
-    rows: DataFrame, queries: DataFrame, keys: Sequence[str], row_time: str, query_time: str
+    rows: DataFrame,
+    queries: DataFrame,
+    keys: Sequence[str],
+    row_time: str,
+    query_time: str,
+    unique: bool = False,
 ) -> DataFrame:
     """Latest row at or before each query, null columns before the first.
 
-    Rows and distinct query points are merged and carried forward in order, so nothing depends on
-    how many rows or queries one key has.
+    Rows and queries are merged and carried forward in order, so nothing depends on how many of
+    them one key has.  Queries may ask for one point many times; ``unique`` says they do not, which
+    saves reducing them to points and joining back.
     """
     keys = list(keys)
     values = [c for c in rows.columns if c not in keys]
-    points = queries.select(*keys, F.col(query_time).alias("__t")).distinct()
     have = rows.select(
         *keys, F.col(row_time).alias("__t"), F.lit(0).alias("__q"), F.struct(*values).alias("__v")
     )
-    ask = points.select(
-        *keys, "__t", F.lit(1).alias("__q"), F.lit(None).cast(have.schema["__v"].dataType).alias("__v")
+    ask = queries.select(*keys, F.col(query_time).alias("__t"))
+    ask = (
+        queries.select(*keys, F.col(query_time).alias("__t"), F.struct("*").alias("__row"))
+        if unique
+        else ask.distinct()
+    )
+    ask = ask.withColumns(
+        {"__q": F.lit(1), "__v": F.lit(None).cast(have.schema["__v"].dataType)}
     )
+    merged = have.unionByName(ask, allowMissingColumns=True)
     found = with_ordered(
-        have.unionByName(ask), keys, ["__t", "__q"], step_block("__t"), {"__hit": last_value("__v")}
+        merged, keys, ["__t", "__q"], step_block("__t"), {"__hit": last_value("__v")}
     ).where(F.col("__q") == 1)
-    hits = found.select(*keys, F.col("__t").alias(query_time), F.col("__hit"))
-    taken = {*keys, query_time}
-    return queries.join(hits, [*keys, query_time]).select(
+    if unique:
+        answered = found.select("__row.*", "__hit")
+    else:
+        hits = found.select(*keys, F.col("__t").alias(query_time), "__hit")
+        answered = queries.join(hits, [*keys, query_time])
+    taken = {*queries.columns}
+    return answered.select(
         *queries.columns,
         *[F.col(f"__hit.{v}").alias(v if v not in taken else f"at_{v}") for v in values],
     )
 
 
-def asof_state(track: DataFrame, queries: DataFrame) -> DataFrame:
+def asof_state(track: DataFrame, queries: DataFrame, unique: bool = False) -> DataFrame:
     """State of an object at a step: latest track entry with ``at_step <= step``."""
-    return asof(track, queries, ["episode_id", "object_id"], "step", "step")
+    return asof(track, queries, ["episode_id", "object_id"], "step", "step", unique)
 
 
 def asof_series(
-    rows: DataFrame, queries: DataFrame, keys: Sequence[str] = ("episode_id",)
+    rows: DataFrame,
+    queries: DataFrame,
+    keys: Sequence[str] = ("episode_id",),
+    unique: bool = False,
 ) -> DataFrame:
     """The same on ``timestep`` rows (regions, passages)."""
-    return asof(rows, queries, list(keys), "timestep", "step")
+    return asof(rows, queries, list(keys), "timestep", "step", unique)
 
 
 def first_category(states: DataFrame, objects: DataFrame, ord_col: str = "step") -> DataFrame:
