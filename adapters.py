@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roamframe.operators.aggregates import displaced_ids
+from roamframe.operators.tracks import object_state_track
 from roamframe.ordered import row_number, with_ordered
 from roamframe.plans.facts import plan_all
 from roamframe.plans.tables import EpisodeTables, derive
@@ -266,3 +267,15 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _facts:
         _facts[key] = saved(plan_all(derived(spark, sf_dir)), "facts")
     return _facts[key]
+
+
+_tracks: dict[tuple[str, str], DataFrame] = {}
+
+
+def track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse state track of displaced objects."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tracks:
+        t = base(spark, sf_dir)
+        _tracks[key] = saved(object_state_track(t.states, t.objects), "track")
+    return _tracks[key]

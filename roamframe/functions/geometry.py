@@ -170,4 +170,4 @@ def bbox_center_pixel(bbox: Column) -> Column:
 
 def bbox_min_corner(corners: Column) -> Column:
     """Per-axis minimum over an array of corner points."""
-    return xyz(*[F.array_min(F.transform(corners, lambda p, a=a: p[a])) for a in "xyz"])
+    return xyz(*[F.array_min(corners[a]) for a in "xyz"])

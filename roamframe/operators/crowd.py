@@ -46,16 +46,13 @@ def nearest_in_crowd(
         points.withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= k + 1)
     ).select(*keys, *[F.col(c).alias(f"n_{c}") for c in cols])
     open_points = points.select(*keys, *[F.col(c).alias(f"s_{c}") for c in cols])
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     results: list[DataFrame] = []
     for side in _sides(radius):
         width = side * (1 + 1e-9)
         near = open_points
         for cell, axis in zip(_CELL, axes):
             own = F.floor(F.col(f"s_{axis}") / width)
-            near = near.withColumn(
-                cell, F.explode(F.transform(around, lambda d, own=own: own + d))
-            )
+            near = near.withColumn(cell, F.explode(F.array(own - 1, own, own + 1)))
         there = candidates.withColumns(
             {c: F.floor(F.col(f"n_{a}") / width) for c, a in zip(_CELL, axes)}
         )
