@@ -64,11 +64,11 @@ def marker_table(
         ).alias("relation"),
     )
     sizes = visible.groupBy(*STEP).agg(F.count(F.lit(1)).alias("n_visible"))
-    color = marker_color(F.col("number") - 1)
+    # Coloured before the joins, so that the colour is worked out once per marker.
     return (
-        numbered.join(relations, [*STEP, "object_id"], "left")
+        numbered.withColumn("color", marker_color(F.col("number") - 1))
+        .join(relations, [*STEP, "object_id"], "left")
         .join(sizes, STEP)
-        .withColumn("color", color)
         .select(
             *STEP,
             "number",

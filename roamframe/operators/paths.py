@@ -41,47 +41,75 @@ def adjacency(connectivity: DataFrame) -> DataFrame:
     )
 
 
+# Hops walked per job: a job costs more than a hop over room graphs.
+HOPS_PER_JOB = 4
+
+
 def region_paths_from(
     connectivity: DataFrame, starts: DataFrame, max_hops: int | None = None
 ) -> DataFrame:
     """Shortest path and its passages from each (scene_id, start) to every region it reaches.
 
-    All starts of all scenes advance together, one join per hop.  Among shortest paths the one with
-    the smallest hop ordinals is kept, which is the one a first-in-first-out search finds.
+    All starts of all scenes advance together.  Per number of hops only the walk with the smallest
+    hop ordinals is kept for each region; of the walks to a region the shortest stays, which is the
+    one a first-in-first-out search finds.  A job walks a few hops and then drops regions reached
+    before it; the next one goes on from those it reached with its last hop.
     """
     hops = saved(adjacency(connectivity), "hops")
-    level = starts.select(
-        "scene_id",
-        "start",
-        F.col("start").alias("node"),
-        F.array().cast("array<bigint>").alias("hops"),
-        F.array("start").alias("path_regions"),
-        F.array().cast("array<string>").alias("passages"),
+    route = ["depth", "hops", "path_regions", "passages"]
+    reached = level = saved(
+        starts.select(
+            "scene_id",
+            "start",
+            F.col("start").alias("node"),
+            F.lit(0).alias("depth"),
+            F.array().cast("array<bigint>").alias("hops"),
+            F.array("start").alias("path_regions"),
+            F.array().cast("array<string>").alias("passages"),
+        ),
+        "level",
     )
-    reached = level = saved(level, "level")
-    depth = 0
-    while max_hops is None or depth < max_hops:
-        wider = (
-            level.join(hops, ["scene_id", "node"])
-            .select(
+
+    def best(walks: DataFrame) -> DataFrame:
+        return (
+            walks.groupBy("scene_id", "start", "node")
+            .agg(F.min(F.struct(*route)).alias("best"))
+            .select("scene_id", "start", "node", "best.*")
+        )
+
+    def wider(walks: DataFrame) -> DataFrame:
+        return best(
+            walks.join(hops.withColumnRenamed("hop", "__hop"), ["scene_id", "node"]).select(
                 "scene_id",
                 "start",
                 F.col("next").alias("node"),
-                F.concat("hops", F.array("hop")).alias("hops"),
+                (F.col("depth") + 1).alias("depth"),
+                F.concat("hops", F.array("__hop")).alias("hops"),
                 F.concat("path_regions", F.array("next")).alias("path_regions"),
                 F.concat("passages", F.array("passage")).alias("passages"),
             )
-            .join(reached.select("scene_id", "start", "node"), ["scene_id", "start", "node"], "left_anti")
-            .groupBy("scene_id", "start", "node")
-            .agg(F.min(F.struct("hops", "path_regions", "passages")).alias("best"))
-            .select("scene_id", "start", "node", "best.*")
         )
-        level = saved(wider, "level")
+
+    depth = 0
+    while max_hops is None or depth < max_hops:
+        ahead = HOPS_PER_JOB if max_hops is None else min(HOPS_PER_JOB, max_hops - depth)
+        step = wider(level)
+        walked = step
+        for _ in range(ahead - 1):
+            step = wider(step)
+            walked = walked.unionByName(step)
+        fresh = saved(
+            best(walked).join(
+                reached.select("scene_id", "start", "node"), ["scene_id", "start", "node"], "left_anti"
+            ),
+            "level",
+        )
+        depth += ahead
+        reached = reached.unionByName(fresh)
+        level = fresh.where(F.col("depth") == depth)
         if level.isEmpty():
             break
-        reached = reached.unionByName(level)
-        depth += 1
-    return reached.withColumnRenamed("node", "goal").drop("hops")
+    return reached.withColumnRenamed("node", "goal").drop("hops", "depth")
 
 
 def region_path_bfs(

@@ -212,15 +212,15 @@ def draft_items(
             "frame_of_reference": _fixed(F.col("construct"), 2),
         }
     )
-    ready = facts.where(answerable(facts))
-    if "verbose" in styles:
-        ready = question_context(ready, t, params)
     choice = options_rotate(
         F.col("answer_label"), F.col("options_pool"), F.col("distractor_seeds")
     )
-    ready = ready.withColumns({"__choice": choice, "__core": question_text(params)}).withColumn(
-        "options", options_map(F.col("__choice.ordered"))
+    ready = facts.where(answerable(facts)).withColumns(
+        {"__choice": choice, "__core": question_text(params)}
     )
+    if "verbose" in styles:
+        ready = question_context(ready, t, params)
+    ready = ready.withColumn("options", options_map(F.col("__choice.ordered")))
     ids = [
         item_id(
             F.col("tag"),
