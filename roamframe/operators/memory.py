@@ -29,36 +29,24 @@ def memory_spans(steps: DataFrame, visible: DataFrame, states: DataFrame) -> Dat
     """Spans [from_step, next_step) of constant memory per object, from its first sighting on."""
     what = F.struct(*[f"pos_{a}" for a in "xyz"], "in_camera_fov", "parent_receptacle")
     sightings = visible.select(
-        *OBJECT, "step", F.lit(True).alias("seen"), "det_ord", "category", what.alias("what")
-    )
-    updates = states.join(steps.select(*STEP), STEP, "left_semi").select(
         *OBJECT,
         "step",
-        F.lit(False).alias("seen"),
-        F.lit(None).cast(dict(visible.dtypes)["det_ord"]).alias("det_ord"),
-        F.lit(None).cast("string").alias("category"),
         what.alias("what"),
+        F.struct("step", "category").alias("sight"),
+        F.struct("step", "det_ord").alias("opened"),
     )
-    # A sighting already shows the state of its step, so it wins over the bare update.
-    marks = (
-        sightings.unionByName(updates)
-        .groupBy(*OBJECT, "step")
-        .agg(
-            F.max("seen").alias("seen"),
-            F.max_by(F.struct("det_ord", "category", "what"), "seen").alias("row"),
-        )
+    # A sighting already shows the state of its step; what is left are updates while unseen.
+    unseen = (
+        states.join(steps.select(*STEP), STEP, "left_semi")
+        .join(visible.select(*STEP, "object_id"), [*STEP, "object_id"], "left_anti")
         .select(
             *OBJECT,
             "step",
-            F.when(F.col("seen"), F.struct("step", F.col("row.category").alias("category"))).alias(
-                "sight"
-            ),
-            F.when(F.col("seen"), F.struct("step", F.col("row.det_ord").alias("det_ord"))).alias(
-                "opened"
-            ),
-            F.col("row.what").alias("what"),
+            what.alias("what"),
+            *[F.lit(None).cast(sightings.schema[c].dataType).alias(c) for c in ("sight", "opened")],
         )
     )
+    marks = sightings.unionByName(unseen)
     spans = with_ordered(
         marks,
         OBJECT,

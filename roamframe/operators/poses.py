@@ -77,11 +77,12 @@ def resolve_pose(detections: DataFrame, states: DataFrame, objects: DataFrame) -
 
 
 def unique_detections(detections: DataFrame) -> DataFrame:
-    """One row per (step, object): first place in the order, last box."""
-    return (
-        detections.groupBy(*STEP, "object_id")
-        .agg(F.min("det_ord").alias("det_ord"), F.max_by(F.struct(*BOX), "det_ord").alias("__box"))
-        .select(*STEP, "object_id", "det_ord", *[F.col("__box")[b].alias(b) for b in BOX])
+    """One row per (step, object): first place in the order, last box.
+
+    Side by side, the numbers fit a hash aggregate; a struct of them would be sorted.
+    """
+    return detections.groupBy(*STEP, "object_id").agg(
+        F.min("det_ord").alias("det_ord"), *[F.max_by(b, "det_ord").alias(b) for b in BOX]
     )
 
 

@@ -102,7 +102,7 @@ def _carry(op: Op, name: str, keys: Sequence[str]) -> Column:
     if op.kind == "previous":
         return F.lag(name).over(up)
     if op.kind == "following":
-        return F.lag(name).over(down)
+        return F.lead(name).over(up)
     return F.last(name, ignorenulls=True).over(
         down.rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -127,7 +127,7 @@ def _within(op: Op, carry: str, keys: Sequence[str], order: Sequence[str]) -> Co
     if op.kind == "previous":
         return F.coalesce(F.lag(wrapped).over(up), c)["v"]
     if op.kind == "following":
-        return F.coalesce(F.lag(wrapped).over(down), c)["v"]
+        return F.coalesce(F.lead(wrapped).over(up), c)["v"]
     after = down.rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.last(op.col, ignorenulls=True).over(after), c)
 

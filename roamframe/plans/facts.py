@@ -158,7 +158,11 @@ def plan_egocentric(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) ->
 
 
 def _gaps(t: EpisodeTables, params: Params) -> DataFrame:
-    """Sightings of never-displaced objects and the positions until the object is seen again."""
+    """Sightings of never-displaced objects, each with the position of the next one.
+
+    Without a next sighting the gap is open; positions past the end of the episode sort after all
+    others and fall away when the step is looked up, so the end itself is not needed here.
+    """
     sightings = exclude_displaced(t.visible, displaced_ids(t.events)).select(
         *OBJECT,
         "step",
@@ -176,14 +180,7 @@ def _gaps(t: EpisodeTables, params: Params) -> DataFrame:
         step_block("step"),
         {"next_pos": following("pos"), "mem": first_value("sight")},
     )
-    ends = t.steps.groupBy("episode_id").agg(F.max("pos").alias("last_pos"))
-    return (
-        numbered.join(ends, "episode_id")
-        .withColumn("to_pos", F.coalesce(F.col("next_pos") - 1, F.col("last_pos")))
-        .where(F.col("to_pos") > F.col("pos"))
-        .drop("sight")
-        .withColumnRenamed("step", "last_seen")
-    )
+    return numbered.drop("sight").withColumnRenamed("step", "last_seen")
 
 
 def _walk(gaps: DataFrame, lo: Column, hi: Column) -> DataFrame:
@@ -221,7 +218,7 @@ def plan_working_memory(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS)
     ``n`` facts of the episode; the step x object grid is not built.
     """
     gaps = _gaps(t, params).where(F.col("seen_label").isNotNull())
-    rows = _walk(gaps, F.col("pos") + 1, F.least("to_pos", F.col("pos") + n))
+    rows = _walk(gaps, F.col("pos") + 1, F.least(F.col("next_pos") - 1, F.col("pos") + n))
     picked = top_n_facts(rows, n, ["query_pos", "mem"]).withColumnRenamed("seen_label", "label")
     here = t.steps.select(
         "episode_id", F.col("pos").alias("query_pos"), "step", F.col("image_path").alias("image")
@@ -268,17 +265,18 @@ def plan_spatial_updating(t: EpisodeTables, n: int = 3, params: Params = DEFAULT
         .withColumn("step", F.col("last_seen"))
         .join(moves, STEP)
         .drop("step")
-        .where(F.col("next_move") <= F.col("to_pos"))
+        .where(F.col("next_move").isNotNull())
     )
-    lo, hi = F.col("next_move"), F.col("to_pos")
+    lo, hi = F.col("next_move"), F.col("next_pos") - 1
     first = top_n_facts(_walk(gaps, lo, F.least(hi, lo + n - 1)), n, ["query_pos", "mem"])
     # At most n rows per episode are stored here, and read again only if some are unclear.
     picked = cut(_bearing_now(first, t.steps, params))
     unclear = picked.where(F.col("label").isNull()).select("episode_id").distinct()
     if not unclear.isEmpty():
-        full = _bearing_now(
-            _walk(gaps.join(unclear, "episode_id", "left_semi"), lo, hi), t.steps, params
-        ).where(F.col("label").isNotNull())
+        ends = t.steps.groupBy("episode_id").agg(F.max("pos").alias("end"))
+        whole = gaps.join(ends.join(unclear, "episode_id", "left_semi"), "episode_id")
+        whole = _walk(whole, lo, F.coalesce(hi, F.col("end"))).drop("end")
+        full = _bearing_now(whole, t.steps, params).where(F.col("label").isNotNull())
         full = top_n_facts(full, n, ["query_pos", "mem"])
         picked = picked.join(unclear, "episode_id", "left_anti").unionByName(full)
     earlier = F.when(F.col("seen_label") != F.col("label"), F.array("seen_label")).otherwise(
