@@ -78,23 +78,28 @@ def _finite(c: Column) -> Column:
     return d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
 
 
-def valid_bbox_detect(cmin: Column, rmin: Column, cmax: Column, rmax: Column) -> Column:
-    """Box of whole pixels (halves to even), null if any side is missing or not finite."""
+def _pixel(c: Column) -> Column:
+    return F.rint(c.cast("double"))
+
+
+def _bbox(ok: Column, sides: tuple[Column, ...]) -> Column:
     names = ("cmin", "rmin", "cmax", "rmax")
-    sides = (cmin, rmin, cmax, rmax)
-    ok = _finite(cmin) & _finite(rmin) & _finite(cmax) & _finite(rmax)
     return F.when(
-        ok,
-        F.struct(
-            *[F.rint(s.cast("double")).cast("int").alias(n) for n, s in zip(names, sides)]
-        ),
+        ok, F.struct(*[_pixel(s).cast("int").alias(n) for n, s in zip(names, sides)])
     )
 
 
+def valid_bbox_detect(cmin: Column, rmin: Column, cmax: Column, rmax: Column) -> Column:
+    """Box of whole pixels (halves to even), null if any side is missing or not finite."""
+    ok = _finite(cmin) & _finite(rmin) & _finite(cmax) & _finite(rmax)
+    return _bbox(ok, (cmin, rmin, cmax, rmax))
+
+
 def valid_bbox_marker(cmin: Column, rmin: Column, cmax: Column, rmax: Column) -> Column:
     """As :func:`valid_bbox_detect`, and the box must have positive width and height."""
-    box = valid_bbox_detect(cmin, rmin, cmax, rmax)
-    return F.when((box["cmax"] > box["cmin"]) & (box["rmax"] > box["rmin"]), box)
+    ok = _finite(cmin) & _finite(rmin) & _finite(cmax) & _finite(rmax)
+    drawable = (_pixel(cmax) > _pixel(cmin)) & (_pixel(rmax) > _pixel(rmin))
+    return _bbox(ok & drawable, (cmin, rmin, cmax, rmax))
 
 
 def filter_steps(

@@ -144,9 +144,15 @@ def axis_direction_z(v: Column, threshold: float) -> Column:
     return _axis(v, threshold, "front", "behind")
 
 
-def direction_triplet(diff: Column, params: Params = DEFAULTS) -> Column:
-    """(left/right by bearing, above/below by height, front/behind by depth sign)."""
-    angle = F.degrees(F.atan2(diff["x"], diff["z"]))
+def direction_triplet(
+    diff: Column, params: Params = DEFAULTS, angle: Column | None = None
+) -> Column:
+    """(left/right by bearing, above/below by height, front/behind by depth sign).
+
+    ``angle`` is the bearing in degrees where a column holds it already.
+    """
+    if angle is None:
+        angle = F.degrees(F.atan2(diff["x"], diff["z"]))
     return F.struct(
         x_direction_angle(angle, params.angle_threshold).alias("x"),
         axis_direction_y(diff["y"], params.vertical_threshold).alias("y"),

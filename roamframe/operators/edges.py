@@ -15,52 +15,54 @@ EDGE_TYPES = ["egocentric", "allocentric", "object_frame", "inferred"]
 CROWDED_STEP = 512
 
 
-def _edge_columns(
+def _edges(
+    df: DataFrame,
     edge_type: str,
-    major: Column,
-    minor: Column,
-    source: Column,
-    target: Column,
+    order: tuple[Column, Column],
+    ends: tuple[Column, Column],
     diff: Column,
-    dist: Column,
     last_seen: Column,
     params: Params,
-) -> list[Column]:
+) -> DataFrame:
+    """Edge rows along the offset ``diff``; distance and bearing are worked out once per row."""
     seen_now = edge_type != "inferred"
-    relation = G.direction_triplet(diff, params)
-    return [
+    offset = {f"__d{a}": diff[a] for a in "xyz"}
+    d = G.xyz(*[F.col(c) for c in offset])
+    measured = df.withColumns(offset).withColumns(
+        {
+            "distance": G.norm(*[F.col(c) for c in offset]),
+            "__angle": F.degrees(F.atan2("__dx", "__dz")),
+        }
+    )
+    relation = G.direction_triplet(d, params, F.col("__angle"))
+    return measured.select(
+        *STEP,
         F.lit(edge_type).alias("edge_type"),
-        major.cast("bigint").alias("ord_major"),
-        minor.cast("bigint").alias("ord_minor"),
-        source.alias("source"),
-        target.alias("target"),
-        G.round_exact(dist, 2).alias("distance_metric"),
-        G.distance_label(dist, params).alias("distance_label"),
+        order[0].cast("bigint").alias("ord_major"),
+        order[1].cast("bigint").alias("ord_minor"),
+        ends[0].alias("source"),
+        ends[1].alias("target"),
+        G.round_exact(F.col("distance"), 2).alias("distance_metric"),
+        G.distance_label(F.col("distance"), params).alias("distance_label"),
         F.lit(seen_now).alias("visible"),
         relation["x"].alias("angle_x"),
         relation["y"].alias("angle_y"),
         relation["z"].alias("angle_z"),
         F.lit(not seen_now).alias("inferred"),
         last_seen.cast("int").alias("last_seen"),
-        dist.alias("distance"),
-    ]
+        "distance",
+    )
 
 
 def _from_agent(df: DataFrame, edge_type: str, major: str, minor: Column, last_seen: Column, params):
-    diff = point("local")
-    return df.select(
-        *STEP,
-        *_edge_columns(
-            edge_type,
-            F.col(major),
-            minor,
-            F.lit("agent"),
-            F.col("object_id"),
-            diff,
-            G.norm(diff["x"], diff["y"], diff["z"]),
-            last_seen,
-            params,
-        ),
+    return _edges(
+        df,
+        edge_type,
+        (F.col(major), minor),
+        (F.lit("agent"), F.col("object_id")),
+        point("local"),
+        last_seen,
+        params,
     )
 
 
@@ -131,20 +133,14 @@ def edges_allocentric(
             slim.join(crowded, STEP, "left_semi"), STEP, params.k_neighbors, params.radius
         )
         pairs = few.unionByName(many)
-    diff = G.xyz(*[F.col(f"n_{a}") - F.col(f"s_{a}") for a in axes])
-    return pairs.select(
-        *STEP,
-        *_edge_columns(
-            "allocentric",
-            F.col("s_det_ord"),
-            F.col("rank"),
-            F.col("s_object_id"),
-            F.col("n_object_id"),
-            diff,
-            F.col("dist"),
-            F.lit(None),
-            params,
-        ),
+    return _edges(
+        pairs,
+        "allocentric",
+        (F.col("s_det_ord"), F.col("rank")),
+        (F.col("s_object_id"), F.col("n_object_id")),
+        G.xyz(*[F.col(f"n_{a}") - F.col(f"s_{a}") for a in axes]),
+        F.lit(None),
+        params,
     )
 
 

@@ -29,18 +29,19 @@ def marker_numbers(visible: DataFrame) -> DataFrame:
 
     The place is the box centre, else the projected point.
     """
-    box = valid_bbox_marker(*[F.col(b) for b in BOX])
-    centre = bbox_center_pixel(box)
-    place = F.when(
-        box.isNotNull(), F.struct(centre["x"].alias("x"), centre["y"].alias("y"))
-    ).when(
-        F.col("px_u").isNotNull() & F.col("px_v").isNotNull(),
-        F.struct(
-            F.rint("px_u").cast("int").alias("x"), F.rint("px_v").cast("int").alias("y")
-        ),
+    # Each value gets its own column, so that none is worked out again inside the next.
+    boxed = visible.withColumn("__box", valid_bbox_marker(*[F.col(b) for b in BOX]))
+    boxed = boxed.withColumn("__centre", bbox_center_pixel(F.col("__box")))
+    placed = (
+        boxed.withColumns(
+            {
+                a: F.coalesce(F.col(f"__centre.{a}"), F.rint(f"px_{c}").cast("int"))
+                for a, c in (("x", "u"), ("y", "v"))
+            }
+        )
+        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .drop("__box", "__centre")
     )
-    placed = visible.withColumn("__xy", place).where(F.col("__xy").isNotNull())
-    placed = placed.withColumns({"x": F.col("__xy.x"), "y": F.col("__xy.y")}).drop("__xy")
     return with_ordered(
         placed, STEP, ["det_ord"], step_block("det_ord"), {"number": row_number()}
     )
