@@ -34,10 +34,10 @@ from roamframe.operators.routes import (
     route_turns,
     segment_turns,
 )
-from roamframe.ordered import first_value, following, step_block, with_ordered
+from roamframe.ordered import first_value, following, row_number, step_block, with_ordered
 from roamframe.params import DEFAULTS, Params
 from roamframe.plans.tables import EpisodeTables
-from roamframe.storage import cut
+from roamframe.storage import cut, saved
 
 FACT_COLUMNS = {
     "episode_id": None,
@@ -589,11 +589,60 @@ def survey_visits(t: EpisodeTables) -> DataFrame:
     )
 
 
-def plan_survey(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataFrame:
-    """First link of the shortest layout path between two regions of the episode.
+# Start regions per episode tried in the first round of path searches.
+FIRST_STARTS = 4
+
+
+def _first_pairs(visits: DataFrame, connectivity: DataFrame, n: int) -> DataFrame:
+    """First ``n`` connected region pairs per episode, by the order of their visits.
 
-    Paths are searched once per scene and start region, however many episodes share the scene.
+    A round searches from the next few start regions of episodes that still lack pairs, so the pairs
+    looked at grow with the visits, not with their square.  Paths are searched once per scene and
+    start, however many episodes share them.
     """
+    numbered = saved(
+        with_ordered(
+            visits, ["episode_id"], ["visit_ord"], step_block("visit_ord"), {"i": row_number()}
+        ),
+        "visits",
+    )
+    goals = numbered.select(
+        "episode_id",
+        F.col("region_id").alias("goal"),
+        F.col("i").alias("j"),
+        F.col("first_visit").alias("visit_b"),
+    )
+    found, open_, lo, size = None, None, 1, FIRST_STARTS
+    while True:
+        tried = numbered.where(F.col("i").between(lo, lo + size - 1))
+        if open_ is not None:
+            tried = tried.join(open_, "episode_id", "left_semi")
+        tried = tried.select(
+            "episode_id",
+            "scene_id",
+            F.col("region_id").alias("start"),
+            "i",
+            F.col("first_visit").alias("visit_a"),
+        )
+        paths = region_paths_from(connectivity, tried.select("scene_id", "start").distinct())
+        pairs = (
+            tried.join(paths, ["scene_id", "start"])
+            .join(goals, ["episode_id", "goal"])
+            .where((F.col("i") < F.col("j")) & (F.size("path_regions") >= 2))
+        )
+        if found is not None:
+            pairs = pairs.unionByName(found.drop("rank"))
+        found = saved(top_n_facts(pairs, n, ["i", "j"]), "pairs")
+        lo, size = lo + size, size * 2
+        later = numbered.where(F.col("i") >= lo).select("episode_id").distinct()
+        full = found.where(F.col("rank") == n).select("episode_id")
+        open_ = later.join(full, "episode_id", "left_anti")
+        if open_.isEmpty():
+            return found
+
+
+def plan_survey(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataFrame:
+    """First link of the shortest layout path between two regions of the episode."""
     linked = t.connectivity.select("scene_id").distinct()
     mapped = (
         t.regions.groupBy("scene_id").count().where(F.col("count") >= 2).select("scene_id")
@@ -603,27 +652,7 @@ def plan_survey(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> Data
     labels = region_labels(t.regions).groupBy("scene_id", "region_id").agg(
         F.max("region_label").alias("region_label")
     )
-    starts = visits.select("scene_id", F.col("region_id").alias("start")).distinct()
-    paths = region_paths_from(t.connectivity, starts).where(F.size("path_regions") >= 2)
-    a = visits.select(
-        "episode_id",
-        "scene_id",
-        F.col("region_id").alias("start"),
-        F.col("visit_ord").alias("i"),
-        F.col("first_visit").alias("visit_a"),
-    )
-    b = visits.select(
-        "episode_id",
-        F.col("region_id").alias("goal"),
-        F.col("visit_ord").alias("j"),
-        F.col("first_visit").alias("visit_b"),
-    )
-    pairs = (
-        a.join(paths, ["scene_id", "start"])
-        .join(b, ["episode_id", "goal"])
-        .where(F.col("i") < F.col("j"))
-    )
-    picked = top_n_facts(pairs, n, ["i", "j"]).withColumns(
+    picked = _first_pairs(visits, t.connectivity, n).withColumns(
         {"hop": F.col("path_regions")[1], "passage": F.col("passages")[0]}
     )
     for col in ("start", "goal", "hop"):

@@ -16,6 +16,7 @@ from roamframe.operators.assemble import assemble_steps, sort_steps
 from roamframe.storage import cut
 
 TABLES = ("episodes", "steps", "step_objects", "edges", "route_landmarks", "route_turns")
+# Pick the number of buckets so that one of them can be rewritten in a reasonable time.
 BUCKETS = 64
 
 
@@ -76,9 +77,8 @@ def write_episodes(
             )
             # The kept rows come from the files about to be replaced, so they are set aside first.
             df = df.unionByName(cut(kept), allowMissingColumns=True)
-        # The salt keeps a bucket with a huge episode from landing in one task.
-        salt = F.pmod(F.xxhash64(*[c for c in ("step", "object_id", "target") if c in df.columns]), F.lit(8))
-        spread = df.repartition("bucket", salt) if name not in ("episodes",) else df.repartition("bucket")
+        # Rebalancing cuts a bucket that holds a huge episode into several tasks and files.
+        spread = df.hint("rebalance", F.col("bucket"))
         order = [c for c in ("episode_id", "step") if c in df.columns]
         (
             spread.sortWithinPartitions("bucket", *order)

@@ -136,6 +136,17 @@ def test_survey_paths_decoys_and_reasons(spark):
     assert [r.reason for r in cut if r.episode_id == "a"] == ["no_plannable_source_goal_pair_in_layout"]
 
 
+def test_survey_takes_further_rounds(spark, monkeypatch):
+    """With one start per round the pairs are the same."""
+    steps = route_steps("a", 9, {3: "r1", 6: "r2"}) + route_steps("one", 3, {})
+    t = tables(spark, steps, regions=ROOMS, links=[("r1", "r2", "d", True), ("r2", "r3", "e", False)])
+    want = [(r.episode_id, r.rank, r.answer_label) for r in rows(facts.plan_survey(t, 2))]
+    monkeypatch.setattr(facts, "FIRST_STARTS", 1)
+    got = [(r.episode_id, r.rank, r.answer_label) for r in rows(facts.plan_survey(t, 2))]
+    assert got == want
+    assert ("a", 1, "use d toward Bath") in got and ("one", 2, "use d toward Bath") in got
+
+
 def full(spark):
     steps = route_steps("a", 9, {3: "r1", 6: "r2"}) + [step("b", 0), step("b", 1, yaw=90)]
     det = [("a", 0, 0, "Cup|1"), ("a", 0, 1, "Mug|1"), ("a", 4, 0, "Mug|1"), ("b", 0, 0, "Cup|1")]
