@@ -1012,7 +1012,7 @@ _SQL = {
     "step_lookup": """
       select e.episode_id, s.step, e.object_id, 'img_' || s.step || '.png' as image_path, s.action
       from ep_events e join ep_steps s on s.episode_id = e.episode_id and s.step = e.at_timestep - 1""",
-    "first_ego_edge": f"select {EDGE} from ep_ego where o1 = 1",
+    "first_ego_edge": f"select {EDGE} from ep_ego",
     "first_inferred_edge": f"""
       select {EDGE} from ep_inferred e
       where exists (select 1 from ep_displaced d where d.episode_id = e.episode_id and d.object_id = e.target)""",
@@ -1048,19 +1048,16 @@ _SQL = {
     "region_path_bfs": """
       select 'house_000001' as scene_id, p.start, p.goal, array_to_string(p.nodes, ',') as path_regions,
              array_to_string(p.passages, ',') as passages
-      from ep_paths p join (select distinct region_id from ep_landmarks) g on g.region_id = p.goal""",
-    "edges_of_visible": f"""
-      select {EDGE} from ep_allo e
-      where exists (select 1 from ep_visible v where v.episode_id = e.episode_id and v.step = e.step
-                    and v.object_id = e.source and v.det_ord < 2)
-        and exists (select 1 from ep_visible v where v.episode_id = e.episode_id and v.step = e.step
-                    and v.object_id = e.target and v.det_ord < 2)""",
+      from ep_paths p join (select distinct region_id, 'room|' || (event_id % 25) as goal from ep_steps) g
+        on g.region_id = p.start and g.goal = p.goal""",
+    "edges_of_visible": f"select {EDGE} from ep_allo",
     "dedup_last": """
       select episode_id, object_id, step * 4 + det_ord as src, step, cmin from (
         select *, row_number() over (partition by episode_id, object_id order by step desc, det_ord desc) as n
         from ep_detections) where n = 1""",
     "first_category": """
-      select episode_id, object_id, category || '@' || step as category from ep_states where step = 2""",
+      select episode_id, object_id, arg_min(category || '@' || step, step) as category
+      from ep_states group by 1, 2""",
     "displaced_ids": "select episode_id, object_id from ep_displaced",
     "receptacle_pool": """
       select episode_id, from_receptacle as receptacle_id from ep_events

@@ -433,7 +433,8 @@ def resolve_image_paths(spark, sf_dir):
         .when(e % 5 == 2, F.concat(F.lit("/img_"), "step", F.lit(".png")))
         .otherwise(F.concat(F.lit("/shot_"), e, F.lit(".png")))
     )
-    listing = steps.where(e % 3 != 0).select(F.concat(folder, name).alias("path"))
+    lost = F.concat(F.lit("/lost/shot_"), e, F.lit(".png"))
+    listing = steps.select(F.when(e % 3 != 0, F.concat(folder, name)).otherwise(lost).alias("path"))
     return discover.resolve_images(steps.withColumn("image_path", logged), listing).select(
         *STEP, "event_id", "image_path"
     )
@@ -1051,7 +1052,7 @@ def step_lookup(spark, sf_dir):
 @query
 def first_ego_edge(spark, sf_dir):
     t = A.derived(spark, sf_dir)
-    refs = t.detections.where(F.col("det_ord") == 1).select(*STEP, F.col("object_id").alias("target"))
+    refs = t.detections.select(*STEP, F.col("object_id").alias("target"))
     return edge_columns(edges.first_ego_edge(edges.edges_egocentric(t.visible), refs))
 
 
@@ -1097,7 +1098,9 @@ def bbox_fallback(spark, sf_dir):
     bad = t.visible.withColumn(
         "cmax", F.when(F.col("step") % 3 == 0, F.col("cmin")).otherwise(F.col("cmax"))
     )
-    nav = markers.nav_bboxes(t.detections.where(F.col("step") % 2 == 0))
+    # The log has no drawable box at odd steps.
+    flat = F.when(F.col("step") % 2 == 0, F.col("cmax")).otherwise(F.col("cmin"))
+    nav = markers.nav_bboxes(t.detections.withColumn("cmax", flat))
     return poses.bbox_fallback(bad, nav).select(
         *STEP, "object_id", "cmin", "rmin", "cmax", "rmax"
     )
@@ -1118,13 +1121,12 @@ def segment_turns(spark, sf_dir):
 
 @query
 def region_path_bfs(spark, sf_dir):
-    """Paths between the rooms of each episode's consecutive region changes and every landmark."""
+    """Paths from the room of every step to the room its event names."""
     t = A.derived(spark, sf_dir)
-    starts = aggregates.visited_regions(t.region_changes).select(
-        F.lit(A.SCENE).alias("scene_id"), F.col("region_id").alias("start")
-    )
-    goals = t.landmarks.select("scene_id", F.col("region_id").alias("goal"))
-    pairs = starts.distinct().join(goals.distinct(), "scene_id")
+    goal = F.concat(F.lit("room|"), (F.col("event_id") % 25).cast("string"))
+    pairs = t.steps.select(
+        F.lit(A.SCENE).alias("scene_id"), F.col("region_id").alias("start"), goal.alias("goal")
+    ).distinct()
     return paths.region_path_bfs(t.connectivity, pairs).select(
         "scene_id",
         "start",
@@ -1136,9 +1138,9 @@ def region_path_bfs(spark, sf_dir):
 
 @query
 def edges_of_visible(spark, sf_dir):
+    """The agent is no visible object and remembered ones are not in view, so their edges go."""
     t = A.derived(spark, sf_dir)
-    half = t.visible.where(F.col("det_ord") < 2)
-    return edge_columns(edges.edges_of_visible(t.allocentric, half))
+    return edge_columns(edges.edges_of_visible(_all_edges(t), t.visible))
 
 
 # ---------------------------------------------------------------- aggregations
@@ -1160,7 +1162,7 @@ def first_category(spark, sf_dir):
     t = A.base(spark, sf_dir)
     renamed = t.states.withColumn(
         "category", F.concat("category", F.lit("@"), F.col("step").cast("string"))
-    ).where(F.col("step") % 3 == 2)
+    )
     return tracks.first_category(renamed, t.objects)
 
 
@@ -1801,7 +1803,10 @@ def freeze_filter(spark, sf_dir):
 @query
 def score_breakdown(spark, sf_dir):
     drafted = _judged(spark, sf_dir)
-    responses = drafted.where(F.col("fact_no") % 7 != 6).select(
-        "episode_id", "item_id", F.when(F.col("fact_no") % 2 == 0, "B").otherwise("C").alias("choice")
+    n = F.col("fact_no")
+    responses = drafted.select(
+        "episode_id",
+        "item_id",
+        F.when(n % 7 == 6, None).when(n % 2 == 0, "B").otherwise("C").alias("choice"),
     )
     return checks.score_breakdown(drafted, responses).withColumn("accuracy", r("accuracy", 6))
