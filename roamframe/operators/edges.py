@@ -12,7 +12,7 @@ from roamframe.params import DEFAULTS, Params
 
 EDGE_TYPES = ["egocentric", "allocentric", "object_frame", "inferred"]
 # A step with more objects than this leaves the in-array neighbour search.
-CROWDED_STEP = 512
+CROWDED_STEP = 128
 
 
 def _edges(

@@ -26,22 +26,28 @@ SPAN_BLOCK = 64
 
 
 def memory_spans(steps: DataFrame, visible: DataFrame, states: DataFrame) -> DataFrame:
-    """Spans [from_step, next_step) of constant memory per object, from its first sighting on."""
+    """Spans [from_step, next_step) of constant memory per object, from its first sighting on.
+
+    ``from_pos`` and ``next_pos`` are the same bounds as places in the episode; ``seen_`` is where
+    the object was in the camera frame when last seen.
+    """
     what = F.struct(*[f"pos_{a}" for a in "xyz"], "in_camera_fov", "parent_receptacle")
     sightings = visible.select(
         *OBJECT,
         "step",
+        "pos",
         what.alias("what"),
-        F.struct("step", "category").alias("sight"),
+        F.struct("step", "category", *[f"local_{a}" for a in "xyz"]).alias("sight"),
         F.struct("step", "det_ord").alias("opened"),
     )
     # A sighting already shows the state of its step; what is left are updates while unseen.
     unseen = (
-        states.join(steps.select(*STEP), STEP, "left_semi")
+        states.join(steps.select(*STEP, "pos"), STEP)
         .join(visible.select(*STEP, "object_id"), [*STEP, "object_id"], "left_anti")
         .select(
             *OBJECT,
             "step",
+            "pos",
             what.alias("what"),
             *[F.lit(None).cast(sightings.schema[c].dataType).alias(c) for c in ("sight", "opened")],
         )
@@ -56,6 +62,7 @@ def memory_spans(steps: DataFrame, visible: DataFrame, states: DataFrame) -> Dat
             "sight": last_value("sight"),
             "opened": first_value("opened"),
             "next_step": following("step"),
+            "next_pos": following("pos"),
         },
     )
     return spans.where(F.col("sight").isNotNull()).select(
@@ -66,6 +73,9 @@ def memory_spans(steps: DataFrame, visible: DataFrame, states: DataFrame) -> Dat
         F.col("opened.det_ord").alias("first_det_ord"),
         F.col("step").alias("from_step"),
         "next_step",
+        F.col("pos").alias("from_pos"),
+        "next_pos",
+        *[F.col(f"sight.local_{a}").alias(f"seen_{a}") for a in "xyz"],
         "what.*",
     )
 
@@ -87,7 +97,7 @@ def remember(spans: DataFrame, steps: DataFrame) -> DataFrame:
                 )
             ),
         )
-        .drop("__end", "next_step")
+        .drop("__end", "next_step", "from_pos", "next_pos", "seen_x", "seen_y", "seen_z")
     )
     here = steps.select(
         *STEP,

@@ -34,7 +34,7 @@ from roamframe.operators.routes import (
     route_turns,
     segment_turns,
 )
-from roamframe.ordered import first_value, following, row_number, step_block, with_ordered
+from roamframe.ordered import row_number, step_block, with_ordered
 from roamframe.params import DEFAULTS, Params
 from roamframe.plans.tables import EpisodeTables
 from roamframe.storage import cut, saved
@@ -160,27 +160,20 @@ def plan_egocentric(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) ->
 def _gaps(t: EpisodeTables, params: Params) -> DataFrame:
     """Sightings of never-displaced objects, each with the position of the next one.
 
-    Without a next sighting the gap is open; positions past the end of the episode sort after all
-    others and fall away when the step is looked up, so the end itself is not needed here.
+    Objects without state rows have one memory span per sighting.  Without a next sighting the gap
+    is open; positions past the end of the episode sort after all others and fall away when the step
+    is looked up, so the end itself is not needed here.
     """
-    sightings = exclude_displaced(t.visible, displaced_ids(t.events)).select(
+    return exclude_displaced(t.spans, displaced_ids(t.events)).select(
         *OBJECT,
-        "step",
-        "pos",
-        "det_ord",
+        "last_seen",
+        F.col("from_pos").alias("pos"),
+        "next_pos",
         "category",
         *[f"pos_{a}" for a in "xyz"],
-        _label(point("local"), params).alias("seen_label"),
-        F.struct("step", "det_ord").alias("sight"),
-    )
-    numbered = with_ordered(
-        sightings,
-        OBJECT,
-        ["step"],
-        step_block("step"),
-        {"next_pos": following("pos"), "mem": first_value("sight")},
+        _label(point("seen"), params).alias("seen_label"),
+        F.struct("first_step", "first_det_ord").alias("mem"),
     )
-    return numbered.drop("sight").withColumnRenamed("step", "last_seen")
 
 
 def _walk(gaps: DataFrame, lo: Column, hi: Column) -> DataFrame:
