@@ -11,12 +11,19 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session, whose tasks all run on this machine, gets a temporary folder;
+    any other session must name one that its executors share.
+    """
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{_SETTING} must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="roamframe-")
         spark.sparkContext.setCheckpointDir(named)
     return named
