@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roamframe.storage import new_path
+
 #: Rows of one Arrow batch: bounds what a Python worker holds when texts are long.
 BATCH_ROWS = 1000
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 2_000_000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts are long, so batches between Spark and Python hold few rows."""
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, and set how many rows a batch of texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    from pyarrow import fs
+
+    package = Path(__file__).resolve().parents[1]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    folder = new_path(spark, "package")
+    files, place = fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+    files.create_dir(place, recursive=True)
+    with files.open_output_stream(f"{place}/{package.name}.zip") as out:
+        out.write(held.getvalue())
+    spark.sparkContext.addPyFile(f"{folder}/{package.name}.zip")
+    _shipped.add(spark.sparkContext.applicationId)
 
 
 def text_or_empty(name: str) -> Column:

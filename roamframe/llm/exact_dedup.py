@@ -18,6 +18,8 @@ from roamframe.storage import cut, saved
 
 SPACE = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 4096
+#: Bytes of a block by which, with a hash of it, blocks are dealt to the sorting tasks.
+BEGINNING = 24
 
 
 def normalised(name: str):
@@ -54,8 +56,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "n",
         *[F.when(first, F.col(c)).alias(c) for c in ("_id", "sha", "n_bytes")],
         "block",
+        F.substring("block", 1, BEGINNING).alias("begins"),
+        F.xxhash64("block").alias("mark"),
     )
-    level = in_order(blocks, ["block"], ["rid", "pos"]).drop("place")
+    level = in_order(blocks, ["block"], ["rid", "pos"], short=["begins", "mark"]).drop("place")
     about = level.filter("pos = 0").select("rid", "_id", "sha", "n_bytes")
     done = [level.filter("n = 1").select("rid", F.lit(0).alias("level"), "name")]
     level = level.filter("n > 1").select("rid", "pos", "n", "name")

@@ -24,9 +24,13 @@ def _key_bytes(columns: list, row: int) -> bytes:
     return struct.pack(f">{len(values)}q", *values)
 
 
-def in_order(df: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
+def in_order(df: DataFrame, keys: list[str], ties: list[str], short: list[str] | None = None) -> DataFrame:
     """Sort all rows by ``keys`` then ``ties`` and number them.
 
+    ``short`` are columns that follow from the keys and say almost as much, for keys that are long: rows
+    are sorted and dealt by them first, so that the sample from which Spark takes the borders is small.
+    They are dropped too.
+
     Adds ``name`` (dense rank of the keys, equal for equal keys) and ``place`` (row number), both from 0
     and without a gap, and drops the key columns. Keys are one binary column or long columns, not null.
     Ties spread a hot key over several range partitions; a key that crosses a border keeps one name, as
@@ -34,7 +38,8 @@ def in_order(df: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
     so a lost executor cannot renumber what was read already.
     """
     spark = df.sparkSession
-    kept = [f for f in df.schema.fields if f.name not in keys]
+    short = short or []
+    kept = [f for f in df.schema.fields if f.name not in [*keys, *short]]
     schema = StructType(
         [StructField(f.name, f.dataType) for f in kept]
         + [
@@ -75,7 +80,7 @@ def in_order(df: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
             summary = {"_part": part, "_rank": rank + 1, "_row": row, "_first": first, "_last": last}
             yield pa.RecordBatch.from_pylist([summary], schema=arrow)
 
-    dealt = df.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys, *ties)
+    dealt = df.repartitionByRange(*(short or keys), *ties).sortWithinPartitions(*short, *keys, *ties)
     numbered = saved(dealt.mapInArrow(number, schema), "ordered")
     # One summary row per partition: as many as the shuffle has partitions, whatever the input.
     by_part = Window.orderBy("_part")

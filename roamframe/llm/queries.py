@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roamframe.llm.columns import small_batches, table
+from roamframe.llm.columns import prepare, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,28 +16,78 @@ def tokenizer_path(name: str) -> str:
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roamframe.llm.exact_dedup import exact_dedup
 
-    small_batches(spark)
+    prepare(spark)
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roamframe.llm.warc import warc_round_trip
+
+    prepare(spark)
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roamframe.llm.parity_join import parity_join
+
+    prepare(spark)
+    return parity_join(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roamframe.llm.decontaminate import contaminated
+
+    prepare(spark)
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roamframe.llm.pieces import piece_round_trip
+
+    prepare(spark)
+    return piece_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roamframe.llm.token_counts import token_counts
 
-    small_batches(spark)
+    prepare(spark)
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roamframe.llm.ring import ring_shards
 
-    small_batches(spark)
+    prepare(spark)
     return ring_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roamframe.llm.toxicity import fit, toxicity
+
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roamframe.llm.personal_data import fit, personal_data
+
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return personal_data(docs, fit(docs))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_warc": op2_warc,
+    "op3_parity_join": op3_parity_join,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_pieces": op5_pieces,
     "op6_token_counts": op6_token_counts,
     "op8_ring_shards": op8_ring_shards,
+    "op9_toxicity": op9_toxicity,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE = {
@@ -50,5 +100,18 @@ with t as (
 select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.norm) as text_sha256,
        cast(octet_length(encode(t.norm)) as bigint) as n_bytes
 from t join g on g.norm = t.norm
+""",
+    "op2_warc": r"""
+with p as (
+    select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes,
+           sha256(coalesce(html, '')) as payload_digest
+    from pages
+), f as (
+    select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest
+)
+select p.page_id, p.payload_bytes, p.payload_digest,
+       case when p.page_id <> f.first then 'revisit' else 'response' end as record_type,
+       case when p.page_id <> f.first then f.first end as refers_to
+from p left join f on f.payload_digest = p.payload_digest
 """,
 }
