@@ -55,6 +55,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roamframe.llm.suffixes import without_repeats
+
+    prepare(spark)
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roamframe.llm.ring import ring_shards
 
@@ -85,6 +92,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_pieces": op5_pieces,
     "op6_token_counts": op6_token_counts,
+    "op7_repeats": op7_repeats,
     "op8_ring_shards": op8_ring_shards,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,

@@ -21,13 +21,16 @@ from roamframe.llm.columns import steps, text_or_empty
 from roamframe.llm.decontaminate import _letters, letters_of
 from roamframe.llm.words import _powers_up_to, mixed
 
-#: Labelled rows of each class that the model is fitted to, at most; longer texts are not used for fitting.
-FIT_ROWS, FIT_CHARS = 3000, 12_000
+#: Labelled rows, clean and toxic, that the model is fitted to, at most; longer texts are not used for fitting.
+FIT_ROWS, FIT_CHARS = (6000, 3000), 6000
 #: Hashed features; beginnings and ends of words that are features beside the word; words of a fitted stretch.
-BUCKETS, HEADS, TAIL, STRETCH = 1 << 18, (4, 5, 6), 3, 40
+BUCKET_BITS, HEADS, TAIL, STRETCH = 21, (4, 5, 6, 7, 8), 3, 40
+BUCKETS = 1 << BUCKET_BITS
 #: Documents that a feature is in, and how much likelier in toxic ones, to label a word.
 SEEN, LIKELIER = 6, 25.0
 THRESHOLD = 0.3
+#: Stretches that the chain is fitted to, at most.
+FIT_STRETCHES = 12_000
 _BLOCK = 32
 _FEATURES = 2 + len(HEADS)
 
@@ -38,7 +41,7 @@ def words_of(texts: list[str]):
     n = len(letters)
     if not n:
         empty = np.zeros(0, dtype=np.int64)
-        return np.zeros((_FEATURES, 0), dtype=np.int64), empty, empty, empty
+        return np.zeros((_FEATURES, 0), dtype=np.int32), empty, empty, empty
     inside = letters != 32
     fresh = np.zeros(n + 1, dtype=bool)
     fresh[borders] = True
@@ -50,11 +53,14 @@ def words_of(texts: list[str]):
     np.cumsum(table[np.minimum(letters, len(table) - 1)] * up[:n], out=sums[1:])
 
     def hashed(a, b, kind):
-        return (mixed((sums[b] - sums[a]) * down[a] + np.uint64(kind * 0x1000193)) >> np.uint64(46)).astype(np.int64)
-
-    features = [hashed(first, last, 1)]
-    features += [hashed(first, np.minimum(first + k, last), k) for k in HEADS]
-    features.append(hashed(np.maximum(last - TAIL, first), last, 99))
+        value = (sums[b] - sums[a]) * down[a] + kind.astype(np.uint64) * np.uint64(0x1000193)
+        return (mixed(value) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+    same = np.ones(len(first), dtype=np.int64)
+    features = [hashed(first, last, same)]
+    # A beginning that goes on is another feature than the word that ends there.
+    features += [hashed(first, np.minimum(first + k, last), 2 * k + (last - first > k)) for k in HEADS]
+    features.append(hashed(np.maximum(last - TAIL, first), last, same * 99))
     row = np.searchsorted(borders, first, side="right") - 1
     return np.stack(features), row, place[first], place[last - 1] + 1
 
@@ -206,41 +212,42 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit to at most FIT_ROWS rows of each class, chosen by a hash of their ids.
+    """Fit to at most FIT_ROWS rows of the classes, chosen by a hash of their ids.
 
     Without rows of both classes the score is 0.05 for every document.
     """
-    nothing = Chain(np.zeros(BUCKETS), -5.0, np.ones((2, 2)), np.array([np.log(0.05 / 0.95), 0.0, 0.0, 0.0]))
+    nothing = Chain(np.zeros(BUCKETS, dtype=np.float32), -5.0, np.ones((2, 2)), np.array([np.log(0.05 / 0.95), 0.0, 0.0, 0.0]))
     chosen = None
-    for toxic in (0, 1):
+    for toxic, most in enumerate(FIT_ROWS):
         own = learning_rows(labels).filter(F.col("toxic") == toxic).select(F.col("doc_id").cast("long").alias("_id"), "toxic").distinct()
-        own = own.orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS)
+        own = own.orderBy(F.xxhash64("_id"), "_id").limit(most)
         chosen = own if chosen is None else chosen.unionByName(own)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("text")).filter(F.length("text") <= FIT_CHARS)
-    # At most 2 * FIT_ROWS ids, whatever the input.
-    rows = texts.join(F.broadcast(chosen), "_id").orderBy("_id", "toxic", "text").limit(3 * FIT_ROWS).collect()
+    # At most as many ids as FIT_ROWS adds up to, whatever the input.
+    rows = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "toxic", "text").limit(sum(FIT_ROWS)).collect()
     y = np.array([r.toxic for r in rows], dtype=float)
     if len(set(y)) < 2:
         return nothing
-    features, row, _, _ = words_of([r.text for r in rows])
-    seen = []
-    for side in (0, 1):
-        counts = np.zeros((_FEATURES, BUCKETS))
-        for k in range(_FEATURES):
-            once = np.unique(np.where(y[row] == side, row * np.int64(BUCKETS) + features[k], -1))
-            counts[k] = np.bincount(once[once >= 0] % BUCKETS, minlength=BUCKETS)
-        seen.append((counts, (y == side).sum()))
-    (clean, n_clean), (toxic, n_toxic) = seen
-    likelier = ((toxic + 0.5) / (n_toxic + 1)) / ((clean + 0.5) / (n_clean + 1))
-    marks = (toxic >= SEEN) & (likelier >= LIKELIER)
+    parts, owners = [], []
+    for a, b in steps([len(r.text) for r in rows], 1_000_000):
+        f, r, _, _ = words_of([x.text for x in rows[a:b]])
+        parts.append(f)
+        owners.append((r + a).astype(np.int32))
+    features, row = np.concatenate(parts, axis=1), np.concatenate(owners)
+    del parts, owners
+    n_toxic, n_clean = y.sum(), len(y) - y.sum()
     label = np.zeros(features.shape[1], dtype=bool)
     # Ends of words are features but label nothing.
     for k in range(_FEATURES - 1):
-        label |= marks[k, features[k]]
+        once = np.unique(row * np.int64(BUCKETS) + features[k])
+        bucket, toxic = once % BUCKETS, y[once // BUCKETS] == 1
+        seen, spared = np.bincount(bucket[toxic], minlength=BUCKETS), np.bincount(bucket[~toxic], minlength=BUCKETS)
+        likelier = ((seen + 0.5) / (n_toxic + 1)) / ((spared + 0.5) / (n_clean + 1))
+        label |= ((seen >= SEEN) & (likelier >= LIKELIER))[features[k]]
     label &= y[row] == 1
     if not label.any():
         return nothing
-    # Stretches with a labelled word, and as many without one.
+    # Stretches with a labelled word, and twice as many without one.
     whole = len(label) // STRETCH * STRETCH
     with_one = label[:whole].reshape(-1, STRETCH).any(axis=1)
     one, none = np.flatnonzero(with_one), np.flatnonzero(~with_one)
@@ -248,10 +255,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     take = np.sort(np.concatenate([one, none]))
     if not len(take):
         return nothing
+    take = take[np.argsort(mixed(take.astype(np.uint64)))][:FIT_STRETCHES]
     f = features[:, :whole].reshape(_FEATURES, -1, STRETCH)[:, take]
     weights, bias, move = _fit_chain(f, label[:whole].reshape(-1, STRETCH)[take].astype(float))
-    chain = Chain(weights, bias, move, np.zeros(4))
-    chain.curve = _logistic(_summaries(chain.marginals(features, row, len(rows)), row, len(rows)), y)
+    chain = Chain(weights.astype(np.float32), bias, move, np.zeros(4))
+    words = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))])
+    sums = []
+    for a, b in steps(np.diff(words), 200_000):
+        own = slice(words[a], words[b])
+        sums.append(_summaries(chain.marginals(features[:, own], row[own] - a, b - a), row[own] - a, b - a))
+    chain.curve = _logistic(np.concatenate(sums, axis=1), y)
     return chain
 
 
