@@ -134,21 +134,46 @@ def _buckets(batches):
         yield rows(np.array([key]), np.array([hub]), np.array([doc]), True)
 
 
-def _compare(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Of the pairs (a, b), those that link, by their whole sets."""
+def whole_sketch(hashes: np.ndarray) -> bytes:
+    """The set's sketch in one piece: between two and four bits per shingle, a power of two of them."""
+    bits = max(64, 1 << int(2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    at = (hashes & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(one: bytes, other: bytes) -> int:
+    """Bits that differ, a lower bound of the symmetric difference; the longer sketch is folded first."""
+    x, y = (np.frombuffer(v, dtype=np.uint64) for v in (one, other))
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _compare(pairs: DataFrame, sizes: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Of the pairs (a, b), those that link: first by their sketches, then by their whole sets."""
 
     def own(side):
-        return sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("print").alias(f"print_{side}"))
+        return sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
 
-    near = (
-        pairs.join(own("a"), "a")
-        .join(own("b"), "b")
-        .filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        .select("a", "b", (F.col("print_a") == F.col("print_b")).alias("same"))
-    )
-    near = cut(near.distinct())
+    def near(batches):
+        for batch in batches:
+            n = [batch.column(f"n_{s}").to_numpy() for s in ("a", "b")]
+            total = n[0] + n[1]
+            most = total - 2 * -(-percent * total // (100 + percent))
+            bound = [least_difference(x, y) for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
+            keep = pa.array(np.array(bound, dtype=np.int64) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
+
+    sized = pairs.join(own("a"), "a").join(own("b"), "b")
+    sized = sized.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    close = saved(sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a bigint, b bigint"), "close").distinct()
+    # Few documents are left now. Their ids are stored, so that Spark knows their size when it plans the join.
+    wanted = saved(close.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    texts = saved(rows.join(wanted, "doc", "left_semi"), "texts")
     text_of = lambda side: texts.select(F.col("doc").alias(side), F.col("text").alias(f"text_{side}"))
-    full = near.filter("not same").select("a", "b").join(text_of("a"), "a").join(text_of("b"), "b")
+    full = close.join(text_of("a"), "a").join(text_of("b"), "b")
 
     def verify(batches):
         for batch in batches:
@@ -164,8 +189,7 @@ def _compare(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int,
                     keep[i + r] = common > 0 and 100 * common >= percent * (len(p) + len(q) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    checked = full.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint")
-    return cut(near.filter("same").select("a", "b").unionByName(checked).distinct())
+    return cut(full.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint").distinct())
 
 
 def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 4) -> DataFrame:
@@ -184,12 +208,13 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def measure(batches):
         for batch in batches:
-            n, prints = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.uint64)
+            n, prints, sketches = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.uint64), []
             for at, h, borders in _sets(batch, shingle):
                 n[at] = np.diff(borders)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(h * _SALT[7]), dtype=np.uint64)])
                 prints[at] = mixed(sums[borders[1:]] - sums[borders[:-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(prints.view(np.int64))], ["doc", "n", "print"])
+                sketches += [whole_sketch(h[i:j]) for i, j in zip(borders, borders[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(prints.view(np.int64)), pa.array(sketches, pa.binary())], ["doc", "n", "print", "sketch"])
 
     def sketch(batches):
         for batch in batches:
@@ -200,7 +225,17 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     keys, row = part_keys(h, borders, band, bands)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[at][row])], ["key", "doc"])
 
-    sizes = saved(rows.mapInArrow(measure, "doc bigint, n bigint, print bigint"), "sizes")
+    sizes = saved(rows.mapInArrow(measure, "doc bigint, n bigint, print bigint, sketch binary"), "sizes")
+    # Documents with one set: the first stands for all of them from here on.
+    sets = sizes.filter("n > 0 and doc is not null").groupBy("n", "print").agg(F.min("doc").alias("node"), F.max("doc").alias("last"))
+    sets = cut(sets.filter("node < last").drop("last"))
+    copies = saved(sizes.select("doc", "n", "print").join(sets, ["n", "print"]).filter("doc <> node").select("doc", "node").distinct(), "copies")
+
+    def standing(df, side):
+        """``df`` with documents of ``side`` replaced by the one that stands for them."""
+        own = copies.select(F.col("doc").alias(side), "node")
+        return df.join(own, side, "left").withColumn(side, F.coalesce("node", side)).drop("node")
+
     known = rows.filter("doc is not null")
     keyed = known.mapInArrow(sketch, "key bigint, doc bigint")
     # Ordered by (key, doc): a bucket of any size is spread over as many partitions as it needs.
@@ -212,22 +247,21 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # Two rows per partition: the first documents of a bucket that crosses a border.
     edges = buckets.filter("edge").select("key", "hub").distinct()
-    across = edges.join(edges.groupBy("key").agg(F.min("hub").alias("first")), "key").select(F.col("hub").alias("a"), F.col("first").alias("b"))
-    first = cut(buckets.select(F.col("doc").alias("a"), F.col("hub").alias("b")).unionByName(across).filter("a <> b").distinct())
-    near = first.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = saved(known.join(near, "doc", "left_semi"), "near_texts")
-    measured = sizes.join(near, "doc", "left_semi")
-    links = _compare(first, measured, texts, percent, shingle)
+    across = edges.join(edges.groupBy("key").agg(F.min("hub").alias("first")), "key").select("key", F.col("hub").alias("doc"), F.col("first").alias("hub"))
+    members = buckets.select("key", "doc", "hub").unionByName(across)
+    first = members.select(F.col("doc").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
+    first = cut(standing(standing(first, "a"), "b").filter("a <> b").distinct())
+    links = _compare(first, sizes, known, percent, shingle)
     found = components(links)
 
     # Buckets that hold more than one component, and whom to compare there.
-    placed = lambda df, side: df.join(
-        found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left"
-    ).withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+    def placed(df, side):
+        own = found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        return df.join(own, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+
     apart = placed(placed(first, "a"), "b").filter("c_a <> c_b").select("a", "b")
-    members = buckets.select("key", F.col("doc").alias("a"), F.col("hub").alias("b")).unionByName(
-        edges.join(edges.groupBy("key").agg(F.min("hub").alias("first")), "key").select("key", F.col("hub").alias("a"), F.col("first").alias("b"))
-    )
+    members = members.select("key", F.col("doc").alias("a"), F.col("hub").alias("b"))
+    members = saved(standing(standing(members, "a"), "b").filter("a <> b").distinct(), "members")
     mixed_keys = cut(members.join(apart, ["a", "b"], "left_semi").select("key").distinct())
     inside = members.join(mixed_keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("a")).distinct()
     inside = saved(placed(inside, "a"), "mixed")
@@ -242,8 +276,8 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     cross = cut(cross.join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(_compare(cross, measured, texts, percent, shingle))
-    found = components(links)
+    links = links.unionByName(_compare(cross, sizes, known, percent, shingle))
+    found = components(links.unionByName(copies.select(F.col("doc").alias("a"), F.col("node").alias("b"))))
     return sizes.join(found, sizes.doc == found.node, "left").select(
         F.col("doc").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -247,27 +247,33 @@ def _steps(texts: list[str]):
         yield a, b, texts[a:b]
 
 
+def _same(decoded: list[str], texts: list[str]) -> list[bool]:
+    return [x == y.replace(_BLANK, " ") for x, y in zip(decoded, texts)]
+
+
 def _lists(ids: np.ndarray, borders: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(ids))
 
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``n_tokens`` and ``token_ids`` (and without columns of these names).
+    """``docs`` without the text, with ``n_tokens``, ``token_ids`` and ``restored`` in place of any such columns.
 
-    A null or empty text has no tokens. Rows stay as they are, repeated ones too.
+    ``restored`` says whether the ids decode to the text again. A null or empty text has no tokens. Rows
+    stay as they are, repeated ones too.
     """
-    kept = [c for c in docs.columns if c not in (text_col, "n_tokens", "token_ids")]
+    added = ["n_tokens", "token_ids", "restored"]
+    kept = [c for c in docs.columns if c not in (text_col, *added)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], text_or_empty(text_col).alias(text_col))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("n_tokens", "long").add("token_ids", "array<int>")
+    schema = rows.drop(text_col).schema.add("n_tokens", "long").add("token_ids", "array<int>").add("restored", "boolean")
 
     def encode(batches):
         own = pieces(path)
         for batch in batches:
             for a, b, texts in _steps(batch.column(len(kept)).to_pylist()):
                 ids, borders, _ = own.encode(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(a, b - a) for c in batch.columns[: len(kept)]], pa.array(np.diff(borders)), _lists(ids, borders)], [*kept, "n_tokens", "token_ids"]
-                )
+                same = _same(own.decode(ids, borders), texts)
+                columns = [c.slice(a, b - a) for c in batch.columns[: len(kept)]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(borders)), _lists(ids, borders), pa.array(same)], [*kept, *added])
 
     return rows.mapInArrow(encode, schema)
 
@@ -310,7 +316,7 @@ def piece_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 again = own.decode(ids, borders)
                 sums = np.concatenate([[0], np.cumsum(fallback[ids])])
                 prints = [sha256(ids[i:j].astype("<i4").tobytes()).hexdigest() for i, j in zip(borders, borders[1:])]
-                same = [x == y.replace(_BLANK, " ") for x, y in zip(again, texts)]
+                same = _same(again, texts)
                 own_rows = [batch.column(0).slice(a, b - a), *map(pa.array, ([len(t) for t in texts], np.diff(borders), sums[borders[1:]] - sums[borders[:-1]], score, prints, same))]
                 yield pa.RecordBatch.from_arrays(own_rows, names)
 
