@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from roamframe.llm.columns import steps, text_or_empty
 from roamframe.llm.words import _powers_up_to, mixed
@@ -264,7 +265,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> Data
     added = ["n_tokens", "token_ids", "restored"]
     kept = [c for c in docs.columns if c not in (text_col, *added)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], text_or_empty(text_col).alias(text_col))
-    schema = rows.drop(text_col).schema.add("n_tokens", "long").add("token_ids", "array<int>").add("restored", "boolean")
+    schema = rows.drop(text_col).schema.add("n_tokens", "long").add("token_ids", ArrayType(IntegerType())).add("restored", "boolean")
 
     def encode(batches):
         own = pieces(path)
