@@ -220,12 +220,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dete
 
     Only texts with a digit or an @ are chosen, as others propose next to nothing.
     """
-    chosen = (
-        docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("text"))
-        .filter((F.length("text") <= FIT_CHARS) & F.col("text").rlike("[0-9@]"))
-        .orderBy(F.xxhash64("_id"), "_id", "text")
-        .limit(FIT_ROWS)
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("text"))
+    texts = texts.filter((F.length("text") <= FIT_CHARS) & F.col("text").rlike("[0-9@]"))
+    # Ids first: what tasks send to the driver is then FIT_ROWS numbers each, and FIT_ROWS texts in all.
+    ids = [r[0] for r in texts.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS).collect() if r[0] is not None]
+    chosen = texts.filter(F.col("_id").isin(ids)).orderBy(F.xxhash64("_id"), "_id", "text").limit(FIT_ROWS)
     rows: dict[str, list[tuple[int, int, list[float]]]] = {}
     for i, row in enumerate(chosen.collect()):
         for span in candidates(row.text):
