@@ -9,6 +9,7 @@ them exactly.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,7 @@ BAND = 8
 #: Characters of items that one pass searches for; more items take more passes.
 PASS_CHARS = 20_000_000
 _FILTER_BITS = 24
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _OUTSIDE = np.uint32(0xFFFFFFFF)
 _SPACE = np.uint32(32)
 _tables: list[np.ndarray] = []
@@ -91,7 +93,8 @@ class Items:
 
 
 def indexed(rows: list[tuple[int, str]]) -> Items:
-    letters, _, borders = letters_of([t for _, t in rows])
+    """Items begin and end with a letter or digit: what stands before and after is left out."""
+    letters, _, borders = letters_of([_EDGES.sub("", t) for _, t in rows])
     hashes = gram_hashes(letters, Q)
     item = np.repeat(np.arange(len(rows)), np.diff(borders))
     inside = item[: len(hashes)] == item[Q - 1 :] if len(hashes) else np.zeros(0, dtype=bool)

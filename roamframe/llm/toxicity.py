@@ -29,8 +29,8 @@ BUCKETS = 1 << BUCKET_BITS
 #: Documents that a feature is in, and how much likelier in toxic ones, to label a word.
 SEEN, LIKELIER = 6, 25.0
 THRESHOLD = 0.3
-#: Stretches that the chain is fitted to, at most.
-FIT_STRETCHES = 12_000
+#: Stretches that the chain is fitted to, at most; a word's probability from which it counts for its document.
+FIT_STRETCHES, UNLIKELY = 12_000, 0.2
 _BLOCK = 32
 _FEATURES = 2 + len(HEADS)
 
@@ -185,8 +185,11 @@ def _pair_counts(odds: np.ndarray, move: np.ndarray, n: int, length: int) -> np.
 
 
 def _summaries(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """What a document's score is made of: a constant, expected toxic words (log), the likeliest, the share."""
-    total = np.bincount(row, weights=p, minlength=rows)
+    """What a document's score is made of: a constant, expected toxic words (log), the likeliest, the share.
+
+    Unlikely words are left out of the sum, as thousands of them would add up in a long clean text.
+    """
+    total = np.bincount(row, weights=np.where(p >= UNLIKELY, p, 0.0), minlength=rows)
     words = np.bincount(row, minlength=rows)
     most = np.zeros(rows)
     np.maximum.at(most, row, p)
