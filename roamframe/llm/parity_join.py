@@ -6,9 +6,10 @@ lower bound of the symmetric difference. Sets whose sizes lie in one band and th
 most ``D`` shingles; a sketch of more than ``D`` parts then agrees in some part. Documents that agree
 in a part are compared in full.
 
-No pair is made that a component does not need. Within a bucket of documents that agree in a part,
-each is compared with the first one only. What these links do not join, and only that, is compared
-across: the documents outside a bucket's largest component with the bucket's others.
+No pair is made that a component does not need. Of the documents that agree in a part, each is
+compared with the first one only. Where these links leave a first document and those that met it in
+several components, and only there, all of them are held against each other by their sketches, block
+against block inside a task, and the pairs that may link are compared.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from roamframe.storage import cut, saved
 _SALT = np.random.default_rng(20260102).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: 64-bit words of a part: four make the chance agreement of two parts rare.
 PART_WORDS = 4
+#: Members of a star that are held against as many others at a time.
+STAR_BLOCK = 1000
 
 
 class Bands:
@@ -109,7 +112,7 @@ def _sets(batch, shingle: int):
 
 
 def _buckets(batches):
-    """Rows (key, doc) in order to (key, hub, doc, edge): each with the first document of its bucket.
+    """Rows (key, doc) in order give (key, hub, doc, edge): each with the first document of its bucket.
 
     A bucket of one gives nothing. A partition's first and last rows come as edges too: a bucket that
     goes on in the next partition has a first document in each.
@@ -151,24 +154,92 @@ def least_difference(one: bytes, other: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _compare(pairs: DataFrame, sizes: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Of the pairs (a, b), those that link: first by their sketches, then by their whole sets."""
+def _bound(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """The largest symmetric difference of linked sets of these sizes."""
+    total = n + m
+    return total - 2 * -(-percent * total // (100 + percent))
 
-    def own(side):
-        return sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+
+def _sized(sizes: DataFrame, side: str) -> DataFrame:
+    return sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+
+
+def _close(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those that their sizes and sketches allow to link."""
 
     def near(batches):
         for batch in batches:
-            n = [batch.column(f"n_{s}").to_numpy() for s in ("a", "b")]
-            total = n[0] + n[1]
-            most = total - 2 * -(-percent * total // (100 + percent))
+            most = _bound(*[batch.column(f"n_{s}").to_numpy() for s in ("a", "b")], percent)
             bound = [least_difference(x, y) for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
             keep = pa.array(np.array(bound, dtype=np.int64) <= most)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
 
-    sized = pairs.join(own("a"), "a").join(own("b"), "b")
+    sized = pairs.join(_sized(sizes, "a"), "a").join(_sized(sizes, "b"), "b")
     sized = sized.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    close = saved(sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a bigint, b bigint"), "close").distinct()
+    return saved(sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a bigint, b bigint"), "close").distinct()
+
+
+def _blocks_close(one: list[tuple], other: list[tuple], percent: int):
+    """Pairs of documents (doc, component, size, sketch) of two blocks that may link across components."""
+    for words in sorted({len(m[3]) for m in one}):
+        own = [m for m in one if len(m[3]) == words]
+        # Sizes that can link differ by less than two, so sketches are as long, or twice or half as long.
+        near = [(*m[:3], m[3] if len(m[3]) <= words else bytes(np.bitwise_xor.reduce(np.frombuffer(m[3], np.uint64).reshape(2, -1), axis=0))) for m in other if len(m[3]) in (words, 2 * words)]
+        half = [m for m in other if 2 * len(m[3]) == words]
+        for rows, short in ((near, False), (half, True)):
+            if not rows:
+                continue
+            doc, component, size = (np.array([m[i] for m in rows], dtype=np.int64) for i in range(3))
+            bits = np.frombuffer(b"".join(m[3] for m in rows), dtype=np.uint64).reshape(len(rows), -1)
+            for d, c, n, sketch in own:
+                x = np.frombuffer(sketch, dtype=np.uint64)
+                x = np.bitwise_xor.reduce(x.reshape(2, -1), axis=0) if short else x
+                fits = np.flatnonzero((component != c) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent))
+                if len(fits):
+                    differ = np.bitwise_count(bits[fits] ^ x).sum(axis=1, dtype=np.int64)
+                    for k in fits[differ <= _bound(size[fits], np.int64(n), percent)]:
+                        yield max(d, int(doc[k])), min(d, int(doc[k]))
+
+
+def _across(stars: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) inside a star (star, doc, component) that may link and lie in different components.
+
+    A star is cut into blocks of members, and each pair of blocks is a group of its own, however large
+    the star. Pairs are looked at by their sketches inside a task; only those that may link become rows.
+    """
+    count = stars.groupBy("star").agg(F.ceil(F.count("*") / F.lit(STAR_BLOCK)).cast("int").alias("blocks"))
+    own = stars.join(cut(count), "star").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    own = own.join(sizes.select("doc", "n", "sketch"), "doc")
+    facing = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+    dealt = own.select("star", F.explode(facing).alias("f"), "block", "doc", "component", "n", "sketch")
+    dealt = dealt.select("star", "f.low", "f.high", "block", "doc", "component", "n", "sketch")
+    group = ["star", "low", "high"]
+
+    def look(batches):
+        held: dict[int, list[tuple]] = {}
+        now = None
+
+        def found():
+            if now is None:
+                return
+            one, other = held.get(now[1], []), held.get(now[2], [])
+            out = sorted(set(_blocks_close(one, other, percent)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+        for batch in batches:
+            for star, low, high, block, *member in zip(*(c.to_pylist() for c in batch.columns)):
+                if (star, low, high) != now:
+                    yield from found()
+                    held, now = {}, (star, low, high)
+                held.setdefault(block, []).append(tuple(member))
+        yield from found()
+
+    return saved(dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(look, "a bigint, b bigint"), "across").distinct()
+
+
+def _linked(close: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Of the pairs (a, b), those that link, by their whole sets."""
     # Few documents are left now. Their ids are stored, so that Spark knows their size when it plans the join.
     wanted = saved(close.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
     texts = saved(rows.join(wanted, "doc", "left_semi"), "texts")
@@ -245,38 +316,27 @@ def parity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
         "buckets",
     )
-    # Two rows per partition: the first documents of a bucket that crosses a border.
+    # Two rows per partition: a bucket that crosses its border has the first document of all its parts.
     edges = buckets.filter("edge").select("key", "hub").distinct()
-    across = edges.join(edges.groupBy("key").agg(F.min("hub").alias("first")), "key").select("key", F.col("hub").alias("doc"), F.col("first").alias("hub"))
-    members = buckets.select("key", "doc", "hub").unionByName(across)
-    first = members.select(F.col("doc").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
+    begins = cut(edges.groupBy("key").agg(F.min("hub").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    members = buckets.select("key", "doc", "hub").unionByName(edges.join(begins, "key", "left_semi").select("key", F.col("hub").alias("doc"), "hub"))
+    members = members.join(begins, "key", "left").select(F.col("doc").alias("a"), F.coalesce("first", "hub").alias("b"))
+    first = members.filter("a <> b").distinct()
     first = cut(standing(standing(first, "a"), "b").filter("a <> b").distinct())
-    links = _compare(first, sizes, known, percent, shingle)
+    links = _linked(_close(first, sizes, percent), known, percent, shingle)
     found = components(links)
 
-    # Buckets that hold more than one component, and whom to compare there.
-    def placed(df, side):
-        own = found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-        return df.join(own, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-
-    apart = placed(placed(first, "a"), "b").filter("c_a <> c_b").select("a", "b")
-    members = members.select("key", F.col("doc").alias("a"), F.col("hub").alias("b"))
-    members = saved(standing(standing(members, "a"), "b").filter("a <> b").distinct(), "members")
-    mixed_keys = cut(members.join(apart, ["a", "b"], "left_semi").select("key").distinct())
-    inside = members.join(mixed_keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("a")).distinct()
-    inside = saved(placed(inside, "a"), "mixed")
-    counts = inside.groupBy("key", "c_a").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(F.max(F.struct("n", "c_a")).alias("main")).select("key", F.col("main.c_a").alias("main"))
-    outside = inside.join(main, "key").filter("c_a <> main").select("key", F.col("a").alias("b"), F.col("c_a").alias("c_b"))
-    cross = (
-        inside.join(outside, "key")
-        .filter("c_a <> c_b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    cross = cut(cross.join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(_compare(cross, sizes, known, percent, shingle))
+    # Stars, a first document with all that met it in some bucket, that lie in more than one component.
+    def placed(df, side, name):
+        own = found.select(F.col("node").alias(side), F.col("component").alias(name))
+        return df.join(own, side, "left").withColumn(name, F.coalesce(name, side))
+
+    rays = cut(placed(placed(first, "a", "c_a"), "b", "c_b"))
+    split = rays.filter("c_a <> c_b").select("b").distinct()
+    rays = rays.join(split, "b", "left_semi")
+    stars = rays.select(F.col("b").alias("star"), F.col("a").alias("doc"), F.col("c_a").alias("component"))
+    stars = cut(stars.unionByName(rays.select(F.col("b").alias("star"), F.col("b").alias("doc"), F.col("c_b").alias("component"))).distinct())
+    links = links.unionByName(_linked(_across(stars, sizes, percent), known, percent, shingle))
     found = components(links.unionByName(copies.select(F.col("doc").alias("a"), F.col("node").alias("b"))))
     return sizes.join(found, sizes.doc == found.node, "left").select(
         F.col("doc").alias(id_col),

@@ -110,3 +110,19 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {i: top(i) for a, b in links if a != b for i in (a, b)}
+
+
+def test_stars_in_small_blocks(documents, rows_of, monkeypatch):
+    from roamframe.llm import parity_join as module
+
+    monkeypatch.setattr(module, "STAR_BLOCK", 3)
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(50)]
+    base = [rng.choice(words) for _ in range(90)]
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(90)] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    assert rows_of(parity_join(documents(rows)), "doc_id", "n_shingles", "component_id") == expected(rows)
