@@ -977,8 +977,8 @@ def edges_allocentric_k1(spark, sf_dir):
 
 @query
 def edges_allocentric_crowded(spark, sf_dir):
-    """Every step with two or more objects takes the cell search instead of the array search."""
-    found = edges.edges_allocentric(A.derived(spark, sf_dir).visible, crowded_step=1)
+    """Every object has an array of its own, as in steps with more objects than an array holds."""
+    found = edges.edges_allocentric(A.derived(spark, sf_dir).visible, array_objects=1)
     return edge_columns(found)
 
 

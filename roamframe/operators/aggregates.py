@@ -60,6 +60,16 @@ def region_labels(regions: DataFrame) -> DataFrame:
     )
 
 
+def last_region_labels(regions: DataFrame) -> DataFrame:
+    """One label per region: that of its last row."""
+    label = F.coalesce(F.when(F.col("label") != "", F.col("label")), F.col("region_id"))
+    return (
+        regions.where(F.coalesce(F.col("region_id"), F.lit("")) != "")
+        .groupBy("scene_id", "region_id")
+        .agg(F.max_by(label, "row_ord").alias("region_label"))
+    )
+
+
 def _in_parts(df: DataFrame, row, name: str, order: str) -> DataFrame:
     """Ordered array per episode, in parts of at most BLOCK steps so that no array is unbounded."""
     return (

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roamframe.functions import geometry as G
-from roamframe.operators.crowd import nearest_in_crowd
 from roamframe.operators.poses import STEP, local_position, point
 from roamframe.params import DEFAULTS, Params
 
 EDGE_TYPES = ["egocentric", "allocentric", "object_frame", "inferred"]
-# A step with more objects than this leaves the in-array neighbour search.
-CROWDED_STEP = 128
+# Objects of a step that one array holds; a step with more has several.
+ARRAY_OBJECTS = 128
 
 
 def _edges(
@@ -78,16 +77,20 @@ def knn_topk(candidates: Column, k: int) -> Column:
     return F.slice(F.array_sort(candidates), 1, k)
 
 
-def _nearest_in_step(visible: DataFrame, params: Params) -> DataFrame:
-    """Neighbours found inside one array per step; no pair leaves its row."""
+def _nearest_in_step(visible: DataFrame, params: Params, array_objects: int) -> DataFrame:
+    """Nearest others of the same step.
+
+    The objects of a step lie in arrays of bounded size.  Each object looks through each array of its
+    step and keeps its nearest there; what it kept is merged.  Rows per object are arrays, not pairs.
+    """
     axes = ["local_x", "local_y", "local_z"]
-    frames = (
-        visible.groupBy(*STEP)
-        .agg(F.collect_list(F.struct("det_ord", "object_id", *axes)).alias("objs"))
-        .where(F.size("objs") > 1)
+    place = ["object_id", "det_ord", *axes]
+    slot = F.floor(F.col("det_ord") / F.lit(array_objects))
+    frames = visible.groupBy(*STEP, slot.alias("__slot")).agg(
+        F.collect_list(F.struct("det_ord", "object_id", *axes)).alias("objs")
     )
 
-    def near(o: Column) -> Column:
+    def near(o: dict[str, Column]) -> Column:
         def measured(n: Column) -> Column:
             return F.struct(
                 G.norm(*[n[a] - o[a] for a in axes]).alias("dist"),
@@ -102,15 +105,15 @@ def _nearest_in_step(visible: DataFrame, params: Params) -> DataFrame:
         )
         return knn_topk(others, params.k_neighbors)
 
-    found = frames.select(
-        *STEP,
-        F.explode(
-            F.transform("objs", lambda o: F.struct(o.alias("o"), near(o).alias("near")))
-        ).alias("s"),
+    looked = visible.select(*STEP, *place).join(frames, STEP)
+    kept = looked.select(*STEP, *place, near({c: F.col(c) for c in place}).alias("near"))
+    kept = kept.where(F.size("near") > 0)
+    merged = kept.groupBy(*STEP, *place).agg(
+        knn_topk(F.flatten(F.collect_list("near")), params.k_neighbors).alias("near")
     )
-    return found.select(*STEP, F.col("s.o").alias("o"), F.posexplode("s.near").alias("i", "n")).select(
+    return merged.select(*STEP, *place, F.posexplode("near").alias("i", "n")).select(
         *STEP,
-        *[F.col(f"o.{c}").alias(f"s_{c}") for c in ("object_id", "det_ord", *axes)],
+        *[F.col(c).alias(f"s_{c}") for c in ("object_id", "det_ord", *axes)],
         *[F.col(f"n.{c}").alias(f"n_{c}") for c in ("object_id", "det_ord", *axes)],
         F.col("n.dist").alias("dist"),
         (F.col("i") + 1).alias("rank"),
@@ -118,21 +121,12 @@ def _nearest_in_step(visible: DataFrame, params: Params) -> DataFrame:
 
 
 def edges_allocentric(
-    visible: DataFrame, params: Params = DEFAULTS, crowded_step: int = CROWDED_STEP
+    visible: DataFrame, params: Params = DEFAULTS, array_objects: int = ARRAY_OBJECTS
 ) -> DataFrame:
     """Each visible object to its nearest others of the same step, in the viewer's frame."""
     axes = ["local_x", "local_y", "local_z"]
     slim = visible.select(*STEP, "object_id", "det_ord", *axes)
-    # Steps are counted once (two columns, combined map-side); crowded ones are rare.
-    crowded = slim.groupBy(*STEP).count().where(F.col("count") > crowded_step).select(*STEP)
-    if crowded.isEmpty():
-        pairs = _nearest_in_step(slim, params)
-    else:
-        few = _nearest_in_step(slim.join(crowded, STEP, "left_anti"), params)
-        many = nearest_in_crowd(
-            slim.join(crowded, STEP, "left_semi"), STEP, params.k_neighbors, params.radius
-        )
-        pairs = few.unionByName(many)
+    pairs = _nearest_in_step(slim, params, array_objects)
     return _edges(
         pairs,
         "allocentric",

@@ -169,8 +169,8 @@ def run_lengths(turns: Column) -> Column:
 def action_runs(segment_turns: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Run-length text of each plannable segment's turns; long lists end in an ellipsis.
 
-    A segment is skipped if it is long and has many turns.  One turn more than a plannable segment
-    can have tells which ones to skip, so no longer list is gathered.
+    A segment is skipped if it is long and has many turns.  Of a long segment, one turn more than a
+    plannable one can have tells that it is to be skipped; of the others all turns are gathered.
     """
     bounds = ["t0", "t1", "source", "goal", "source_region_id", "goal_region_id"]
     merges = F.col("merges") if "merges" in segment_turns.columns else F.lit(True)
@@ -180,7 +180,7 @@ def action_runs(segment_turns: DataFrame, max_tokens: int = MAX_TOKENS) -> DataF
     )
     gathered = (
         segment_turns.withColumn("__n", F.row_number().over(place))
-        .where(F.col("__n") <= LONG_SEGMENT + 1)
+        .where((F.col("t1") - F.col("t0") <= LONG_SEGMENT) | (F.col("__n") <= MANY_TURNS + 1))
         .groupBy("episode_id", "seg", *bounds)
         .agg(F.sort_array(F.collect_list(turn)).alias("turns"))
         .where((F.col("t1") - F.col("t0") <= LONG_SEGMENT) | (F.size("turns") <= MANY_TURNS))

@@ -98,9 +98,9 @@ def change_points_eps(
 
     A pose differs when a coordinate moved by more than ``eps``, so slow drift adds up; a NaN
     coordinate never counts as moved.  Rows equal to the row before them cannot be kept and go
-    first.  The rest is folded in blocks of at most ``block_size`` steps.  Where a part spans
-    several blocks, each block is folded again from the last kept row of the block before it until
-    no block's last kept row changes; by induction over the blocks that is the sequential result.
+    first.  The rest is folded in blocks of at most ``block_size`` steps.  Blocks whose part has an
+    earlier one are folded again from the last row that it keeps, and again while that row changes;
+    by induction over the blocks that is the sequential result.
     """
     part = list(part)
     compared = [*pose_cols, *keys]
@@ -114,7 +114,7 @@ def change_points_eps(
     )
     # The wrapped comparison treats NaN as equal to NaN and null as equal to null.
     moving = marked.where(~F.col("__before").eqNullSafe(F.col("__now")))
-    blocks = (
+    blocks = cut(
         moving.withColumn("__blk", step_block(ord_col, block_size))
         .groupBy(*part, "__blk")
         .agg(
@@ -123,55 +123,46 @@ def change_points_eps(
             ).alias("rows")
         )
     )
+    at = [*part, "__blk"]
+    nothing = F.lit(None).cast(blocks.schema["rows"].dataType.elementType)
 
-    def fold(start: Column) -> Column:
-        def step(acc: Column, row: Column) -> Column:
+    def folded(df: DataFrame) -> DataFrame:
+        """Blocks with ``start``: their last kept row and the places of all kept rows."""
+
+        def step(acc: Column, place: Column) -> Column:
+            row = F.get("rows", place)
             keep = acc["last"].isNull() | _differs(acc["last"], row, pose_cols, keys, eps)
             return F.struct(
                 F.when(keep, row).otherwise(acc["last"]).alias("last"),
-                F.when(keep, F.concat(acc["kept"], F.array(row)))
+                F.when(keep, F.concat(acc["kept"], F.array(place)))
                 .otherwise(acc["kept"])
                 .alias("kept"),
             )
 
-        empty = F.filter("rows", lambda r: F.lit(False))
-        return F.aggregate("rows", F.struct(start.alias("last"), empty.alias("kept")), step)
+        places = F.sequence(F.lit(0), F.size("rows") - 1)
+        first = F.struct(F.col("start").alias("last"), F.array().cast("array<int>").alias("kept"))
+        return df.withColumn("__f", F.aggregate(places, first, step)).select(
+            *at, "start", F.col("__f.last").alias("out"), F.col("__f.kept").alias("kept")
+        )
 
-    row_type = blocks.schema["rows"].dataType.elementType
-    nothing = F.lit(None).cast(row_type)
-    spans_blocks = (
-        df.groupBy(*part)
-        .agg(
-            F.min(step_block(ord_col, block_size)).alias("lo"),
-            F.max(step_block(ord_col, block_size)).alias("hi"),
+    state = cut(folded(blocks.withColumn("start", nothing)))
+    while True:
+        carried = with_ordered(
+            state.select(*at, F.col("start").alias("used"), "out"),
+            part,
+            ["__blk"],
+            step_block("__blk"),
+            {"start": previous("out")},
         )
-        .where(F.col("lo") < F.col("hi"))
-    )
-    if spans_blocks.isEmpty():
-        folded = blocks.select(*part, fold(nothing)["kept"].alias("kept"))
-    else:
-        blocks = cut(blocks)
-        state = cut(blocks.select(*part, "__blk", fold(nothing)["last"].alias("out")))
-        while True:
-            carried = with_ordered(
-                state, part, ["__blk"], step_block("__blk"), {"start": previous("out")}
-            )
-            joined = blocks.join(carried, [*part, "__blk"]).withColumn(
-                "f", fold(F.col("start"))
-            )
-            state = cut(
-                joined.select(
-                    *part,
-                    "__blk",
-                    F.col("f.last").alias("out"),
-                    F.col("f.kept").alias("kept"),
-                    (~F.col("f.last").eqNullSafe(F.col("out"))).alias("changed"),
-                )
-            )
-            if state.where("changed").isEmpty():
-                break
-        folded = state.select(*part, "kept")
-    return folded.select(*part, F.inline("kept")).select(*df.columns)
+        # Only blocks that were folded from another row than the one before them now keeps.
+        again = cut(carried.where(~F.col("start").eqNullSafe(F.col("used"))).select(*at, "start"))
+        if again.isEmpty():
+            break
+        settled = state.join(again, at, "left_anti")
+        state = cut(settled.unionByName(folded(blocks.join(again, at))))
+    chosen = state.select(*at, F.explode("kept").alias("__i"))
+    rows = blocks.select(*at, F.posexplode("rows").alias("__i", "row"))
+    return rows.join(chosen, [*at, "__i"], "left_semi").select(*part, "row.*").select(*df.columns)
 
 
 def asof(

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from roamframe.functions import geometry as G
 from roamframe.functions.clean import is_movement
 from roamframe.functions.text import ego_label, receptacle_phrase
-from roamframe.operators.aggregates import displaced_ids, region_labels
+from roamframe.operators.aggregates import displaced_ids, last_region_labels
 from roamframe.operators.memory import non_visible_objects, remember
 from roamframe.operators.paths import region_paths_from
 from roamframe.operators.poses import STEP, local_position, point
-from roamframe.operators.routes import action_runs, region_segments, route_turns, segment_turns
+from roamframe.operators.routes import action_runs, region_segments, segment_turns
 from roamframe.ordered import running_sum, step_block, with_ordered
 from roamframe.params import DEFAULTS, Params
-from roamframe.plans.facts import ARROW
+from roamframe.plans.facts import ARROW, walked_turns
 from roamframe.plans.items import question_text
 from roamframe.plans.tables import EpisodeTables
 
@@ -90,15 +90,18 @@ def validate_items(items: DataFrame, t: EpisodeTables, params: Params = DEFAULTS
     related = of("allocentric_encoding").withColumn("reference", named).join(
         between, ["episode_id", "query_step", "queried_object_id", "reference"], "left"
     )
-    events = t.events.select(
+    # An event's name may be missing or occur twice: its step and object say which one is meant.
+    which = ["event_id", "at_timestep", "object_id"]
+    events = t.events.dropDuplicates(["episode_id", *which]).select(
         "episode_id",
-        F.col("event_id").alias("__event"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__{c}") for c in which],
         receptacle_phrase(F.col("to_receptacle")).alias("again"),
     )
-    moved = of("invisible_displacement").withColumn("__event", F.col("displacement_event.event_id"))
-    moved = moved.join(events, ["episode_id", "__event"], "left")
-    turns = route_turns(t.steps).select(*STEP, "action", "degrees")
-    runs = action_runs(segment_turns(region_segments(t.region_changes), turns)).select(
+    moved = of("invisible_displacement").withColumns(
+        {f"__{c}": F.coalesce(F.col(f"displacement_event.{c}").cast("string"), F.lit("")) for c in which}
+    )
+    moved = moved.join(events, ["episode_id", *[f"__{c}" for c in which]], "left")
+    runs = action_runs(segment_turns(region_segments(t.region_changes), walked_turns(t))).select(
         "episode_id",
         F.col("t0").alias("encoding_step"),
         F.array_join("turn_labels", ARROW).alias("again"),
@@ -108,7 +111,7 @@ def validate_items(items: DataFrame, t: EpisodeTables, params: Params = DEFAULTS
     planned = of("survey_knowledge").withColumns(
         {"start": F.split(pair, "→")[0], "goal": F.split(pair, "→")[1]}
     )
-    labels = region_labels(t.regions).withColumnRenamed("region_id", "hop")
+    labels = last_region_labels(t.regions).withColumnRenamed("region_id", "hop")
     first = (
         region_paths_from(t.connectivity, planned.select("scene_id", "start").distinct())
         .where(F.size("path_regions") >= 2)

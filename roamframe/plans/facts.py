@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamframe.functions import geometry as G
-from roamframe.functions.clean import CONSTRUCT_NAMES
+from roamframe.functions.clean import CONSTRUCT_NAMES, filter_actions
 from roamframe.functions.options import BEARINGS, limit_images, limit_options, present, text_array
 from roamframe.functions.text import display_name, ego_label, quoted_list, receptacle_phrase
 from roamframe.operators.aggregates import (
     displaced_ids,
     receptacle_phrases,
-    region_labels,
+    last_region_labels,
     visited_regions,
 )
 from roamframe.operators.edges import first_allocentric_edge
@@ -31,7 +31,6 @@ from roamframe.operators.routes import (
     exclude_displaced,
     next_movement,
     region_segments,
-    route_turns,
     segment_turns,
 )
 from roamframe.ordered import row_number, step_block, with_ordered
@@ -262,16 +261,15 @@ def plan_spatial_updating(t: EpisodeTables, n: int = 3, params: Params = DEFAULT
     )
     lo, hi = F.col("next_move"), F.col("next_pos") - 1
     first = top_n_facts(_walk(gaps, lo, F.least(hi, lo + n - 1)), n, ["query_pos", "mem"])
-    # At most n rows per episode are stored here, and read again only if some are unclear.
+    # At most n rows per episode are stored here; without an unclear one the full walk has no rows.
     picked = cut(_bearing_now(first, t.steps, params))
     unclear = picked.where(F.col("label").isNull()).select("episode_id").distinct()
-    if not unclear.isEmpty():
-        ends = t.steps.groupBy("episode_id").agg(F.max("pos").alias("end"))
-        whole = gaps.join(ends.join(unclear, "episode_id", "left_semi"), "episode_id")
-        whole = _walk(whole, lo, F.coalesce(hi, F.col("end"))).drop("end")
-        full = _bearing_now(whole, t.steps, params).where(F.col("label").isNotNull())
-        full = top_n_facts(full, n, ["query_pos", "mem"])
-        picked = picked.join(unclear, "episode_id", "left_anti").unionByName(full)
+    ends = t.steps.groupBy("episode_id").agg(F.max("pos").alias("end"))
+    whole = gaps.join(ends.join(unclear, "episode_id", "left_semi"), "episode_id")
+    whole = _walk(whole, lo, F.coalesce(hi, F.col("end"))).drop("end")
+    full = _bearing_now(whole, t.steps, params).where(F.col("label").isNotNull())
+    full = top_n_facts(full, n, ["query_pos", "mem"])
+    picked = picked.join(unclear, "episode_id", "left_anti").unionByName(full)
     earlier = F.when(F.col("seen_label") != F.col("label"), F.array("seen_label")).otherwise(
         F.array().cast(NO_TEXTS)
     )
@@ -384,13 +382,13 @@ def plan_allocentric(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) ->
         .select(*STEP, "source", "target", ego_label(triplet).alias("label"))
         .where(F.col("label").isNotNull())
     )
-    picked = top_n_facts(edges, n, ["step"])
+    # A step whose ends are not both in view is no candidate, so it takes no rank.
     for end in ("source", "target"):
         seen = t.visible.select(
             *STEP, F.col("object_id").alias(end), F.col("category").alias(f"{end}_category")
         )
-        picked = picked.join(seen, [*STEP, end])
-    picked = _images(picked, t.steps, "step", "image")
+        edges = edges.join(seen, [*STEP, end])
+    picked = _images(top_n_facts(edges, n, ["step"]), t.steps, "step", "image")
     source_text = F.concat(
         F.lit("steps["),
         F.col("step").cast("string"),
@@ -420,9 +418,9 @@ def plan_allocentric(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) ->
     )
 
 
-def _route_turns(t: EpisodeTables) -> DataFrame:
+def walked_turns(t: EpisodeTables) -> DataFrame:
     """Turns, or for episodes without any all their steps; unnamed actions never merge."""
-    turns = route_turns(t.steps).select(*STEP, "action", "degrees", F.lit(True).alias("merges"))
+    turns = filter_actions(t.steps).select(*STEP, "action", "degrees", F.lit(True).alias("merges"))
     without = t.steps.join(turns.select("episode_id").distinct(), "episode_id", "left_anti")
     named = F.col("action").isNotNull() & (F.col("action") != "")
     return turns.unionByName(
@@ -438,7 +436,7 @@ def _route_turns(t: EpisodeTables) -> DataFrame:
 def plan_route(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataFrame:
     """Action sequence of a walked segment between two regions."""
     segments = region_segments(t.region_changes)
-    runs = action_runs(segment_turns(segments, _route_turns(t)))
+    runs = action_runs(segment_turns(segments, walked_turns(t)))
     picked = top_n_facts(runs, n, ["seg"])
     labels = F.col("turn_labels")
     size = F.size(labels)
@@ -642,9 +640,7 @@ def plan_survey(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> Data
     )
     able = t.episodes.join(linked, "scene_id", "left_semi").join(mapped, "scene_id", "left_semi")
     visits = survey_visits(t).join(able.select("episode_id"), "episode_id", "left_semi")
-    labels = region_labels(t.regions).groupBy("scene_id", "region_id").agg(
-        F.max("region_label").alias("region_label")
-    )
+    labels = last_region_labels(t.regions)
     picked = _first_pairs(visits, t.connectivity, n).withColumns(
         {"hop": F.col("path_regions")[1], "passage": F.col("passages")[0]}
     )

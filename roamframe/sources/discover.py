@@ -31,6 +31,11 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def plain_path(path):
+    """A path without scheme and host, so that listed, logged and named paths compare."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?(?=/)", "")
+
+
 def _split(listing: DataFrame) -> DataFrame:
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     return listing.select(
@@ -89,17 +94,21 @@ def discover(
             if role in overrides
             else F.concat(F.lit(f"{role}-"), F.col(scene), F.lit(f".{ROLES[role]}"))
         )
-        return F.when(name.startswith("/"), name).otherwise(
+        return F.when(plain_path(name).startswith("/"), name).otherwise(
             F.concat(F.col("annotations_dir"), F.lit("/"), name)
         )
 
     if meta is not None:
         chosen = (
-            chosen.withColumn("path", wanted("episode_meta", "named_scene"))
+            chosen.withColumn("__plain", plain_path(wanted("episode_meta", "named_scene")))
             .join(
-                meta.select("path", F.col("scene_id").alias("meta_scene"), "images_dir"), "path", "left"
+                meta.select(
+                    plain_path(F.col("path")).alias("__plain"), F.col("scene_id").alias("meta_scene"), "images_dir"
+                ),
+                "__plain",
+                "left",
             )
-            .drop("path")
+            .drop("__plain")
         )
     else:
         chosen = chosen.withColumns(
@@ -119,10 +128,10 @@ def discover(
         ]
     )
     candidates = chosen.select("episode_root", F.explode(roles).alias("r")).select(
-        "episode_root", "r.*"
+        "episode_root", "r.role", plain_path(F.col("r.path")).alias("__plain")
     )
     found = (
-        candidates.join(listing.select("path"), "path", "left_semi")
+        candidates.join(listing.select(plain_path(F.col("path")).alias("__plain"), "path"), "__plain")
         .groupBy("episode_root")
         .pivot("role", list(ROLES))
         .agg(F.first("path"))
@@ -193,7 +202,7 @@ def resolve_images(steps: DataFrame, listing: DataFrame) -> DataFrame:
                 F.concat_ws("/", here, F.regexp_extract("__text", r"([^/]*)$", 1)),
             ),
             F.when(
-                (F.col("__text") != "") & ~F.col("__text").startswith("/"),
+                (F.col("__text") != "") & ~plain_path(F.col("__text")).startswith("/"),
                 F.concat_ws("/", here, "__text"),
             ),
             F.concat(here, F.lit("/img_"), F.col("step").cast("string"), F.lit(".png")),
@@ -202,8 +211,10 @@ def resolve_images(steps: DataFrame, listing: DataFrame) -> DataFrame:
     tried = rows.select(
         "episode_id", "step", F.posexplode("__options").alias("i", "path")
     ).where(F.col("path").isNotNull())
+    there = listing.select(plain_path(F.col("path")).alias("__plain")).distinct()
     best = (
-        tried.join(listing.select("path").distinct(), "path", "left_semi")
+        tried.withColumn("__plain", plain_path(F.col("path")))
+        .join(there, "__plain", "left_semi")
         .groupBy("episode_id", "step")
         .agg(F.min_by("path", "i").alias("__path"))
     )

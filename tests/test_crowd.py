@@ -36,12 +36,12 @@ def crowd(seed):
     return [(0, 0, f"O|{i}", i, "c", *map(float, p)) for i, p in enumerate(places)]
 
 
-@pytest.mark.parametrize("crowded_step", [10, 512])
-def test_neighbours_match_brute_force(spark, crowded_step):
+@pytest.mark.parametrize("array_objects", [10, 512])
+def test_neighbours_match_brute_force(spark, array_objects):
     points = crowd(5)
     small = [(1, 3, f"S|{i}", i, "c", 0.3 * i, 0.0, 0.0) for i in range(5)]
     df = spark.createDataFrame(points + small, SCHEMA)
-    edges = edges_allocentric(df, crowded_step=crowded_step)
+    edges = edges_allocentric(df, array_objects=array_objects)
     rows = edges.select("episode_id", "source", "target", "ord_minor").collect()
     got = {(r.source, r.target, r.ord_minor) for r in rows if r.episode_id == 0}
     assert got == brute(points, 3, 1.5)

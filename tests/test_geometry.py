@@ -49,10 +49,10 @@ def test_world_to_local_table(spark):
 
 
 def test_camera_offset_and_distance(spark):
-    a = G.world_to_local(xyz(1, 2, 3), F.lit(0.0), F.lit(0.0), xyz(1, 2, 4))
+    a = G.world_to_local(xyz(-4, 0.5, 7), F.lit(0.0), F.lit(0.0), xyz(-4, 0.5, 9.5))
     b = G.world_to_local(xyz(0, 0, 0), F.lit(30.0), F.lit(45.0), xyz(3, 4, 5))
     r = one(spark, a.alias("a"), G.norm(b["x"], b["y"], b["z"]).alias("n"))
-    assert (r.a.x, r.a.y, r.a.z) == (0, 0, 1)
+    assert (r.a.x, r.a.y, r.a.z) == (0, 0, 2.5)
     assert r.n == pytest.approx(math.sqrt(50))
 
 

@@ -6,50 +6,49 @@ from roamframe.operators import edges, memory
 from roamframe.operators.poses import visible_objects
 
 
-def walk(steps, seen, catalog, states, displaced):
-    """Step by step: what is remembered, where, since when."""
-    memory_, out = {}, []
-    for n in steps:
-        for o in seen.get(n, []):
-            pose, shelf = states.get((n, o), (catalog[o], None))
-            memory_[o] = [pose, n, shelf]
-        for o in displaced:
-            if o in memory_ and (n, o) in states:
-                memory_[o][0], memory_[o][2] = states[n, o]
-        for o, (pose, last, shelf) in memory_.items():
-            if o not in seen.get(n, []):
-                out.append((n, o, float(pose[0]), last, shelf))
-    return out
+def test_memory_of_a_known_episode(spark):
+    """One episode worked out by hand: a gap in the steps, a shelf change out of view, a state at no step."""
+    steps_ = [step("a", n, pos=i) for i, n in enumerate((2, 3, 7, 8))] + [step("b", 5, pos=0), step("b", 6, pos=1)]
+    objects = [("Vase|1", "Vase", (1, 0, 0)), ("Sofa|2", "Sofa", (2, 0, 0)), ("Coat|3", "Coat", (3, 0, 0))]
+    det = [("a", 2, 0, "Vase|1"), ("a", 2, 1, "Sofa|2"), ("a", 7, 0, "Sofa|2"), ("b", 5, 0, "Coat|3")]
+    # The vase moves at step 3, at step 5 (never logged) and at step 8; the coat only before it is seen.
+    states_ = [("a", 3, "Vase|1", "Vase", (40, 0, 0), "Shelf|1"), ("a", 5, "Vase|1", "Vase", (50, 0, 0), None),
+               ("a", 8, "Vase|1", "Vase", (80, 0, 0), None), ("b", 4, "Coat|3", "Coat", (90, 0, 0), None)]
+    t = tables(spark, steps_, det, objects, states_)
+    gone = memory.non_visible_objects(memory.object_memory(t.steps, t.visible, t.states)).collect()
+    got = {(r.episode_id, r.step, r.object_id, r.pos_x, r.last_seen, r.parent_receptacle) for r in gone}
+    assert got == {
+        ("a", 3, "Vase|1", 40.0, 2, "Shelf|1"),
+        ("a", 3, "Sofa|2", 2.0, 2, None),
+        ("a", 7, "Vase|1", 40.0, 2, "Shelf|1"),
+        ("a", 8, "Vase|1", 80.0, 2, None),
+        ("a", 8, "Sofa|2", 2.0, 7, None),
+        ("b", 6, "Coat|3", 3.0, 5, None),
+    }
 
 
-def test_memory_matches_step_by_step_walk(spark):
-    """Steps with gaps, states at some steps only, also at steps that were never logged."""
+def test_memory_of_random_episodes_keeps_its_terms(spark):
+    """What is remembered at a step was seen before, is not in view, and carries its last sighting."""
     rng = random.Random(11)
-    steps_, det, states_, want = [], [], [], set()
-    objects = [(f"O|{i}", "Cup", (i, 0, 0)) for i in range(8)]
-    catalog = {o: p for o, _, p in objects}
-    displaced = ["O|0", "O|1", "O|2"]
+    names = [f"O|{i}" for i in range(8)]
+    steps_, det, seen = [], [], {}
     for ep in ("a", "b", "long"):
         numbers = sorted(rng.sample(range(300), 120 if ep == "long" else 12))
-        seen = {n: rng.sample(sorted(catalog), rng.choice([0, 0, 1, 3])) for n in numbers}
-        moved = {}
-        for n in range(300):
-            for o in displaced:
-                if rng.random() < 0.15:
-                    moved[n, o] = ((rng.randint(10, 99), 0, 0), rng.choice([None, "Shelf|1"]))
         steps_ += [step(ep, n, pos=i) for i, n in enumerate(numbers)]
-        det += [(ep, n, i, o) for n in numbers for i, o in enumerate(seen[n])]
-        states_ += [(ep, n, o, "Cup", p, r) for (n, o), (p, r) in moved.items()]
-        want |= {(ep, *row) for row in walk(numbers, seen, catalog, moved, displaced)}
-    t = tables(spark, steps_, det, objects, states_)
-    gone = memory.non_visible_objects(memory.object_memory(t.steps, t.visible, t.states))
-    got = {
-        (r.episode_id, r.step, r.object_id, r.pos_x, r.last_seen, r.parent_receptacle)
-        for r in gone.collect()
-    }
-    assert got == want
+        for n in numbers:
+            seen[ep, n] = rng.sample(names, rng.choice([0, 0, 1, 3]))
+            det += [(ep, n, i, o) for i, o in enumerate(seen[ep, n])]
+    t = tables(spark, steps_, det, [(o, "Cup", (i, 0, 0)) for i, o in enumerate(names)], [])
+    gone = memory.non_visible_objects(memory.object_memory(t.steps, t.visible, t.states)).collect()
+    rows = {(r.episode_id, r.step, r.object_id): (r.last_seen, r.pos_x) for r in gone}
+    assert len(rows) == len(gone)
+    for ep, n in seen:
+        for i, o in enumerate(names):
+            before = [m for e, m in seen if e == ep and m < n and o in seen[e, m]]
+            wanted = (max(before), float(i)) if before and o not in seen[ep, n] else None
+            assert rows.get((ep, n, o)) == wanted
     by_key = memory.memory_minus_visible(memory.remember(t.spans, t.steps), t.visible)
-    assert by_key.count() == len(want)
+    assert by_key.count() == len(rows)
 
 
 def test_repeated_detection_keeps_first_place_and_last_box(spark):

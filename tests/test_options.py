@@ -6,50 +6,55 @@ from roamframe.functions import options as O
 from roamframe.functions import text as T
 
 
-def expected(answer, pool, seeds):
-    """The rule read one step at a time."""
-    chosen = []
-
-    def offer(x):
-        if x and x not in chosen:
-            chosen.append(x)
-
-    for p in pool:
-        offer(p)
-    if answer not in chosen:
-        chosen.insert(0, answer)
-    for s in seeds:
-        if s == "opposite_direction":
-            offer(O.OPPOSITE.get(answer))
-        elif s == "orthogonal_direction":
-            offer(O.ORTHOGONAL.get(answer))
-        elif s in O.BEARINGS:
-            offer(s)
-    if len(chosen) < 4:
-        for f in O.FILLERS:
-            if len(chosen) < 4:
-                offer(f)
-    chosen = chosen[:4]
-    if answer not in chosen:
-        chosen[0] = answer
-    k = sum(map(ord, answer)) % 4
-    return chosen[k:] + chosen[:k]
-
-
-def test_rotation_matches_rule(spark):
+# answer, pool, seeds, options in order; worked out by hand.  The order is turned by the sum of the
+# answer's code points modulo 4, noted behind each case.
+CASES = [
+    ("zz", ["p", "q", "zz", "r", "s"], [], ["p", "q", "zz", "r"]),  # 244: 0
+    ("a", ["b", "c", "d"], [], ["b", "c", "d", "a"]),  # 97: 1
+    ("b", ["", "c", "c", "d", "e"], [], ["d", "e", "b", "c"]),  # 98: 2
+    ("c", ["d", "c", "e", "f"], [], ["f", "d", "c", "e"]),  # 99: 3
+    ("d", ["w", "x", "y", "z", "d"], [], ["d", "x", "y", "z"]),  # 100: 0
+    ("é", ["k", "l", "m"], [], ["k", "l", "m", "é"]),  # 233: 1
+]
+
+
+def _options(spark, cases):
+    df = spark.createDataFrame(
+        [(i, *c) for i, c in enumerate(cases)], "i int, answer string, pool array<string>, seeds array<string>"
+    )
+    choice = O.options_rotate(F.col("answer"), F.col("pool"), F.col("seeds"))
+    return sorted(df.withColumn("c", choice).collect(), key=lambda r: r.i)
+
+
+def test_options_of_known_cases(spark):
+    for r, (*_, want) in zip(_options(spark, [c[:3] for c in CASES]), CASES):
+        assert r.c.ordered == want, r
+        assert want["ABCD".index(r.c.key)] == r.answer
+
+
+def test_seeds_fill_up_with_directions(spark):
+    got = _options(spark, [("to your left", [], ["opposite_direction"]), ("to your left", ["behind you"], ["to your left"])])
+    assert O.OPPOSITE["to your left"] in got[0].c.ordered
+    assert all(len(set(r.c.ordered)) == 4 and r.answer in r.c.ordered for r in got)
+
+
+def test_options_are_four_and_distinct(spark):
     rng = random.Random(2)
     words = O.FILLERS + ["above you", "a → b ×2 90° …", "x", "", "naïve 🙂"]
     seeds = ["opposite_direction", "orthogonal_direction", "behind you", "pre_move_bearing"]
-    cases = []
-    for i in range(200):
-        answer = rng.choice([w for w in words if w])
-        cases.append((i, answer, rng.choices(words, k=rng.randint(0, 6)), rng.sample(seeds, rng.randint(0, 4))))
-    df = spark.createDataFrame(cases, "i int, answer string, pool array<string>, seeds array<string>")
-    choice = O.options_rotate(F.col("answer"), F.col("pool"), F.col("seeds"))
-    for r in df.withColumn("c", choice).collect():
-        want = expected(r.answer, r.pool, r.seeds)
-        assert r.c.ordered == want, r
-        assert "ABCD".index(r.c.key) == want.index(r.answer)
+    cases = [
+        (rng.choice([w for w in words if w]), rng.choices(words, k=rng.randint(0, 6)), rng.sample(seeds, rng.randint(0, 4)))
+        for _ in range(200)
+    ]
+    for r in _options(spark, cases):
+        ordered = r.c.ordered
+        assert len(ordered) == len(set(ordered)) == 4 and all(ordered)
+        assert ordered["ABCD".index(r.c.key)] == r.answer
+        # Turned back, the pool's words keep their order.
+        turn = sum(map(ord, r.answer)) % 4
+        back = ordered[4 - turn :] + ordered[: 4 - turn]
+        own = [w for w in dict.fromkeys(r.pool) if w and w in back and w != r.answer]
+        assert [w for w in back if w in own] == own
 
 
 def test_names_and_phrases(spark):
