@@ -31,9 +31,9 @@ REACH = LENGTH - CORE
 #: Bytes before a suffix that one pass takes; 1 + 33 * 3 is LENGTH.
 STRIDE = 3
 #: Surroundings of one core that are refined together; those of a core with more are compared run by run.
-TOGETHER = 20_000
-#: Bytes of surroundings that are refined at a time.
-BATCH_BYTES = 3_000_000
+TOGETHER = 100_000
+#: Bytes of surroundings that are refined at a time, unless one core has more: few enough for a core's cache.
+BATCH_BYTES = 250_000
 #: A byte of its own value per letter case: cores are compared as they are.
 _PLAIN = _BYTE.copy()
 _PLAIN[65:91] = mixed(np.arange(65, 91, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -193,7 +193,7 @@ def _refined(strings: list[bytes], doc: np.ndarray, start: np.ndarray):
 
 
 def _compared(batches):
-    """Marks from rows in order of core: whole cores together, some megabytes at a time."""
+    """Marks from rows in order of core: whole cores together, few at a time."""
     names = ["doc", "mark"]
     held: list[tuple[bytes, int, int]] = []
     size, core = 0, None
