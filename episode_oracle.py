@@ -855,7 +855,9 @@ _SQL = {
       left join ep_objects o on o.object_id = d.object_id""",
     "catalog_distinct": f"""
       select distinct d.episode_id, d.object_id, o.category, {r('o.pos_x', 2)} as pos_x,
-             {r('o.pos_y', 2)} as pos_y, {r('o.pos_z', 2)} as pos_z
+             {r('o.pos_y', 2)} as pos_y, {r('o.pos_z', 2)} as pos_z, 'c' || cast(d.cmin % 3 as varchar) as color,
+             case when d.rmin % 2 = 0 then 'Shelf|1,Box|2' else '' end as receptacles,
+             {r('o.pos_y', 2)} as center_y, cast(d.cmax - d.cmin as double) as size_x
       from ep_detections d join ep_objects o on o.object_id = d.object_id
       where d.det_ord <> 1 and (d.cmin % 2 = 0 or d.rmin % 3 = 0)""",
     "write_episode_tables": """
@@ -1336,7 +1338,16 @@ _RULES = [
     ("construct = 'spatial_updating'", "never_displaced", "not moved"),
     ("construct = 'spatial_updating'", "moved_in_between", "num_movements > 0"),
     ("construct = 'spatial_updating'", "not_in_final_view", "not now_seen"),
+    ("construct = 'allocentric_encoding'", "both_visible_in_view",
+     "now_seen and exists (select 1 from ep_detections d where d.episode_id = ep_span.episode_id "
+     "and d.step = ep_span.query_step and d.object_id = ep_span.reference_object_id)"),
+    ("construct = 'allocentric_encoding'", "no_delay", "query_step = encoding_step"),
     ("construct = 'route_knowledge'", "several_movements", "num_movements >= 2"),
+    ("construct = 'route_knowledge'", "path_was_walked",
+     "exists (select 1 from ep_segments g where g.episode_id = ep_span.episode_id "
+     "and g.t0 = ep_span.encoding_step and g.t1 = ep_span.query_step)"),
+    ("construct = 'survey_knowledge'", "several_regions_covered",
+     "(select count(*) from ep_visits v where v.episode_id = ep_span.episode_id) >= 2"),
     ("construct = 'survey_knowledge'", "never_walked",
      "not exists (select 1 from f_sur f join ep_segments g on g.episode_id = f.episode_id "
      "and g.source_region_id = f.a and g.goal_region_id = f.b "

@@ -457,6 +457,14 @@ def _records(spark, sf_dir):
                         (F.col("pos_x") * 1.5).alias("distance"),
                         G.xyz(*[F.col(c) for c in xyz("pos")]).alias("position"),
                         G.xyz(*[F.col(c) for c in xyz("rot")]).alias("rotation"),
+                        F.concat(F.lit("c"), (F.col("cmin") % 3).cast("string")).alias("color"),
+                        F.when(F.col("rmin") % 2 == 0, options.text_array(["Shelf|1", "Box|2"]))
+                        .otherwise(F.array().cast("array<string>"))
+                        .alias("receptacle_object_ids"),
+                        G.xyz(*[F.col(c) for c in xyz("pos")]).alias("box_center"),
+                        G.xyz(
+                            (F.col("cmax") - F.col("cmin")).cast("double"), F.lit(0.25), F.lit(0.5)
+                        ).alias("box_size"),
                     ).alias("o"),
                     F.struct("object_id", "cmin", "rmin", "cmax", "rmax").alias("d"),
                 )
@@ -464,7 +472,9 @@ def _records(spark, sf_dir):
         ).alias("x")
     )
     kind = "array<struct<object_id:string,category:string,visible:boolean,distance:double,"
-    kind += "position:struct<x:double,y:double,z:double>,rotation:struct<x:double,y:double,z:double>>>"
+    kind += "position:struct<x:double,y:double,z:double>,rotation:struct<x:double,y:double,z:double>,"
+    kind += "color:string,receptacle_object_ids:array<string>,"
+    kind += "box_center:struct<x:double,y:double,z:double>,box_size:struct<x:double,y:double,z:double>>>"
     box = "array<struct<object_id:string,cmin:int,rmin:int,cmax:int,rmax:int>>"
     boxes = F.filter("x.d", lambda d: (d["cmin"] % 2 == 0) | (d["rmin"] % 3 == 0))
     return t.steps.join(per_step, STEP, "left").select(
@@ -486,7 +496,12 @@ def flatten_detections(spark, sf_dir):
 @query
 def catalog_distinct(spark, sf_dir):
     return collector.build_catalog(_records(spark, sf_dir)).select(
-        "episode_id", "object_id", "category", *rounded("pos_x", "pos_y", "pos_z", digits=2)
+        "episode_id",
+        "object_id",
+        "category",
+        *rounded("pos_x", "pos_y", "pos_z", "center_y", "size_x", digits=2),
+        "color",
+        F.array_join("receptacle_object_ids", ",").alias("receptacles"),
     )
 
 

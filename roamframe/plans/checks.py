@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roamframe.functions import geometry as G
 from roamframe.functions.clean import is_movement
 from roamframe.functions.text import ego_label, receptacle_phrase
-from roamframe.operators.aggregates import displaced_ids, last_region_labels
+from roamframe.operators.aggregates import displaced_ids, last_region_labels, visited_regions
 from roamframe.operators.memory import non_visible_objects, remember
 from roamframe.operators.paths import region_paths_from
 from roamframe.operators.poses import STEP, local_position, point
@@ -218,6 +218,26 @@ def must_hold_checks(facts: DataFrame, t: EpisodeTables) -> DataFrame:
         .join(first_seen, key, "left")
         .join(novel, FACT, "left")
     )
+    other = t.visible.select(
+        "episode_id",
+        F.col("step").alias("query_step"),
+        F.col("object_id").alias("reference_object_id"),
+        F.lit(True).alias("__other"),
+    )
+    path = region_segments(t.region_changes).select(
+        "episode_id",
+        F.col("t0").alias("encoding_step"),
+        F.col("t1").alias("query_step"),
+        F.lit(True).alias("__path"),
+    )
+    covered = visited_regions(t.region_changes).groupBy("episode_id").agg(
+        F.count(F.lit(1)).alias("__regions")
+    )
+    wide = (
+        wide.join(other.distinct(), ["episode_id", "query_step", "reference_object_id"], "left")
+        .join(path.distinct(), ["episode_id", "encoding_step", "query_step"], "left")
+        .join(covered, "episode_id", "left")
+    )
     now, displaced = F.col("__now").isNotNull(), F.col("__moved").isNotNull()
     leak = F.contains("__question", F.lower("answer_label"))
     # Movements after the first step of the segment, up to its end.
@@ -237,10 +257,18 @@ def must_hold_checks(facts: DataFrame, t: EpisodeTables) -> DataFrame:
             ("moved_in_between", F.coalesce(F.col("num_movements") > 0, F.lit(False))),
             ("not_in_final_view", ~now),
         ],
+        "allocentric_encoding": [
+            ("both_visible_in_view", now & F.col("__other").isNotNull()),
+            ("no_delay", F.col("query_step") == F.col("encoding_step")),
+        ],
         "route_knowledge": [
-            ("several_movements", F.coalesce(F.col("num_movements") >= 2, F.lit(False)))
+            ("several_movements", F.coalesce(F.col("num_movements") >= 2, F.lit(False))),
+            ("path_was_walked", F.col("__path").isNotNull()),
+        ],
+        "survey_knowledge": [
+            ("never_walked", F.coalesce("novel", F.lit(False))),
+            ("several_regions_covered", F.coalesce(F.col("__regions") >= 2, F.lit(False))),
         ],
-        "survey_knowledge": [("never_walked", F.coalesce("novel", F.lit(False)))],
     }
     checks = [
         F.struct(F.lit("answer_not_in_question").alias("rule"), (~leak).alias("holds")),

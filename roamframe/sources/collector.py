@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from roamframe.functions.geometry import round_half_even, round_pose
 
-COLLECTED = "visible and detected"
-
-
 def _kept(objects: str = "objects", detections: str = "detections"):
     """Objects that are visible and have a detection box."""
     return F.filter(
@@ -41,12 +38,25 @@ def flatten_records(records: DataFrame) -> DataFrame:
 
 
 def build_catalog(records: DataFrame) -> DataFrame:
-    """Distinct observed object tuples: set semantics over all steps."""
+    """Distinct observed object tuples: set semantics over all steps.
+
+    A tuple holds id, category, pose, colour, receptacle list, box centre and box size; what the records
+    do not have is null. Two sightings that differ in any of these are two tuples.
+    """
     seen = records.select("episode_id", F.explode(_kept()).alias("o"))
-    pose = {name: round_pose(F.col(f"o.{name}"), 2) for name in ("position", "rotation")}
+    known = seen.schema["o"].dataType.names
+
+    def own(name, kind):
+        return F.col(f"o.{name}") if name in known else F.lit(None).cast(kind)
+
+    vector = "struct<x:double,y:double,z:double>"
+    poses = {"pos": "position", "rot": "rotation", "center": "box_center", "size": "box_size"}
+    rounded = {short: round_pose(own(name, vector), 2) for short, name in poses.items()}
     return seen.select(
         "episode_id",
         F.col("o.object_id").alias("object_id"),
         F.col("o.category").alias("category"),
-        *[p[a].alias(f"{n[:3]}_{a}") for n, p in pose.items() for a in "xyz"],
+        own("color", "string").alias("color"),
+        own("receptacle_object_ids", "array<string>").alias("receptacle_object_ids"),
+        *[p[a].alias(f"{short}_{a}") for short, p in rounded.items() for a in "xyz"],
     ).dropDuplicates()

@@ -14,7 +14,8 @@ if not os.path.isdir(SF_DIR):
 
 import __spark_entry__ as entry  # noqa: E402
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+from episode_oracle import ORACLE  # noqa: E402
+from episode_queries import QUERIES  # noqa: E402
 
 
 def plain(v):
@@ -38,6 +39,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
