@@ -149,14 +149,16 @@ def repeated_intervals(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarra
     _, name = np.unique(gram, return_inverse=True)
     # Up to 65,536 names are dealt out by counting.
     name = name.astype(np.uint16 if name.max(initial=0) < 65_536 else np.int64)
-    order = np.argsort(data, kind="stable").astype(np.int32)
+    # A suffix that is to end up at a string's start, or after it, begins LENGTH - 1 bytes further on.
+    order = np.flatnonzero(offset >= LENGTH - 1).astype(np.int32)
+    order = order[np.argsort(data[order], kind="stable")]
     value = data[order]
-    interval = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]])).astype(np.int32) if n else np.zeros(0, np.int32)
+    split = np.concatenate([[True], value[1:] != value[:-1]]) if len(order) else np.zeros(0, dtype=bool)
+    interval = np.cumsum(split, dtype=np.int32)
     for _ in range((LENGTH - 1) // STRIDE):
-        on = offset[order] >= STRIDE
-        order, interval = order[on] - np.int32(STRIDE), interval[on]
         if not len(order):
             break
+        order = order - np.int32(STRIDE)
         key = name[order]
         deal = np.argsort(key, kind="stable")
         order, key, interval = order[deal], key[deal], interval[deal]
