@@ -898,7 +898,9 @@ _SQL = {
     "get_edges": f"""
       select {EDGE} from ep_inferred where (episode_id, step) in (select episode_id, step from ep_last)""",
     "list_episodes": """
-      select episode_id, 'house_000001' as scene_id, 'ai2thor' as environment, count(*) as n_steps
+      select episode_id, 'house_000001' as scene_id, 'ai2thor' as environment, count(*) as n_steps,
+             row_number() over (order by -(cast(episode_id as bigint) % 7) * 3600 - cast(episode_id as bigint),
+                                episode_id) - 1 as place
       from ep_steps group by 1""",
     "filter_structural": """
       select episode_id, step, case when event_id % 3 <> 0 then kind end as type,

@@ -6,10 +6,12 @@ an episode is found without listing millions of folders and replaced by rewritin
 
 from __future__ import annotations
 
+import json as json_text
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from roamframe.operators.aggregates import step_counts
 from roamframe.operators.assemble import assemble_steps, sort_steps
@@ -41,8 +43,45 @@ def align(df: DataFrame, schema) -> DataFrame:
     )
 
 
+def _about(spark: SparkSession, path: str, name: str) -> dict | None:
+    """What was noted beside a stored table: its columns and its number of buckets."""
+    where = f"{path}/_about/{name}"
+    if not _exists(spark, where):
+        return None
+    return json_text.loads(spark.read.text(where).first()[0])
+
+
+def _note(spark: SparkSession, path: str, name: str, schema: StructType, buckets: int) -> None:
+    noted = json_text.dumps({"schema": schema.jsonValue(), "buckets": buckets})
+    spark.createDataFrame([(noted,)], "value string").coalesce(1).write.mode("overwrite").text(
+        f"{path}/_about/{name}"
+    )
+
+
+def stored_buckets(spark: SparkSession, path: str, name: str = "episodes") -> int:
+    """The number of buckets that a store was first written with."""
+    about = _about(spark, path, name)
+    return about["buckets"] if about else BUCKETS
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}")
+    """A stored table; its columns are noted beside it, so no file is opened to learn them."""
+    about = _about(spark, path, name)
+    if about is None:
+        return spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}")
+    return spark.read.schema(StructType.fromJson(about["schema"])).parquet(f"{path}/{name}")
+
+
+def of_episodes(df: DataFrame, ids: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of the episodes in ``ids`` (whose columns are all matched).
+
+    On a stored table only the buckets of these episodes are read.  There are at most ``buckets``
+    numbers to look up, however many ids.
+    """
+    if "bucket" in df.columns:
+        wanted = ids.select(bucket_of(F.col("episode_id"), buckets).alias("b")).distinct()
+        df = df.where(F.col("bucket").isin([r.b for r in wanted.collect()]))
+    return df.join(ids, ids.columns, "left_semi")
 
 
 def write_episodes(
@@ -58,6 +97,8 @@ def write_episodes(
         episodes = episodes.withColumn("created_at", F.current_timestamp())
     incoming = cut(episodes.select("episode_id").distinct())
     stored = _exists(spark, f"{path}/episodes")
+    if stored:
+        buckets = stored_buckets(spark, path)
     if stored and not replace:
         known = read_table(spark, path, "episodes").select("episode_id")
         clash = known.join(incoming, "episode_id", "left_semi").take(1)
@@ -71,8 +112,8 @@ def write_episodes(
         target = f"{path}/{name}"
         if _exists(spark, target):
             old = read_table(spark, path, name)
-            touched = incoming.select(bucket_of(F.col("episode_id"), buckets).alias("bucket"))
-            kept = old.join(touched.distinct(), "bucket", "left_semi").join(
+            touched = incoming.select(bucket_of(F.col("episode_id"), buckets).alias("b")).distinct()
+            kept = old.where(F.col("bucket").isin([r.b for r in touched.collect()])).join(
                 incoming, "episode_id", "left_anti"
             )
             # The kept rows come from the files about to be replaced, so they are set aside first.
@@ -87,6 +128,9 @@ def write_episodes(
             .partitionBy("bucket")
             .parquet(target)
         )
+        # Partition columns come last.
+        own = df.drop("bucket").schema
+        _note(spark, path, name, StructType(own.fields).add("bucket", IntegerType()), buckets)
 
 
 def list_episodes(episodes: DataFrame, steps: DataFrame) -> DataFrame:
@@ -115,10 +159,10 @@ def get_edges(
     """Edges of an episode, optionally of one step, type or target, in stored order.
 
     ``episodes`` is an id, or a table of ids (and steps) for many lookups at once.  On a stored
-    table an id prunes folders by its bucket and the other filters are pushed to the Parquet scan.
+    table ids prune folders by their buckets and the other filters are pushed to the Parquet scan.
     """
     if isinstance(episodes, DataFrame):
-        out = edges.join(episodes, episodes.columns, "left_semi")
+        out = of_episodes(edges, episodes, buckets)
     else:
         out = edges.where(F.col("episode_id") == F.lit(episodes))
         if "bucket" in edges.columns:
@@ -129,21 +173,23 @@ def get_edges(
     return out.orderBy("episode_id", "step", "edge_type", "ord_major", "ord_minor")
 
 
-def load_episode(tables: Mapping[str, DataFrame], ids: DataFrame | None = None) -> DataFrame:
+def load_episode(
+    tables: Mapping[str, DataFrame], ids: DataFrame | None = None, buckets: int = BUCKETS
+) -> DataFrame:
     """Nested episodes rebuilt from the tables: rows of (episode, part) with ordered steps.
 
-    ``ids`` selects episodes; one that is not stored is an error.
+    ``ids`` selects episodes; one that is not stored is an error.  Of stored tables only the buckets
+    of these episodes are read.
     """
     episodes = tables["episodes"]
     picked = dict(tables)
     if ids is not None:
-        unknown = ids.join(episodes, "episode_id", "left_anti").take(1)
+        ids = ids.select("episode_id")
+        known = of_episodes(episodes, ids, buckets)
+        unknown = ids.join(known, "episode_id", "left_anti").take(1)
         if unknown:
             raise KeyError(f"unknown episode_id: {unknown[0].episode_id}")
-        picked = {
-            name: df.join(ids.select("episode_id"), "episode_id", "left_semi")
-            for name, df in tables.items()
-        }
+        picked = {name: of_episodes(df, ids, buckets) for name, df in tables.items()}
     steps = sort_steps(
         assemble_steps(picked["steps"], picked["step_objects"], picked["edges"])
     )
@@ -168,7 +214,9 @@ def read_episode(
 
 def write_items(items: DataFrame, path: str) -> None:
     """Items as JSON lines under ``items`` and their count under ``manifest``."""
-    items.write.mode("overwrite").json(f"{path}/items")
-    stored = items.sparkSession.read.text(f"{path}/items")
-    count = stored.agg(F.count(F.lit(1)).alias("n_items"))
+    # Counted while written; nothing is read again.
+    written = Observation("items")
+    counted = items.observe(written, F.count(F.lit(1)).alias("n_items"))
+    counted.write.mode("overwrite").json(f"{path}/items")
+    count = items.sparkSession.createDataFrame([(written.get["n_items"],)], "n_items bigint")
     count.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
