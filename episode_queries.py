@@ -50,14 +50,24 @@ def xyz(prefix: str) -> list[str]:
 
 
 def _logs(spark: SparkSession, df: DataFrame, name: str, order: list[str], fmt: str = "csv") -> str:
-    """Write rows as log files, one folder per episode, and give their root."""
+    """Write rows as log files, one folder per episode, and give their root.
+
+    CSV files come in two layouts: those of odd episodes have their columns in reverse and lack one
+    that no reader needs.
+    """
     path = new_path(spark, f"log-{name}")
-    spread = df.repartition("episode_id")
-    writer = spread.sortWithinPartitions("episode_id", *order).write.partitionBy("episode_id")
-    if fmt == "csv":
-        writer.option("header", True).csv(path)
-    else:
-        writer.text(path)
+
+    def write(rows):
+        spread = rows.repartition("episode_id").sortWithinPartitions("episode_id", *order)
+        return spread.write.mode("append").partitionBy("episode_id")
+
+    if fmt != "csv":
+        write(df).text(path)
+        return path
+    odd = F.col("episode_id") % 2 == 1
+    back = [c for c in df.columns[::-1] if c != "note"]
+    write(df.withColumn("note", F.lit("-")).where(~odd)).option("header", True).csv(path)
+    write(df.where(odd).select(*back)).option("header", True).csv(path)
     return path
 
 

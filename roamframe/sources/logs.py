@@ -1,13 +1,15 @@
 """Readers of the raw episode logs (CSV).
 
-Columns are found by header name.  All files of one call share one column layout, which Spark checks
-file by file; read several layouts separately and union them.  Every row carries the folder of its
-episode and ``src_ord``, its place in the file.
+Columns are found by header name, file by file: the files of one call may have different columns in
+different orders, and what a file lacks is null.  Every row carries the folder of its episode and
+``src_ord``, its place in the file.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,9 @@ MISSING = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+# Column layouts that one call takes.
+LAYOUTS = 100
+
 # Folder that holds the episode: the parent of ``annotations/``, or of the file itself.
 EPISODE_FOLDER = r"([^/]+)/(?:annotations/)?[^/]+$"
 
@@ -39,24 +44,61 @@ def _place() -> Column:
 def read_log(
     spark: SparkSession, path: str | Sequence[str], episode: str = EPISODE_FOLDER
 ) -> DataFrame:
-    """Text columns of a log, missing values as null, plus episode_id, src_file and src_ord."""
+    """Text columns of a log, missing values as null, plus episode_id, src_file and src_ord.
+
+    A first pass takes the header line of every file.  Files of one layout go through the CSV reader;
+    of several, the lines of each layout are parsed by its own header and the rows put together.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    options = dict(header=True, recursiveFileLookup=True, quote='"', escape='"')
-    names = spark.read.options(**options).csv(paths).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.options(**options, enforceSchema=False).schema(schema).csv(paths)
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths)
+    file = F.col("_metadata.file_path")
+    headers = (
+        lines.where(F.col("_metadata.file_block_start") == 0)
+        .select(file.alias("src_file"), F.monotonically_increasing_id().alias("__n"), "value")
+        .groupBy("src_file")
+        .agg(F.min_by("value", "__n").alias("__header"))
+    )
+    # As many as there are layouts, not files.
+    layouts = [r[0] for r in headers.select("__header").distinct().limit(LAYOUTS + 1).collect()]
+    if len(layouts) > LAYOUTS:
+        raise ValueError(f"more than {LAYOUTS} column layouts in one call")
+    if len(layouts) == 1:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in _names(layouts[0])])
+        options = dict(header=True, recursiveFileLookup=True, quote='"', escape='"')
+        raw = spark.read.options(**options).schema(schema).csv(paths)
+        rows = raw.select(file.alias("src_file"), _place().alias("src_ord"), "*")
+    else:
+        placed = lines.select(file.alias("src_file"), _place().alias("src_ord"), "value")
+        # Header lines go before anything else looks at the text.
+        placed = placed.where(~F.col("value").isin(layouts) & (F.trim("value") != ""))
+        placed = placed.join(headers, "src_file")
+
+        def of(header: str) -> DataFrame:
+            kind = ", ".join(f"`{n}` string" for n in _names(header))
+            mine = F.col("__header") == header
+            # Lines of other layouts must never be parsed by this header, wherever a filter ends up.
+            text = F.when(mine, F.col("value"))
+            own = F.from_csv(text, kind, {"quote": '"', "escape": '"'}).alias("r")
+            return placed.where(mine).select("src_file", "src_ord", own).select(
+                "src_file", "src_ord", "r.*"
+            )
+
+        rows = reduce(
+            lambda a, b: a.unionByName(b, allowMissingColumns=True), map(of, sorted(layouts))
+        )
+    names = [c for c in rows.columns if c not in ("src_file", "src_ord")]
     clean = [
         F.when(~F.trim(F.col(f"`{n}`")).isin(MISSING), F.col(f"`{n}`")).alias(n) for n in names
     ]
-    file = F.col("_metadata.file_path")
-    return raw.select(
-        F.regexp_extract(file, episode, 1).alias("episode_id"),
-        file.alias("src_file"),
-        _place().alias("src_ord"),
-        *clean,
+    return rows.select(
+        F.regexp_extract("src_file", episode, 1).alias("episode_id"), "src_file", "src_ord", *clean
     )
 
 
+def _names(header: str) -> list[str]:
+    return next(csv.reader([header]))
+
+
 def _col(df: DataFrame, name: str, type_: str = "string") -> Column:
     """Column by name, null where the layout does not have it."""
     if name not in df.columns:

@@ -90,11 +90,22 @@ def test_navigation_headers_and_detections(spark, folder):
     assert sorted((r.step, r.object_id, r.cmin) for r in boxes) == [(4, "Lamp|7", 12), (5, "Book|3", 31)]
 
 
-def test_layout_with_other_columns_is_refused(spark, folder):
-    other = folder / "run_1" / "annotations" / "navigation-house_2.csv"
-    other.write_text("obj-id,timestep\nLamp|7,4\n")
-    with pytest.raises(Exception, match="header|schema"):
-        logs.read_navigation(spark, [notes(folder, "navigation"), str(other)]).collect()
+def test_files_of_several_layouts(spark, folder):
+    other = folder / "run_3" / "annotations"
+    other.mkdir(parents=True)
+    (other / "navigation-house_9.csv").write_text('obj-id,path,timestep\n"Lamp|7","a,b.png",4\n\nBook|3,None,5\n')
+    nav = logs.read_navigation(spark, [notes(folder, "navigation"), str(other / "navigation-house_9.csv")])
+    got = sorted((r.episode_id, r.step, r.object_id or "", r.image_path or "", r.action or "") for r in nav.collect())
+    assert got == [
+        ("run_1", 4, "", "/img_8.png", "ignored"),
+        ("run_1", 4, "Lamp|7", "/img_4.png", "move_ahead"),
+        ("run_1", 5, "Book|3", "/img_5.png", "rotate_left"),
+        ("run_1", 7, "", "", "done"),
+        ("run_3", 4, "Lamp|7", "a,b.png", ""),
+        ("run_3", 5, "Book|3", "", ""),
+    ]
+    steps, _ = logs.split_navigation(nav)
+    assert {(r.episode_id, r.step): r.action for r in steps.collect()}["run_1", 4] == "move_ahead"
 
 
 def test_catalog(spark, folder):
