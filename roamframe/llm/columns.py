@@ -14,7 +14,7 @@ from roamframe.storage import new_path
 #: Rows of one Arrow batch: bounds what a Python worker holds when texts are long.
 BATCH_ROWS = 1000
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 _shipped: set[str] = set()

@@ -22,7 +22,7 @@ from roamframe.llm.decontaminate import _letters, letters_of
 from roamframe.llm.words import _powers_up_to, mixed
 
 #: Labelled rows, clean and toxic, that the model is fitted to, at most; longer texts are not used for fitting.
-FIT_ROWS, FIT_CHARS = (6000, 3000), 6000
+FIT_ROWS, FIT_CHARS = (4000, 2000), 6000
 #: Hashed features; beginnings and ends of words that are features beside the word; words of a fitted stretch.
 BUCKET_BITS, HEADS, TAIL, STRETCH = 21, (4, 5, 6, 7, 8), 3, 40
 BUCKETS = 1 << BUCKET_BITS
@@ -30,7 +30,7 @@ BUCKETS = 1 << BUCKET_BITS
 SEEN, LIKELIER = 6, 25.0
 THRESHOLD = 0.3
 #: Stretches that the chain is fitted to, at most; a word's probability from which it counts for its document.
-FIT_STRETCHES, UNLIKELY = 12_000, 0.2
+FIT_STRETCHES, UNLIKELY = 8000, 0.2
 _BLOCK = 32
 _FEATURES = 2 + len(HEADS)
 
@@ -147,19 +147,20 @@ def _fit_chain(features: np.ndarray, labels: np.ndarray, rounds: int = 60, rate:
     weights, bias, move = np.zeros(BUCKETS), -2.0, np.zeros((2, 2))
     n, length = labels.shape
     used, slot = np.unique(features, return_inverse=True)
-    slot = slot.reshape(features.shape)
+    slot = slot.reshape(features.shape).astype(np.int32)
     w = np.zeros(len(used))
     moments = [np.zeros(len(w) + 5), np.zeros(len(w) + 5)]
     sizes = np.full(n, length)
     pairs = np.stack([((labels[:, :-1] == i) & (labels[:, 1:] == j)).sum() for i in (0, 1) for j in (0, 1)]).astype(float)
     for t in range(1, rounds + 1):
-        odds = np.exp(np.clip(w[slot].sum(axis=0) + bias, -30, 30))
+        odds = np.exp(np.clip(sum(w[own] for own in slot) + bias, -30, 30))
         m = np.exp(move)
         flat = odds.reshape(-1)
         p = chain_marginals(flat, sizes, m).reshape(n, length)
         expected = _pair_counts(odds, m, n, length)
         miss = labels - p
-        gradient = np.concatenate([np.bincount(slot.reshape(len(features), -1).reshape(-1), weights=np.tile(miss.reshape(-1), len(features)), minlength=len(w)) / n, [miss.sum() / n], (pairs - expected) / n])
+        by_slot = sum(np.bincount(own.reshape(-1), weights=miss.reshape(-1), minlength=len(w)) for own in slot)
+        gradient = np.concatenate([by_slot / n, [miss.sum() / n], (pairs - expected) / n])
         gradient -= 1e-3 * np.concatenate([w, [0], move.reshape(-1)])
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
         moments[1] = 0.99 * moments[1] + 0.01 * gradient**2
