@@ -43,10 +43,8 @@ def opposite_orthogonal(label: Column) -> Column:
 
 
 def code_point_sum(text: Column) -> Column:
-    chars = F.transform(
-        F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substr(text, i, F.lit(1)))
-    )
-    total = F.aggregate(chars, F.lit(0), lambda acc, c: acc + c)
+    # Split once: a substring per character would walk the text again for each.
+    total = F.aggregate(F.split(text, ""), F.lit(0), lambda acc, c: acc + F.ascii(c))
     return F.when(F.length(text) > 0, total).otherwise(0)
 
 

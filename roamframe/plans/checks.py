@@ -67,8 +67,11 @@ def validate_items(items: DataFrame, t: EpisodeTables, params: Params = DEFAULTS
         "left_semi",
     )
     local = G.round_pose(local_position(params), 3)
+    # Only what is asked for is remembered step by step.
+    about = updating.select("episode_id", F.col("queried_object_id").alias("object_id")).distinct()
+    spans = t.spans.join(about, ["episode_id", "object_id"], "left_semi")
     bearing = (
-        non_visible_objects(remember(t.spans, poses))
+        non_visible_objects(remember(spans, poses))
         .withColumn("__l", local)
         .select(
             "episode_id",

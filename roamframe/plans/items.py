@@ -90,8 +90,22 @@ def question_context(facts: DataFrame, t: EpisodeTables, params: Params = DEFAUL
         .groupBy(*STEP)
         .agg(F.sort_array(F.collect_list("o")).alias("seen"))
     )
+    # What is remembered at a step are the objects first seen until then, in that order.  The first few
+    # out of view are among the first few and as many more as a frame shows, so only these are expanded.
+    shown = t.visible.join(steps.select(*STEP), STEP, "left_semi").groupBy(*STEP).count()
+    most = shown.groupBy("episode_id").agg(F.max("count").alias("__shown"))
+    order = Window.partitionBy("episode_id").orderBy("__first", "object_id")
+    early = (
+        t.spans.groupBy("episode_id", "object_id")
+        .agg(F.min(F.struct("first_step", "first_det_ord")).alias("__first"))
+        .withColumn("__n", F.row_number().over(order))
+        .join(most, "episode_id", "left")
+        .where(F.col("__n") <= MENTIONED + F.coalesce("__shown", F.lit(0)))
+        .select("episode_id", "object_id")
+    )
+    spans = t.spans.join(early, ["episode_id", "object_id"], "left_semi")
     gone = (
-        limit_nonvisible(remember(t.spans, steps))
+        limit_nonvisible(remember(spans, steps))
         .select(
             *STEP,
             F.struct(
