@@ -34,6 +34,8 @@ STRIDE = 3
 TOGETHER = 100_000
 #: Bytes of surroundings that are refined at a time, unless one core has more: few enough for a core's cache.
 BATCH_BYTES = 250_000
+#: Bytes of text whose anchors are looked for at a time, unless one text is longer.
+STEP_BYTES = 400_000
 #: A byte of its own value per letter case: cores are compared as they are.
 _PLAIN = _BYTE.copy()
 _PLAIN[65:91] = mixed(np.arange(65, 91, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -243,7 +245,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, borders = text_bytes(batch.column(1))
-            for a, b in steps(np.diff(borders)):
+            for a, b in steps(np.diff(borders), STEP_BYTES):
                 own = borders[a : b + 1]
                 core, around, row, place, left, right = anchors(data[own[0] : own[-1]], own - own[0])
                 # 48 bits tell cores apart well enough: surroundings are compared by their bytes.
