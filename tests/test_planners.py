@@ -1,5 +1,6 @@
 from helpers import step, tables
 
+from roamframe.operators.routes import action_runs
 from roamframe.plans import facts, items
 from roamframe.plans.checks import validate_items
 from roamframe.storage import saved
@@ -111,6 +112,37 @@ def test_unnamed_actions_stand_in_for_turns(spark):
     assert got[0].answer_label == "move → move"
 
 
+def test_two_turns_on_one_step_all_count(spark):
+    """A segment of 40 steps keeps its 45 turns; a longer one with 21 turns is skipped, with 20 it is kept."""
+    bounds = "episode_id string, seg int, t0 int, t1 int, source string, goal string, source_region_id string, goal_region_id string"
+    rows_ = []
+    for seg, t1, turns in ((0, 40, 45), (1, 41, 21), (2, 41, 20)):
+        rows_ += [("a", seg, 0, t1, "x", "y", "x", "y", i % 40, "rotate_left", 90.0) for i in range(turns)]
+    df = spark.createDataFrame(rows_, f"{bounds}, step int, action string, degrees double")
+    got = {r.seg: r.turn_labels for r in action_runs(df).collect()}
+    assert got == {0: ["rotate_left 90° ×45"], 2: ["rotate_left 90° ×20"]}
+
+
+def test_route_items_without_turns_agree(spark):
+    steps = route_steps("a", 6, {3: "r1"}, lambda i: None)
+    t = tables(spark, steps)
+    planned = saved(facts.plan_all(t, n=2, constructs=["route_knowledge"]), "facts")
+    checked = validate_items(items.draft_items(planned, t), t).where("construct = 'route_knowledge'").collect()
+    assert checked and all(r.agrees for r in checked)
+
+
+def test_the_last_label_of_a_repeated_region_counts(spark):
+    steps = route_steps("a", 6, {3: "r1"})
+    named = [("r0", "Hall"), ("r1", "zz old"), ("r2", "Bath"), ("r1", "aa new")]
+    t = tables(spark, steps, regions=named, links=[("r0", "r1", "d0", True)])
+    got = rows(facts.plan_survey(t, 1))
+    assert got[0].answer_label == "use d0 toward aa new" and got[0].goal == "aa new"
+    planned = saved(facts.plan_all(t, n=1, constructs=["survey_knowledge"]), "facts")
+    checked = validate_items(items.draft_items(planned, t), t).where("construct = 'survey_knowledge'").collect()
+    assert checked and all(r.agrees for r in checked)
+    assert len({r.item_id for r in checked}) == len(checked)
+
+
 def test_survey_paths_decoys_and_reasons(spark):
     links = [
         ("r0", "r1", "d0", True), ("r0", "r1", "d0b", True), ("r1", "r2", None, False),
