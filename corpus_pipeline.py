@@ -19,6 +19,9 @@ from roamframe.llm.queries import tokenizer_path
 from roamframe.llm.toxicity import fit, without_toxic
 from roamframe.storage import saved
 
+#: Near copies of the stage share this many hundredths of their shingles of so many words; op3's query has its own values.
+NEAR_PERCENT, NEAR_SHINGLE = 80, 5
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is under the threshold, by a model of the labels; null texts have a score too."""
@@ -41,10 +44,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies; a document without words has none.
 
-    Rows that share an id stay or go together; a null id stays.
+    Near copies share at least 80 hundredths of the union of their five-word shingles. Rows that share an
+    id stay or go together; a null id stays.
     """
     prepare(spark)
-    gone = parity_join(docs).filter("component_id < doc_id").select("doc_id").distinct()
+    gone = parity_join(docs, percent=NEAR_PERCENT, shingle=NEAR_SHINGLE).filter("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
