@@ -2,8 +2,9 @@
 
 Generators of high recall propose spans, overlapping ones too. Each candidate gets features of its
 format and of the text around it; boosted trees judge them, and a threshold per kind, set on candidates
-held out from fitting, selects what is redacted. Spans of the four base kinds are found by their
-patterns and checks alone and are always selected.
+held out from fitting, selects what is redacted. A kind with too few candidates to learn from is
+selected by its format and check digits. Spans of the four base kinds are found by their patterns and
+checks alone and are always selected.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from hashlib import sha256
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from roamframe.llm.columns import text_or_empty
 from roamframe.llm.trees import Trees, boosted, least_threshold
+from roamframe.storage import saved
 
 # The patterns of the base kinds, in the order in which they are listed.
 BASE = {
@@ -37,7 +40,7 @@ MORE = {
     "spelled_email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]?(?:@|\bat\b)[\])]?\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(]?(?:\.|\bdot\b)[\])]?\x20?[A-Za-z0-9-]{1,63}){1,4}",
 }
 KINDS = [*BASE, *MORE]
-#: Rows that the trees are fitted to, at most, and the longest text among them; the precision asked of held-out candidates.
+#: Texts that the trees of a kind are fitted to, at most, and the longest text among them; the precision asked of held-out candidates.
 FIT_ROWS, FIT_CHARS, PRECISION = 3000, 8000, 0.9
 _AROUND = 24
 #: No candidate reaches further from its digit or its ``at``.
@@ -183,22 +186,27 @@ def weak_label(text: str, span: tuple[int, int, str]) -> int:
 
 @dataclass
 class Detector:
-    """Trees and threshold per kind; a kind without enough candidates of either label has none."""
+    """Trees and threshold per kind; a kind without enough candidates of either label has none and goes by weak_label."""
 
     kinds: dict[str, tuple[Trees, float]]
 
     def selected(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """All spans of each text: the base ones, and candidates over their threshold that overlap none.
 
-        Of overlapping candidates the likeliest stays, then the first, then the longest.
+        A candidate of a kind without trees is as likely as its weak label says. Of overlapping candidates
+        one inside another gives way, then the likeliest stays, then the first, then the longest.
         """
         base = [base_spans(t) for t in texts]
         asked: dict[str, list[tuple[int, tuple[int, int, str], list[float]]]] = {}
+        likely: dict[int, list[tuple[float, tuple[int, int, str]]]] = {}
         for r, text in enumerate(texts):
             for span in candidates(text):
-                if span[2] in self.kinds and not any(a < span[1] and span[0] < b for a, b, _ in base[r]):
+                if any(a < span[1] and span[0] < b for a, b, _ in base[r]):
+                    continue
+                if span[2] in self.kinds:
                     asked.setdefault(span[2], []).append((r, span, features(text, span)))
-        likely: dict[int, list[tuple[float, tuple[int, int, str]]]] = {}
+                elif weak_label(text, span):
+                    likely.setdefault(r, []).append((1.0, span))
         for kind, rows in asked.items():
             trees, least = self.kinds[kind]
             for (r, span, _), p in zip(rows, trees.probability(np.array([f for *_, f in rows]))):
@@ -206,8 +214,11 @@ class Detector:
                     likely.setdefault(r, []).append((p, span))
         for r, found in likely.items():
             held = sorted((a, b) for a, b, _ in base[r])
-            added = []
-            for _, span in sorted(found, key=lambda x: (-x[0], x[1][0], -x[1][1])):
+            added, reach, order = [], -1, []
+            for p, span in sorted(found, key=lambda x: (x[1][0], -x[1][1], -x[0])):
+                order.append((span[1] <= reach, -p, span[0], -span[1], span))
+                reach = max(reach, span[1])
+            for *_, span in sorted(order):
                 if all(b <= span[0] or span[1] <= a for a, b, _ in added):
                     added.append(span)
             base[r] = sorted([*base[r], *added], key=_by_start)
@@ -215,28 +226,50 @@ class Detector:
         return base
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Detector:
-    """Fit to the candidates of at most FIT_ROWS texts, chosen by a hash of their ids, half of them held out.
+def _proposing(batches):
+    """Rows (key, text) give (kind, key): per task and kind the FIT_ROWS least keys of texts with such a candidate."""
+    least: dict[str, set[int]] = {k: set() for k in MORE}
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for kind in {k for *_, k in candidates(text)}:
+                least[kind].add(key)
+        for kind, own in least.items():
+            if len(own) > 2 * FIT_ROWS:
+                least[kind] = set(nsmallest(FIT_ROWS, own))
+    for kind, own in least.items():
+        keys = pa.array(nsmallest(FIT_ROWS, own), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), keys], ["kind", "key"])
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Detector:
+    """Fit each kind to its candidates in at most FIT_ROWS texts that have one, half of them held out.
 
-    Only texts with a digit or an @ are chosen, as others propose next to nothing.
+    The texts are chosen per kind from the whole table, by a hash; equal texts count once. A kind with
+    fewer than five candidates of a label to fit to, or without a threshold of the precision, gets no trees.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("text"))
-    texts = texts.filter((F.length("text") <= FIT_CHARS) & F.col("text").rlike("[0-9@]"))
-    # Ids first: what tasks send to the driver is then FIT_ROWS numbers each, and FIT_ROWS texts in all.
-    ids = [r[0] for r in texts.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS).collect() if r[0] is not None]
-    chosen = texts.filter(F.col("_id").isin(ids)).orderBy(F.xxhash64("_id"), "_id", "text").limit(FIT_ROWS)
-    rows: dict[str, list[tuple[int, int, list[float]]]] = {}
-    for i, row in enumerate(chosen.collect()):
-        for span in candidates(row.text):
-            rows.setdefault(span[2], []).append((i % 2, weak_label(row.text, span), features(row.text, span)))
+    spark = docs.sparkSession
+    texts = docs.select(text_or_empty(text_col).alias("text")).filter(F.length("text") <= FIT_CHARS)
+    texts = texts.select(F.xxhash64("text").alias("key"), "text")
+    marks = saved(texts.mapInArrow(_proposing, "kind string, key bigint"), "proposing")
+    # Keys first: what tasks send to the driver is then FIT_ROWS numbers each, and FIT_ROWS texts of a kind in all.
+    keys = {k: [r[0] for r in marks.filter(F.col("kind") == k).select("key").distinct().orderBy("key").limit(FIT_ROWS).collect()] for k in MORE}
+    some = spark.createDataFrame(pa.table({"key": pa.array(sorted({x for own in keys.values() for x in own}), pa.int64())}))
+    chosen = dict(texts.join(F.broadcast(some), "key", "left_semi").dropDuplicates(["key"]).collect())
     kinds = {}
-    for kind, own in rows.items():
-        side = np.array([s for s, *_ in own])
-        y = np.array([float(label) for _, label, _ in own])
-        x = np.array([f for *_, f in own])
+    for kind, own in keys.items():
+        rows = []
+        for i, key in enumerate(own):
+            for span in candidates(chosen[key]):
+                if span[2] == kind:
+                    rows.append((i % 2, weak_label(chosen[key], span), features(chosen[key], span)))
+        side = np.array([s for s, *_ in rows])
+        y = np.array([float(label) for _, label, _ in rows])
+        x = np.array([f for *_, f in rows])
         if min(y[side == 0].sum(), (1 - y[side == 0]).sum()) >= 5 and (side == 1).any():
             trees = boosted(x[side == 0], y[side == 0])
-            kinds[kind] = trees, least_threshold(trees.probability(x[side == 1]), y[side == 1], PRECISION)
+            least = least_threshold(trees.probability(x[side == 1]), y[side == 1], PRECISION)
+            if least <= 1:
+                kinds[kind] = trees, least
     return Detector(kinds)
 
 
