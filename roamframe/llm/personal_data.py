@@ -36,15 +36,17 @@ MORE = {
     "address6": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Fa-f:])",
     "local_phone": r"(?<![0-9+])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){1,4}(?![0-9])",
     "number": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){8,24}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+",
     "spelled_email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]?(?:@|\bat\b)[\])]?\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(]?(?:\.|\bdot\b)[\])]?\x20?[A-Za-z0-9-]{1,63}){1,4}",
 }
 KINDS = [*BASE, *MORE]
 #: Texts that the trees of a kind are fitted to, at most, and the longest text among them; the precision asked of held-out candidates.
 FIT_ROWS, FIT_CHARS, PRECISION = 3000, 8000, 0.9
 _AROUND = 24
-#: No candidate reaches further from its digit or its ``at``.
+#: No candidate but a secret reaches further from its digit or its ``at``; a secret ends with its run.
 _NEAR = 140
+_SECRET_RUN = re.compile(r"[A-Za-z0-9_-]*+")
+_SECRET_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 _BASE = {k: re.compile(v) for k, v in BASE.items()}
 _SPELLED = re.compile(r"@|[\[(]at[\])]|\bat\x20[A-Za-z0-9-]{1,63}\x20[\[(]?dot\b")
 _MORE = {k: re.compile(v) for k, v in MORE.items()}
@@ -123,13 +125,17 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         kinds = [name] if name else [k for k in MORE if k != "spelled_email"]
         low = high = 0
         for m in [*seed.finditer(text), None]:
+            if high and not name and (m is None or m.start() > high):
+                high = max(high, _SECRET_RUN.match(text, high).end())
             if m and m.start() <= high:
-                high = m.end() + _NEAR
+                high = max(high, m.end() + _NEAR)
                 continue
             if high:
                 spans += [(f.start(), f.end(), k) for k in kinds for f in _MORE[k].finditer(text, low, high)]
             if m:
                 low, high = max(high, m.start() - _NEAR), m.end() + _NEAR
+                while not name and low > 0 and text[low] in _SECRET_LETTERS and text[low - 1] in _SECRET_LETTERS:
+                    low -= 1
     return spans
 
 
