@@ -85,6 +85,13 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(docs, fit(docs))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roamframe.llm.merkle import manifest_check
+
+    prepare(spark)
+    return manifest_check(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -96,8 +103,26 @@ QUERIES = {
     "op8_ring_shards": op8_ring_shards,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
+    "op11_merkle": op11_merkle,
 }
 
+#: Unsigned CRC-32 of a short ASCII text in SQL: the table of all bytes, then one step per character.
+CRC_TABLE = """
+crc_table as (
+    select list(list_reduce([n, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, s:
+        case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by n) as crc_of
+    from (select unnest(range(256)) as n)
+)
+"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of the SQL expression ``text``, where ``crc_of`` of ``CRC_TABLE`` is in reach."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: cast(ascii(c) as bigint))"
+    step = "xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {codes}), lambda c, b: {step}), 4294967295)"
+
+
 ORACLE = {
     "op1_exact_dedup": r"""
 with t as (
@@ -121,5 +146,57 @@ select p.page_id, p.payload_bytes, p.payload_digest,
        case when p.page_id <> f.first then 'revisit' else 'response' end as record_type,
        case when p.page_id <> f.first then f.first end as refers_to
 from p left join f on f.payload_digest = p.payload_digest
+""",
+    "op11_merkle": f"""
+with recursive {CRC_TABLE},
+docs as (
+    select doc_id, lang, n_chars,
+           coalesce(octet_length(encode(cast(doc_id as varchar))) || ':' || doc_id, '-')
+           || coalesce(octet_length(encode(source)) || ':' || source, '-')
+           || coalesce(octet_length(encode(lang)) || ':' || lang, '-') as front,
+           coalesce(octet_length(encode(text)) || ':' || text, '-') as back,
+           coalesce({crc32_sql("cast(doc_id as varchar)")} % 7 = 0, false) as tampered
+    from documents, crc_table
+), leaves as (
+    select doc_id, lang, sha256(front || coalesce(length(cast(n_chars as varchar)) || ':' || n_chars, '-') || back) as leaf,
+           sha256(front || coalesce(length(cast(n_chars + tampered::int as varchar)) || ':' || (n_chars + tampered::int), '-') || back) as seen
+    from docs
+), placed as (
+    select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos,
+           dense_rank() over (order by encode(lang) nulls first) - 1 as tree
+    from leaves
+), nodes as (
+    select tree, 0 as lvl, pos, leaf as d, count(*) over (partition by tree) as n from placed
+    union all
+    select tree, lvl + 1, pos // 2, sha256(string_agg(d, '' order by pos)), (n + 1) // 2
+    from nodes where n > 1 group by tree, lvl, pos // 2, n
+), tops as (
+    select tree as pos, 0 as lvl, d, count(*) over () as n from nodes where n = 1
+    union all
+    select pos // 2, lvl + 1, sha256(string_agg(d, '' order by pos)), (n + 1) // 2 from tops where n > 1 group by lvl, pos // 2, n
+), depths as (
+    select tree, max(lvl) as up from nodes group by tree
+), every_node as (
+    select tree, lvl, pos, d, n from nodes where n > 1
+    union all
+    select depths.tree, depths.up + tops.lvl, tops.pos, tops.d, tops.n from tops, depths
+), walk as (
+    select doc_id, pos as leaf_pos, tree, 0 as lvl, pos, leaf, seen as led, '' as proof from placed
+    union all
+    select w.doc_id, w.leaf_pos, w.tree, w.lvl + 1, p.pos // 2, w.leaf,
+           sha256(case when p.pos % 2 = 1 then s.d || w.led else w.led || coalesce(s.d, '') end), w.proof || coalesce(s.d, '')
+    from walk w
+    join depths using (tree)
+    cross join lateral (select case when w.lvl = depths.up then w.tree else w.pos end as pos) p
+    join every_node e on e.tree = w.tree and e.lvl = w.lvl and e.pos = p.pos and e.n > 1
+    left join every_node s on s.tree = w.tree and s.lvl = w.lvl and s.pos = xor(p.pos, 1)
+), ends as (
+    select tree, leaf_pos, arg_max(proof, lvl) as proof, arg_max(led, lvl) as folded_root from walk group by all
+)
+select p.doc_id, p.leaf, u.d as subroot, r.d as root, sha256(e.proof) as proof_sha256, e.folded_root, e.folded_root = r.d as verified
+from placed p
+join ends e on e.tree = p.tree and e.leaf_pos = p.pos
+join nodes u on u.tree = p.tree and u.n = 1
+cross join (select d from tops where n = 1) r
 """,
 }
