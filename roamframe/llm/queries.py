@@ -92,6 +92,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_check(table(spark, sf_dir, "documents"))
 
 
+def op12_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roamframe.llm.chat_tree import chat_round_trip
+
+    prepare(spark)
+    return chat_round_trip(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -104,6 +111,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
     "op11_merkle": op11_merkle,
+    "op12_chat_tree": op12_chat_tree,
 }
 
 #: Unsigned CRC-32 of a short ASCII text in SQL: the table of all bytes, then one step per character.
@@ -198,5 +206,24 @@ from placed p
 join ends e on e.tree = p.tree and e.leaf_pos = p.pos
 join nodes u on u.tree = p.tree and u.n = 1
 cross join (select d from tops where n = 1) r
+""",
+    "op12_chat_tree": r"""
+with said as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+    union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns as (
+    select *, sha256(octet_length(encode(role)) || ':' || role || text) as mark,
+           length(regexp_replace(text, '(\\|</?s>|\[/?INST\])', '\\\1', 'g')) as text_size,
+           length(regexp_replace(role, '(\\|</?s>|\[/?INST\]|\n)', '\\\1', 'g')) as role_size
+    from said
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, mark)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, mark) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(case when role = 'assistant' then text_size + 7 else text_size + role_size + 14 end) as bigint) as formatted_chars
+from turns group by conv_id
 """,
 }
+
