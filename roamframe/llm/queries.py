@@ -99,6 +99,13 @@ def op12_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_round_trip(table(spark, sf_dir, "conversations"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roamframe.llm.repair import damaged_and_repaired
+
+    prepare(spark)
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -112,6 +119,7 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
     "op11_merkle": op11_merkle,
     "op12_chat_tree": op12_chat_tree,
+    "op13_repair": op13_repair,
 }
 
 #: Unsigned CRC-32 of a short ASCII text in SQL: the table of all bytes, then one step per character.
@@ -224,6 +232,76 @@ select conv_id, count(*) as n_turns,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, mark) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum(case when role = 'assistant' then text_size + 7 else text_size + role_size + 14 end) as bigint) as formatted_chars
 from turns group by conv_id
+""",
+    "op13_repair": f"""
+with recursive {CRC_TABLE},
+said as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+           {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind
+    from conversations, crc_table
+), broken as (
+    select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+           case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+           unnest(range(case when kind = 0 then 0 when kind = 3 then 2 else 1 end)) as again
+    from said
+), marked as (
+    select *, dense_rank() over (order by conv_id nulls first) as conv,
+           sha256(octet_length(encode(role)) || ':' || role || text) as mark,
+           rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body
+    from broken
+), ordered as (
+    select *, row_number() over (partition by conv order by turn nulls first, mark, again) as i from marked
+), rows_with_fault as (
+    select *, case when body = '' then 'blank'
+                   when row_number() over (partition by conv, role, text order by i) > 1 then 'duplicate'
+                   when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+           lag(left(role, 1)) over (partition by conv order by i) || left(role, 1) as pair
+    from ordered
+), counted as (
+    select conv, conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+           count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+           count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+    from rows_with_fault group by conv, conv_id
+), steps as (
+    select conv, 0 as i, 0 as q, {{'cost': 0, 'audit': '', 'fixed': cast(null as varchar)}} as best from counted
+    union all
+    select conv, i, q, min({{'cost': cost, 'audit': audit, 'fixed': fixed}}) from (
+        select w.conv, r.i,
+               case when e.edit = 'D' then w.q when e.edit = 'K' and left(r.role, 1) = 's' then 1 when w.q = 2 then 3 else 2 end as q,
+               w.cost + case e.edit when 'D' then 3 when 'R' then 2 else 0 end
+                      + case when r.fault = 'truncated' and e.edit <> 'D' then 1 else 0 end as cost,
+               w.audit || e.edit as audit,
+               case when e.edit = 'D' then w.fixed
+                    else coalesce(w.fixed || chr(10), '') || case when e.edit = 'K' then r.role when w.q = 2 then 'assistant' else 'user' end
+                         || ':' || r.text end as fixed
+        from (
+            select conv, i, case when n = 0 then q when n = 1 then case when q = 2 then 3 else 2 end else 3 end as q,
+                   best.cost + 2 * n as cost, best.audit || repeat('I', n) as audit,
+                   case when n = 0 then best.fixed else coalesce(best.fixed || chr(10), '')
+                       || case when n = 2 then 'user:' || chr(10) || 'assistant:' when q = 2 then 'assistant:' else 'user:' end end as fixed
+            from steps, range(3) as inserts(n) where not (n = 2 and q = 2)
+        ) w
+        join rows_with_fault r on r.conv = w.conv and r.i = w.i + 1
+        cross join (select unnest(['D', 'K', 'R']) as edit) e
+        where e.edit = 'D' or (r.fault not in ('blank', 'duplicate') and (e.edit = 'R'
+              or (left(r.role, 1) = 's' and w.q = 0) or (left(r.role, 1) = 'a' and w.q = 2) or (left(r.role, 1) = 'u' and w.q <> 2)))
+    ) group by conv, i, q
+), ended as (
+    select s.conv, min({{'cost': s.best.cost + 2 * more,
+                        'audit': s.best.audit || repeat('I', more),
+                        'fixed': case when more = 0 then s.best.fixed else coalesce(s.best.fixed || chr(10), '')
+                            || case when more = 2 then 'user:' || chr(10) || 'assistant:' else 'assistant:' end end}}) as best
+    from steps s join counted c on c.conv = s.conv and c.n = s.i cross join range(3) as inserts(more)
+    where (more = 0 and s.q in (0, 3)) or (more = 1 and s.q = 2) or (more = 2 and s.q <> 2)
+    group by s.conv
+)
+select o.conv_id, coalesce(c.gaps, 0) as gaps, coalesce(c.blank, 0) as blank, coalesce(c.duplicate, 0) as duplicate,
+       coalesce(c.truncated, 0) as truncated, coalesce(c.illegal, 0) as illegal, cast(coalesce(e.best.cost, 0) as bigint) as cost,
+       coalesce(e.best.audit, '') as audit, sha256(coalesce(e.best.fixed, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counted c on c.conv_id is not distinct from o.conv_id
+left join ended e on e.conv = c.conv
 """,
 }
 
+
