@@ -1142,9 +1142,8 @@ def bbox_fallback(spark, sf_dir):
 
 
 def _segment_turns(t):
-    return routes.segment_turns(
-        routes.region_segments(t.region_changes), routes.route_turns(t.steps)
-    )
+    turns = C.filter_actions(t.steps).select(*STEP, "action", "degrees")
+    return routes.segment_turns(t.region_changes, turns)
 
 
 @query

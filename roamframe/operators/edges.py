@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from roamframe.operators.poses import STEP, local_position, point
 from roamframe.params import DEFAULTS, Params
 
 EDGE_TYPES = ["egocentric", "allocentric", "object_frame", "inferred"]
-# Objects of a step that one array holds; a step with more has several.
+# Objects of a cell that one array holds; a cell with more has several.
 ARRAY_OBJECTS = 128
+# Edge of a cell in search radii.
+CELL_RADII = 4
 
 
 def _edges(
@@ -77,17 +81,40 @@ def knn_topk(candidates: Column, k: int) -> Column:
     return F.slice(F.array_sort(candidates), 1, k)
 
 
+def _cell(x: Column, y: Column, z: Column) -> Column:
+    """One number for a cell, 21 bits of each axis; cells that share one are only looked through together."""
+    bits = [c.bitwiseAND(F.lit((1 << 21) - 1)) for c in (x, y, z)]
+    return F.shiftleft(bits[0], 42).bitwiseOR(F.shiftleft(bits[1], 21)).bitwiseOR(bits[2])
+
+
+def _cells(axes: list[str], size: float, reach: float) -> Column:
+    """Cells that a point is at most ``reach`` away from along every axis: two per axis, often the same."""
+    # A little more than the radius, so that rounding cannot hide a neighbour on the border.
+    margin = reach * (1 + 1e-9) + 1e-9
+    ends = [[F.floor((F.col(a) + F.lit(m)) / size) for m in (-margin, margin)] for a in axes]
+    return F.array_distinct(F.array(*[_cell(*c) for c in product(*ends)]))
+
+
 def _nearest_in_step(visible: DataFrame, params: Params, array_objects: int) -> DataFrame:
     """Nearest others of the same step.
 
-    The objects of a step lie in arrays of bounded size.  Each object looks through each array of its
-    step and keeps its nearest there; what it kept is merged.  Rows per object are arrays, not pairs.
+    A step is cut into cells of four search radii.  An object is written into every cell within the
+    radius, two of them on average in a room, and looks through its own cell only: whatever is near
+    enough has been written there.  A crowded cell is several arrays of bounded size, and what an
+    object keeps of each is merged.  Work grows with the objects of a cell, not of the step, and rows
+    per object are arrays, not pairs.
     """
     axes = ["local_x", "local_y", "local_z"]
     place = ["object_id", "det_ord", *axes]
+    size = CELL_RADII * params.radius
+    # Without a place in space nothing is near; the comparison below would say so for each pair.
+    for axis in axes:
+        visible = visible.where(F.col(axis).isNotNull() & ~F.isnan(axis) & (F.abs(axis) < float("inf")))
     slot = F.floor(F.col("det_ord") / F.lit(array_objects))
-    frames = visible.groupBy(*STEP, slot.alias("__slot")).agg(
-        F.collect_list(F.struct("det_ord", "object_id", *axes)).alias("objs")
+    frames = (
+        visible.withColumn("__cell", F.explode(_cells(axes, size, params.radius)))
+        .groupBy(*STEP, "__cell", slot.alias("__slot"))
+        .agg(F.collect_list(F.struct("det_ord", "object_id", *axes)).alias("objs"))
     )
 
     def near(o: dict[str, Column]) -> Column:
@@ -105,10 +132,11 @@ def _nearest_in_step(visible: DataFrame, params: Params, array_objects: int) ->
         )
         return knn_topk(others, params.k_neighbors)
 
-    looked = visible.select(*STEP, *place).join(frames, STEP)
-    kept = looked.select(*STEP, *place, near({c: F.col(c) for c in place}).alias("near"))
+    own = _cell(*[F.floor(F.col(a) / size) for a in axes])
+    looked = visible.select(*STEP, *place, own.alias("__cell")).join(frames, [*STEP, "__cell"])
+    kept = looked.select(*STEP, "__cell", *place, near({c: F.col(c) for c in place}).alias("near"))
     kept = kept.where(F.size("near") > 0)
-    merged = kept.groupBy(*STEP, *place).agg(
+    merged = kept.groupBy(*STEP, "__cell", *place).agg(
         knn_topk(F.flatten(F.collect_list("near")), params.k_neighbors).alias("near")
     )
     return merged.select(*STEP, *place, F.posexplode("near").alias("i", "n")).select(

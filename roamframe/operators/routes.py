@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,14 @@ from roamframe.functions import geometry as G
 from roamframe.functions.clean import filter_actions, is_movement
 from roamframe.functions.text import action_label, region_label
 from roamframe.operators.poses import STEP, point
-from roamframe.operators.tracks import asof
 from roamframe.ordered import (
     following,
+    last_value,
     next_value,
     row_number,
     running_sum,
     step_block,
+    total,
     with_ordered,
 )
 from roamframe.params import DEFAULTS, Params
@@ -129,13 +132,59 @@ def region_segments(change_points: DataFrame) -> DataFrame:
     )
 
 
-def segment_turns(segments: DataFrame, turns: DataFrame) -> DataFrame:
-    """Turns with ``t0 <= step < t1`` and their segment.
+def segment_turns(
+    change_points: DataFrame, turns: DataFrame, totals: Sequence[str] = ()
+) -> DataFrame:
+    """Turns with ``t0 <= step < t1`` and the segment between two change points they lie in.
 
-    Segments do not overlap, so this is an as-of read.
+    Change points and turns are merged and scanned in order once: the latest change before a turn, the
+    next one after it, and how many came before.  A segment's regions differ.  ``totals`` names number
+    columns of ``turns`` whose sums over the episode are wanted as ``all_`` columns.
     """
-    found = asof(segments, turns, ["episode_id"], "t0", "step", unique=True)
-    return found.where(F.col("step") < F.col("t1"))
+    change = ["timestep", "region_id", "region_type"]
+    points = change_points.select(
+        "episode_id",
+        F.col("timestep").alias("__t"),
+        F.lit(0).alias("__q"),
+        F.struct(*change).alias("__c"),
+        *[F.lit(None).cast(turns.schema[c].dataType).alias(c) for c in totals],
+    )
+    asked = turns.select(
+        "episode_id",
+        F.col("step").alias("__t"),
+        F.lit(1).alias("__q"),
+        *totals,
+        F.struct(*[c for c in turns.columns if c not in ("episode_id", "step", *totals)]).alias("__row"),
+    )
+    merged = points.unionByName(asked, allowMissingColumns=True).withColumn("__one", 1 - F.col("__q"))
+    scanned = with_ordered(
+        merged,
+        ["episode_id"],
+        ["__t", "__q"],
+        step_block("__t"),
+        {"__n": running_sum("__one"), "__at": last_value("__c"), "__next": next_value("__c")}
+        | {f"all_{c}": total(c) for c in totals},
+        once=True,
+    )
+    found = scanned.where(
+        (F.col("__q") == 1)
+        & (F.col("__next.timestep") > F.col("__at.timestep"))
+        & ~F.col("__at.region_id").eqNullSafe(F.col("__next.region_id"))
+    )
+    return found.select(
+        "episode_id",
+        F.col("__t").alias("step"),
+        "__row.*",
+        *totals,
+        *[f"all_{c}" for c in totals],
+        (F.col("__n") - 1).cast("int").alias("seg"),
+        F.col("__at.timestep").alias("t0"),
+        F.col("__next.timestep").alias("t1"),
+        F.col("__at.region_id").alias("source_region_id"),
+        F.col("__next.region_id").alias("goal_region_id"),
+        region_label(F.col("__at.region_type"), F.col("__at.region_id")).alias("source"),
+        region_label(F.col("__next.region_type"), F.col("__next.region_id")).alias("goal"),
+    )
 
 
 def run_lengths(turns: Column) -> Column:

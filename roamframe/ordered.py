@@ -8,6 +8,10 @@ key are cut into blocks (``block`` must grow with ``order``, usually ``step div
 3. rows are windowed inside their block only and combined with the carried value.
 
 No task ever holds more than one block of rows or the block summaries of one key.
+
+By default the input is read for the summaries and again for the rows: the first reading is narrow and
+summed up before its shuffle.  Where the input is costly, ``once`` deals the rows to their blocks first
+and takes both from that one shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 _BLK = "__block"
+_ROWS = "__rows"
 
 
 def step_block(col: str | Column, size: int = BLOCK) -> Column:
@@ -138,15 +143,29 @@ def with_ordered(
     order: Sequence[str],
     block: Column,
     ops: Mapping[str, Op],
+    once: bool = False,
 ) -> DataFrame:
-    """Add one column per entry of ``ops``; ``order`` must be unique within ``keys``."""
+    """Add one column per entry of ``ops``; ``order`` must be unique within ``keys``.
+
+    ``once`` reads the input a single time.  It needs every column of ``df`` to be used later on: a
+    column dropped from one of the two readings would make them different shuffles.
+    """
     keys, order = list(keys), list(order)
     df = df.withColumn(_BLK, block)
     by = F.struct(*order)
+    if once:
+        # The join below drops null keys: said of both readings, lest their shuffles differ.
+        for key in [*keys, _BLK]:
+            df = df.where(F.col(key).isNotNull())
+        df = df.repartition(*keys, _BLK)
     carries = {name: f"__carry_{i}" for i, name in enumerate(ops)}
-    summary = df.groupBy(*keys, _BLK).agg(
-        *[_summary(op, by).alias(carries[name]) for name, op in ops.items()]
-    )
+    parts = [_summary(op, by).alias(carries[name]) for name, op in ops.items()]
+    if once:
+        # Counting whole rows keeps all columns in this reading, so that the shuffle is used again.
+        parts.append(F.count(F.when(F.col(_BLK).isNotNull(), F.struct(*df.columns))).alias(_ROWS))
+    summary = df.groupBy(*keys, _BLK).agg(*parts)
+    if once:
+        summary = summary.where(F.col(_ROWS) >= 0)
     summary = summary.select(
         *keys, _BLK, *[_carry(op, carries[n], keys).alias(carries[n]) for n, op in ops.items()]
     )

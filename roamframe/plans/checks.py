@@ -12,10 +12,10 @@ from roamframe.operators.aggregates import displaced_ids, last_region_labels, vi
 from roamframe.operators.memory import non_visible_objects, remember
 from roamframe.operators.paths import region_paths_from
 from roamframe.operators.poses import STEP, local_position, point
-from roamframe.operators.routes import action_runs, region_segments, segment_turns
+from roamframe.operators.routes import action_runs, region_segments
 from roamframe.ordered import running_sum, step_block, with_ordered
 from roamframe.params import DEFAULTS, Params
-from roamframe.plans.facts import ARROW, walked_turns
+from roamframe.plans.facts import ARROW, walked_segments
 from roamframe.plans.items import question_text
 from roamframe.plans.tables import EpisodeTables
 
@@ -104,7 +104,7 @@ def validate_items(items: DataFrame, t: EpisodeTables, params: Params = DEFAULTS
         {f"__{c}": F.coalesce(F.col(f"displacement_event.{c}").cast("string"), F.lit("")) for c in which}
     )
     moved = moved.join(events, ["episode_id", *[f"__{c}" for c in which]], "left")
-    runs = action_runs(segment_turns(region_segments(t.region_changes), walked_turns(t))).select(
+    runs = action_runs(walked_segments(t)).select(
         "episode_id",
         F.col("t0").alias("encoding_step"),
         F.array_join("turn_labels", ARROW).alias("again"),

@@ -8,12 +8,13 @@ images are looked up afterwards.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamframe.functions import geometry as G
-from roamframe.functions.clean import CONSTRUCT_NAMES, filter_actions
+from roamframe.functions.clean import CONSTRUCT_NAMES, is_action
 from roamframe.functions.options import BEARINGS, limit_images, limit_options, present, text_array
 from roamframe.functions.text import display_name, ego_label, quoted_list, receptacle_phrase
 from roamframe.operators.aggregates import (
@@ -30,7 +31,6 @@ from roamframe.operators.routes import (
     action_runs,
     exclude_displaced,
     next_movement,
-    region_segments,
     segment_turns,
 )
 from roamframe.ordered import row_number, step_block, with_ordered
@@ -72,8 +72,9 @@ ARROW = " → "
 
 
 def _facts(df: DataFrame, construct: str, status: Column | str, **columns: Column) -> DataFrame:
-    """Rows in the shape of a facts table; columns not given are null, lists are empty."""
+    """Rows in the shape of a facts table, and their views; columns not given are null, lists are empty."""
     given = {**columns, "construct": F.lit(construct)}
+    views = given.pop("views", F.array()).cast(VIEWS).alias("views")
     given["status"] = F.lit(status) if isinstance(status, str) else status
     out = []
     for name, type_ in FACT_COLUMNS.items():
@@ -85,7 +86,7 @@ def _facts(df: DataFrame, construct: str, status: Column | str, **columns: Colum
             out.append(F.array().cast(NO_TEXTS).alias(name))
         else:
             out.append(F.lit(None).cast(type_).alias(name))
-    return df.select(*out)
+    return df.select(*out, views)
 
 
 def _if(planned: Column, *texts: Column) -> Column:
@@ -102,6 +103,17 @@ def top_n_facts(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def planner(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A planner whose facts have their images; ``plan.views`` gives them with their views instead."""
+
+    @wraps(plan)
+    def whole(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataFrame:
+        return with_images(plan(t, n, params), t.steps)
+
+    whole.views = plan
+    return whole
+
+
 def union_facts(*facts: DataFrame) -> DataFrame:
     out = facts[0]
     for more in facts[1:]:
@@ -109,12 +121,37 @@ def union_facts(*facts: DataFrame) -> DataFrame:
     return out
 
 
-def _images(df: DataFrame, steps: DataFrame, step_col: str, name: str) -> DataFrame:
-    """Image path of a step; null where the step is not in the log."""
-    images = steps.select(
-        "episode_id", F.col("step").alias(step_col), F.col("image_path").alias(name)
+VIEWS = "array<struct<step:int,image:string>>"
+
+
+def _views(*views: str | Column) -> Column:
+    """Images of a fact: names of step columns to look up, or known images."""
+    step = lambda v: F.struct(F.col(v).cast("int").alias("step"), F.lit(None).cast("string").alias("image"))
+    known = lambda v: F.struct(F.lit(None).cast("int").alias("step"), v.alias("image"))
+    return F.array(*[step(v) if isinstance(v, str) else known(v) for v in views])
+
+
+def with_images(facts: DataFrame, steps: DataFrame) -> DataFrame:
+    """Facts with ``image_paths`` in place of ``views``; a step that is not in the log has no image.
+
+    One lookup for the facts of all planners: each fact is dealt to its views, and put together again.
+    Survey facts show each image once.
+    """
+    columns = [c for c in facts.columns if c != "views"]
+    asked = facts.select(
+        "episode_id", "construct", "rank", F.struct(*columns).alias("fact"), F.posexplode_outer("views").alias("i", "view")
+    )
+    asked = asked.withColumn("step", F.col("view.step"))
+    looked = asked.join(steps.select(*STEP, "image_path"), STEP, "left")
+    image = F.struct("i", F.coalesce("view.image", "image_path").alias("image"))
+    whole = looked.groupBy("episode_id", "construct", "rank").agg(
+        F.first("fact").alias("fact"), F.sort_array(F.collect_list(image)).alias("images")
+    )
+    shown = F.transform("images", lambda v: v["image"])
+    paths = F.when(F.col("construct") == "survey_knowledge", limit_images(shown)).otherwise(present(shown))
+    return whole.withColumn("image_paths", paths).select(
+        *[F.col("image_paths") if c == "image_paths" else F.col("fact")[c].alias(c) for c in columns]
     )
-    return df.join(images, ["episode_id", step_col], "left")
 
 
 def _label(diff: Column, params: Params) -> Column:
@@ -131,12 +168,13 @@ def _source_text(step: Column, kind: str, target: Column) -> Column:
     )
 
 
+@planner
 def plan_egocentric(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataFrame:
     """Each visible object that has a direction from the agent."""
     labelled = t.visible.select(
         *STEP, "det_ord", "object_id", "category", _label(point("local"), params).alias("label")
     ).where(F.col("label").isNotNull())
-    picked = _images(top_n_facts(labelled, n, ["step", "det_ord"]), t.steps, "step", "image")
+    picked = top_n_facts(labelled, n, ["step", "det_ord"])
     return _facts(
         picked,
         "egocentric_encoding",
@@ -149,7 +187,7 @@ def plan_egocentric(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) ->
         answer_source=F.array(
             _source_text(F.col("step"), "edges_egocentric", F.col("object_id"))
         ),
-        image_paths=present(F.array("image")),
+        views=_views("step"),
         options_pool=text_array(BEARINGS),
         distractor_seeds=text_array(["opposite_direction", "orthogonal_direction"]),
         object_type=display_name(F.col("category"), F.col("object_id")),
@@ -195,7 +233,7 @@ def _remembered_fact(df: DataFrame, construct: str, status: str, seeds: Column,
         encoding_step=F.col("last_seen"),
         queried_object_id=F.col("object_id"),
         answer_label=F.col("label"),
-        image_paths=present(F.array("seen_image", "image")),
+        views=_views("last_seen", F.col("image")),
         options_pool=text_array(BEARINGS),
         distractor_seeds=seeds,
         object_type=display_name(F.col("category"), F.col("object_id")),
@@ -203,6 +241,7 @@ def _remembered_fact(df: DataFrame, construct: str, status: str, seeds: Column,
     )
 
 
+@planner
 def plan_working_memory(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataFrame:
     """Out-of-view objects that never moved; the answer is where they were when last seen.
 
@@ -216,7 +255,6 @@ def plan_working_memory(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS)
         "episode_id", F.col("pos").alias("query_pos"), "step", F.col("image_path").alias("image")
     )
     picked = picked.join(here, ["episode_id", "query_pos"])
-    picked = _images(picked, t.steps, "last_seen", "seen_image")
     return _remembered_fact(
         picked,
         "spatial_working_memory",
@@ -245,6 +283,7 @@ def _bearing_now(rows: DataFrame, steps: DataFrame, params: Params) -> DataFrame
     return placed.withColumn("label", _label(F.col("__local"), params)).drop("__local")
 
 
+@planner
 def plan_spatial_updating(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataFrame:
     """As working memory, after a movement; the answer is the bearing from the pose now.
 
@@ -274,7 +313,7 @@ def plan_spatial_updating(t: EpisodeTables, n: int = 3, params: Params = DEFAULT
         F.array().cast(NO_TEXTS)
     )
     return _remembered_fact(
-        _images(picked, t.steps, "last_seen", "seen_image"),
+        picked,
         "spatial_updating",
         "thin",
         F.concat(earlier, text_array(["pre_move_bearing", "opposite_direction"])),
@@ -283,6 +322,7 @@ def plan_spatial_updating(t: EpisodeTables, n: int = 3, params: Params = DEFAULT
     )
 
 
+@planner
 def plan_invisible_displacement(
     t: EpisodeTables, n: int = 3, params: Params = DEFAULTS
 ) -> DataFrame:
@@ -313,7 +353,6 @@ def plan_invisible_displacement(
         "before",
         F.when(F.col("at_timestep").isNotNull(), F.greatest(F.lit(0), F.col("at_timestep") - 1)),
     )
-    picked = _images(picked, t.steps, "before", "image_before")
     answer = receptacle_phrase(F.col("to_receptacle"))
     origin = F.when(
         (F.coalesce(F.col("from_receptacle"), F.lit("")) != "")
@@ -341,7 +380,7 @@ def plan_invisible_displacement(
             F.concat(F.lit("displacement_events[obj_id="), "object_id", F.lit("].to_receptacle")),
             F.concat(F.lit("object_state_track["), "object_id", F.lit("]")),
         ),
-        image_paths=present(F.array("image_before", F.col("end.image_path"))),
+        views=_views("before", F.col("end.image_path")),
         options_pool=F.slice(F.concat("own", spare), 1, 4),
         distractor_seeds=text_array(
             ["original_location", "nearby_receptacle", "salient_decoy_location"]
@@ -373,6 +412,7 @@ def _first_landmarks(landmarks: DataFrame) -> DataFrame:
     )
 
 
+@planner
 def plan_allocentric(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataFrame:
     """First object-object edge of each step."""
     relative = ["to the left of it", "to the right of it", "in front of it", "behind it"]
@@ -388,7 +428,7 @@ def plan_allocentric(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) ->
             *STEP, F.col("object_id").alias(end), F.col("category").alias(f"{end}_category")
         )
         edges = edges.join(seen, [*STEP, end])
-    picked = _images(top_n_facts(edges, n, ["step"]), t.steps, "step", "image")
+    picked = top_n_facts(edges, n, ["step"])
     source_text = F.concat(
         F.lit("steps["),
         F.col("step").cast("string"),
@@ -410,7 +450,7 @@ def plan_allocentric(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) ->
         reference_object_id=F.col("source"),
         answer_label=F.col("label"),
         answer_source=F.array(source_text),
-        image_paths=present(F.array("image")),
+        views=_views("step"),
         options_pool=F.concat(F.array("label"), decoys),
         distractor_seeds=text_array(["opposite_relation", "viewer_frame_answer"]),
         object_type=display_name(F.col("target_category"), F.col("target")),
@@ -418,26 +458,22 @@ def plan_allocentric(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) ->
     )
 
 
-def walked_turns(t: EpisodeTables) -> DataFrame:
-    """Turns, or for episodes without any all their steps; unnamed actions never merge."""
-    turns = filter_actions(t.steps).select(*STEP, "action", "degrees", F.lit(True).alias("merges"))
-    without = t.steps.join(turns.select("episode_id").distinct(), "episode_id", "left_anti")
+def walked_segments(t: EpisodeTables) -> DataFrame:
+    """Turns of every segment, or for episodes without any all their steps; unnamed actions never merge."""
+    acted = F.coalesce(is_action(F.col("action")), F.lit(False))
     named = F.col("action").isNotNull() & (F.col("action") != "")
-    return turns.unionByName(
-        without.select(
-            *STEP,
-            F.when(named, F.col("action")).otherwise("move").alias("action"),
-            "degrees",
-            named.alias("merges"),
-        )
+    steps = t.steps.select(*STEP, "action", "degrees", acted.cast("int").alias("turn"))
+    walked = segment_turns(t.region_changes, steps, totals=["turn"])
+    merges = (F.col("turn") == 1) | named
+    return walked.where((F.col("turn") == 1) | (F.col("all_turn") == 0)).withColumns(
+        {"action": F.when(merges, F.col("action")).otherwise("move"), "merges": merges}
     )
 
 
+@planner
 def plan_route(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataFrame:
     """Action sequence of a walked segment between two regions."""
-    segments = region_segments(t.region_changes)
-    runs = action_runs(segment_turns(segments, walked_turns(t)))
-    picked = top_n_facts(runs, n, ["seg"])
+    picked = top_n_facts(action_runs(walked_segments(t)), n, ["seg"])
     labels = F.col("turn_labels")
     size = F.size(labels)
     swapped = F.when(
@@ -449,14 +485,14 @@ def plan_route(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataF
         ),
     ).otherwise(labels)
     # Every episode without a pick gets a row that says why.
-    known = t.region_changes.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_changes"))
-    acted = t.steps.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_acts"))
-    rows = (
-        t.episodes.select("episode_id")
-        .join(known, "episode_id", "left")
-        .join(acted, "episode_id", "left")
-        .join(picked, "episode_id", "left")
-    )
+    one, none = F.lit(1), F.lit(0)
+    has = (
+        t.region_changes.select("episode_id", one.alias("change"), none.alias("act"))
+        .unionByName(t.steps.select("episode_id", none.alias("change"), one.alias("act")))
+        .groupBy("episode_id")
+        .agg(F.sum("change").alias("n_changes"), F.sum("act").alias("n_acts"))
+    )
+    rows = t.episodes.select("episode_id").join(has, "episode_id", "left").join(picked, "episode_id", "left")
     planned = F.col("rank").isNotNull()
     found = rows.withColumn("answer", F.when(planned, F.array_join(labels, ARROW)))
     own = F.array_distinct(
@@ -474,9 +510,8 @@ def plan_route(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataF
             i >= F.size("own"), F.concat(F.lit("decoy_route_"), i.cast("string"))
         ),
     )
-    found = _images(_images(found, t.steps, "t0", "image_0"), t.steps, "t1", "image_1")
     text = lambda c: F.col(c).cast("string")
-    too_little = (F.coalesce("n_changes", F.lit(0)) < 2) | F.col("n_acts").isNull()
+    too_little = (F.coalesce("n_changes", F.lit(0)) < 2) | (F.coalesce("n_acts", F.lit(0)) == 0)
     return _facts(
         found,
         "route_knowledge",
@@ -506,7 +541,7 @@ def plan_route(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataF
                 F.lit("route.turns[step>="), text("t0"), F.lit(" and step<"), text("t1"), F.lit("]")
             ),
         ),
-        image_paths=present(F.array("image_0", "image_1")),
+        views=_views("t0", "t1"),
         options_pool=_texts(
             planned, F.slice(F.concat("own", F.filter(filler, lambda f: f.isNotNull())), 1, 4)
         ),
@@ -632,6 +667,7 @@ def _first_pairs(visits: DataFrame, connectivity: DataFrame, n: int) -> DataFram
             return found
 
 
+@planner
 def plan_survey(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataFrame:
     """First link of the shortest layout path between two regions of the episode."""
     linked = t.connectivity.select("scene_id").distinct()
@@ -673,9 +709,6 @@ def plan_survey(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> Data
         ),
         lambda f: f.isNotNull(),
     )
-    picked = _images(
-        _images(picked, t.steps, "visit_a", "image_a"), t.steps, "visit_b", "image_b"
-    )
     ends = t.region_changes.groupBy("episode_id").agg(
         F.min("timestep").alias("t_first"), F.max("timestep").alias("t_last")
     )
@@ -712,7 +745,7 @@ def plan_survey(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> Data
                 quoted_list(F.col("path_regions")),
             ),
         ),
-        image_paths=limit_images(F.array("image_a", "image_b")),
+        views=_views("visit_a", "visit_b"),
         options_pool=_texts(
             planned, limit_options(F.concat(F.array("answer"), "own", filler))
         ),
@@ -725,6 +758,7 @@ def plan_survey(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> Data
     )
 
 
+@planner
 def plan_perspective(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) -> DataFrame:
     """No object has a trusted facing, so there is never a fact."""
     rows = t.episodes.where(F.lit(n > 0))
@@ -758,10 +792,10 @@ def plan_all(
     """Facts of the chosen constructs, numbered per episode in construct order."""
     names = [c for c in constructs if c in PLANNERS]
     parts = [
-        PLANNERS[c](t, n, params).withColumn("construct_ord", F.lit(i))
+        PLANNERS[c].views(t, n, params).withColumn("construct_ord", F.lit(i))
         for i, c in enumerate(names)
     ]
-    facts = union_facts(*parts)
+    facts = with_images(union_facts(*parts), t.steps)
     # At most n rows per construct and episode reach this window.
     w = Window.partitionBy("episode_id").orderBy("construct_ord", "rank")
     return facts.withColumn("fact_no", F.row_number().over(w) - 1)

@@ -47,3 +47,30 @@ def test_neighbours_match_brute_force(spark, array_objects):
     assert got == brute(points, 3, 1.5)
     got = {(r.source, r.target, r.ord_minor) for r in rows if r.episode_id == 1}
     assert got == brute(small, 3, 1.5)
+
+
+def test_neighbours_across_cell_borders(spark):
+    """Points exactly a radius apart on both sides of every border, far out, and without a place."""
+    places = [(6.0 * i + d, 0.0, -6.0 * i) for i in range(-2, 3) for d in (-1.5, -0.75, 0.0, 0.75, 1.5)]
+    places += [(x, y, z) for x in (-0.5, 0.5) for y in (5.9, 6.1) for z in (-6.4, -5.6)]
+    places += [(1e7, 0.0, 0.0), (1e7 + 1.5, 0.0, 0.0), (math.nan, 0.0, 0.0), (math.inf, 0.0, 0.0), (0.0, -math.inf, 0.0)]
+    points = [(0, 0, f"O|{i}", i, "c", *p) for i, p in enumerate(places)] + [(0, 0, "O|x", 900, "c", None, 0.0, 0.0)]
+    rows = edges_allocentric(spark.createDataFrame(points, SCHEMA)).collect()
+    assert {(r.source, r.target, r.ord_minor) for r in rows} == brute(points[:-1], 3, 1.5)
+
+
+def test_a_wide_step_is_searched_cell_by_cell(spark):
+    """Objects of one step, a metre apart: what an object looks through does not grow with the step."""
+    from pyspark.sql import functions as F
+
+    from roamframe.operators import edges
+
+    looked = {}
+    for n in (20, 40):
+        points = [(0, 0, f"O|{i}", i, "c", float(i % n), 0.0, float(i // n)) for i in range(n * n)]
+        df = spark.createDataFrame(points, SCHEMA)
+        cells = df.select(F.explode(edges._cells(["local_x", "local_y", "local_z"], 6.0, 1.5)).alias("cell"))
+        looked[n] = cells.groupBy("cell").count().agg(F.max("count")).first()[0]
+        assert cells.count() <= 8 * n * n
+    # A cell reaches over nine metres each way at most, however large the step is.
+    assert looked == {20: 81, 40: 81}
