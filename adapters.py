@@ -16,7 +16,16 @@ from roamframe.plans.facts import plan_all
 from roamframe.plans.tables import EpisodeTables, derive
 from roamframe.storage import saved
 
-SCENE = "house_000001"
+SCENES = ["house_000001", "house_000002"]
+
+
+def scene_of(episode_id: str = "episode_id") -> F.Column:
+    """Episodes take the scenes in turn; both have the same layout."""
+    return F.when(F.col(episode_id) % 2 == 0, SCENES[0]).otherwise(SCENES[1])
+
+
+def _of_scenes(layout: DataFrame) -> DataFrame:
+    return layout.select(F.explode(F.array(*[F.lit(s) for s in SCENES])).alias("scene_id"), "*")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -170,7 +179,6 @@ def displacement_events(state_rows: DataFrame) -> DataFrame:
 def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
     return _table(spark, sf_dir, "nation").select(
-        F.lit(SCENE).alias("scene_id"),
         key.cast("int").alias("row_ord"),
         F.concat(F.lit("room|"), key.cast("string")).alias("from_region"),
         F.concat(F.lit("room|"), ((key * 3 + 1) % 25).cast("string")).alias("to_region"),
@@ -182,7 +190,6 @@ def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
     return _table(spark, sf_dir, "nation").select(
-        F.lit(SCENE).alias("scene_id"),
         key.cast("int").alias("row_ord"),
         F.concat(F.lit("room|"), key.cast("string")).alias("region_id"),
         F.when(key % 4 != 3, F.concat(F.lit("Hall "), key.cast("string"))).alias("label"),
@@ -192,7 +199,6 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("r_regionkey").cast("string")
     return _table(spark, sf_dir, "region").select(
-        F.lit(SCENE).alias("scene_id"),
         F.col("r_regionkey").cast("int").alias("row_ord"),
         F.concat(F.lit("Shelf"), key, F.lit("|"), key).alias("landmark_id"),
         F.lit("Shelf").alias("category"),
@@ -230,7 +236,7 @@ def base(spark: SparkSession, sf_dir: str) -> EpisodeTables:
         _built[key] = EpisodeTables(
             episodes=step_rows.select("episode_id")
             .distinct()
-            .withColumns({"scene_id": F.lit(SCENE), "environment": F.lit("ai2thor")}),
+            .withColumns({"scene_id": scene_of(), "environment": F.lit("ai2thor")}),
             steps=step_rows,
             detections=seen,
             objects=catalog,
@@ -239,9 +245,9 @@ def base(spark: SparkSession, sf_dir: str) -> EpisodeTables:
             region_trajectory=step_rows.select(
                 "episode_id", F.col("step").alias("timestep"), "region_id", "region_type"
             ),
-            regions=regions(spark, sf_dir),
-            landmarks=landmarks(spark, sf_dir),
-            connectivity=connectivity(spark, sf_dir),
+            regions=_of_scenes(regions(spark, sf_dir)),
+            landmarks=_of_scenes(landmarks(spark, sf_dir)),
+            connectivity=_of_scenes(connectivity(spark, sf_dir)),
         )
     return _built[key]
 

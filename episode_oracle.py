@@ -735,11 +735,12 @@ WHY = (
     + ORTH.format("answer_label")
     + " then 'orthogonal_direction' else 'diagnostic_decoy' end)"
 )
-TAG = "'house_000001'"
+SCENE = "'house_00000' || (1 + episode_id % 2)"
+TAG = "'house_00000' || (1 + f.episode_id % 2)"
 VIEWS["ep_items"] = f"""
     select f.episode_id, {ITEM_ID.format(tag=TAG, style='v.style')} as item_id, f.construct,
            {CLASS} as class, {FRAME} as frame_of_reference, 'ai2thor' as environment,
-           'house_000001' as scene_id,
+           {TAG} as scene_id,
            case when v.style = 'verbose' then p.preamble || ' ' else '' end || {QUESTION} as question,
            array_to_string(c.ordered, ' | ') as options,
            ['A', 'B', 'C', 'D'][list_position(c.ordered, f.answer_label)] as answer, f.status,
@@ -753,8 +754,8 @@ VIEWS["ep_items"] = f"""
     join (select episode_id, fact_no, preamble from ep_preamble) p using (episode_id, fact_no)
     cross join (values ('concise', 'verbose'), ('verbose', 'concise')) as v(style, other)
     union all
-    select episode_id, 'house_000001_' || printf('%03d', fact_no) || '_' || construct || '_unsupported',
-           construct, {CLASS}, {FRAME}, 'ai2thor', 'house_000001', '', '', null, 'unsupported',
+    select episode_id, {SCENE} || '_' || printf('%03d', fact_no) || '_' || construct || '_unsupported',
+           construct, {CLASS}, {FRAME}, 'ai2thor', {SCENE}, '', '', null, 'unsupported',
            null, null, 'concise', null, '', reason, null
     from ep_facts where status = 'unsupported'"""
 
@@ -869,7 +870,7 @@ _SQL = {
       union all select episode_id, 'route_landmarks', count(*) from ep_landmark group by 1
       union all select episode_id, 'route_turns', count(*) from ep_turns group by 1""",
     "load_episode": f"""
-      select s.episode_id, 'house_000001' as scene_id, s.step, 'img_' || s.step || '.png' as image_path,
+      select s.episode_id, 'house_00000' || (1 + s.episode_id % 2) as scene_id, s.step, 'img_' || s.step || '.png' as image_path,
              {r('s.cam_x')} as x,
              case when v.ids is not null then v.ids when g.n > 0 then '' else 'none' end as visible_ids,
              cast(coalesce(g.n, 0) as int) as n_remembered, coalesce(a.near, 'none') as near
@@ -897,8 +898,8 @@ _SQL = {
       select episode_id, step, action, case when event_id % 2 = 1 then region_id end as region_id from ep_steps""",
     "get_edges": f"""
       select {EDGE} from ep_inferred where (episode_id, step) in (select episode_id, step from ep_last)""",
-    "list_episodes": """
-      select episode_id, 'house_000001' as scene_id, 'ai2thor' as environment, count(*) as n_steps,
+    "list_episodes": f"""
+      select episode_id, {SCENE} as scene_id, 'ai2thor' as environment, count(*) as n_steps,
              row_number() over (order by -(cast(episode_id as bigint) % 7) * 3600 - cast(episode_id as bigint),
                                 episode_id) - 1 as place
       from ep_steps group by 1""",
@@ -1049,10 +1050,10 @@ _SQL = {
              case when ok then cmax end as cmax, case when ok then rmax end as rmax
       from (select *, step % 3 <> 0 or step % 2 = 0 as ok from ep_visible)""",
     "segment_turns": "select episode_id, step, seg, t0, t1, action, degrees from ep_segturns",
-    "region_path_bfs": """
-      select 'house_000001' as scene_id, p.start, p.goal, array_to_string(p.nodes, ',') as path_regions,
+    "region_path_bfs": f"""
+      select g.scene_id, p.start, p.goal, array_to_string(p.nodes, ',') as path_regions,
              array_to_string(p.passages, ',') as passages
-      from ep_paths p join (select distinct region_id, 'room|' || (event_id % 25) as goal from ep_steps) g
+      from ep_paths p join (select distinct {SCENE} as scene_id, region_id, 'room|' || (event_id % 25) as goal from ep_steps) g
         on g.region_id = p.start and g.goal = p.goal""",
     "edges_of_visible": f"select {EDGE} from ep_allo",
     "dedup_last": """
@@ -1290,7 +1291,7 @@ _SQL["marker_table"] = """
 
 
 _SQL["validate_items"] = f"""
-    select episode_id, {ITEM_ID.format(tag=TAG, style="'concise'")} as item_id, construct, answer_label,
+    select episode_id, {ITEM_ID.format(tag=SCENE, style="'concise'")} as item_id, construct, answer_label,
            answer_label as again, true as agrees
     from ep_facts where status <> 'unsupported'"""
 VIEWS["ep_walk"] = """
@@ -1367,7 +1368,7 @@ VIEWS["ep_judged"] = f"""
     select f.episode_id, f.fact_no, i.* exclude (episode_id)
     from ep_facts f join ep_items i on i.episode_id = f.episode_id and i.question_style = 'concise'
       and i.item_id = case when f.status = 'unsupported'
-        then 'house_000001_' || printf('%03d', f.fact_no) || '_' || f.construct || '_unsupported'
+        then {TAG} || '_' || printf('%03d', f.fact_no) || '_' || f.construct || '_unsupported'
         else {ITEM_ID.format(tag=TAG, style="'concise'").replace('construct', 'f.construct')
               .replace('query_step', 'f.query_step')} end"""
 _SQL["freeze_filter"] = """

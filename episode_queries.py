@@ -1159,7 +1159,7 @@ def region_path_bfs(spark, sf_dir):
     t = A.derived(spark, sf_dir)
     goal = F.concat(F.lit("room|"), (F.col("event_id") % 25).cast("string"))
     pairs = t.steps.select(
-        F.lit(A.SCENE).alias("scene_id"), F.col("region_id").alias("start"), goal.alias("goal")
+        A.scene_of().alias("scene_id"), F.col("region_id").alias("start"), goal.alias("goal")
     ).distinct()
     return paths.region_path_bfs(t.connectivity, pairs).select(
         "scene_id",
@@ -1225,9 +1225,8 @@ def region_labels(spark, sf_dir):
     """Label of the region of every step."""
     t = A.base(spark, sf_dir)
     labels = aggregates.region_labels(t.regions)
-    return t.steps.select(*STEP, "region_id").join(labels, "region_id").select(
-        *STEP, "region_id", "region_label"
-    )
+    rows = t.steps.select(*STEP, "region_id", A.scene_of().alias("scene_id"))
+    return rows.join(labels, ["scene_id", "region_id"]).select(*STEP, "region_id", "region_label")
 
 
 @query

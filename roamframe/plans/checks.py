@@ -10,7 +10,7 @@ from roamframe.functions.clean import is_movement
 from roamframe.functions.text import ego_label, receptacle_phrase
 from roamframe.operators.aggregates import displaced_ids, last_region_labels, visited_regions
 from roamframe.operators.memory import non_visible_objects, remember
-from roamframe.operators.paths import region_paths_from
+from roamframe.operators.paths import region_path_bfs
 from roamframe.operators.poses import STEP, local_position, point
 from roamframe.operators.routes import action_runs, region_segments
 from roamframe.ordered import running_sum, step_block, with_ordered
@@ -116,7 +116,7 @@ def validate_items(items: DataFrame, t: EpisodeTables, params: Params = DEFAULTS
     )
     labels = last_region_labels(t.regions).withColumnRenamed("region_id", "hop")
     first = (
-        region_paths_from(t.connectivity, planned.select("scene_id", "start").distinct())
+        region_path_bfs(t.connectivity, planned.select("scene_id", "start", "goal").distinct())
         .where(F.size("path_regions") >= 2)
         .withColumn("hop", F.col("path_regions")[1])
         .join(labels, ["scene_id", "hop"], "left")

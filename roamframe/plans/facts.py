@@ -25,7 +25,7 @@ from roamframe.operators.aggregates import (
 )
 from roamframe.operators.edges import first_allocentric_edge
 from roamframe.operators.memory import OBJECT
-from roamframe.operators.paths import region_paths_from
+from roamframe.operators.paths import START, adjacency, rebuilt_paths, search_trees
 from roamframe.operators.poses import STEP, local_position, point
 from roamframe.operators.routes import (
     action_runs,
@@ -620,11 +620,11 @@ FIRST_STARTS = 4
 
 
 def _first_pairs(visits: DataFrame, connectivity: DataFrame, n: int) -> DataFrame:
-    """First ``n`` connected region pairs per episode, by the order of their visits.
+    """First ``n`` connected region pairs per episode, by the order of their visits, with their paths.
 
     A round searches from the next few start regions of episodes that still lack pairs, so the pairs
-    looked at grow with the visits, not with their square.  Paths are searched once per scene and
-    start, however many episodes share them.
+    looked at grow with the visits, not with their square.  A start of a scene is searched once,
+    however many episodes and rounds share it, and paths are rebuilt for the chosen pairs only.
     """
     numbered = saved(
         with_ordered(
@@ -638,7 +638,8 @@ def _first_pairs(visits: DataFrame, connectivity: DataFrame, n: int) -> DataFram
         F.col("i").alias("j"),
         F.col("first_visit").alias("visit_b"),
     )
-    found, open_, lo, size = None, None, 1, FIRST_STARTS
+    hops = saved(adjacency(connectivity), "hops")
+    tree, depth, found, open_, lo, size = None, 0, None, None, 1, FIRST_STARTS
     while True:
         tried = numbered.where(F.col("i").between(lo, lo + size - 1))
         if open_ is not None:
@@ -650,12 +651,14 @@ def _first_pairs(visits: DataFrame, connectivity: DataFrame, n: int) -> DataFram
             "i",
             F.col("first_visit").alias("visit_a"),
         )
-        paths = region_paths_from(connectivity, tried.select("scene_id", "start").distinct())
-        pairs = (
-            tried.join(paths, ["scene_id", "start"])
-            .join(goals, ["episode_id", "goal"])
-            .where((F.col("i") < F.col("j")) & (F.size("path_regions") >= 2))
-        )
+        starts = tried.select(*START).distinct()
+        if tree is None:
+            tree, depth = search_trees(hops, starts)
+        else:
+            more, deepest = search_trees(hops, starts.join(tree.select(*START), START, "left_anti"))
+            tree, depth = tree.unionByName(more), max(depth, deepest)
+        reached = tree.where("depth > 0").select(*START, F.col("node").alias("goal"))
+        pairs = tried.join(reached, START).join(goals, ["episode_id", "goal"]).where(F.col("i") < F.col("j"))
         if found is not None:
             pairs = pairs.unionByName(found.drop("rank"))
         found = saved(top_n_facts(pairs, n, ["i", "j"]), "pairs")
@@ -664,7 +667,8 @@ def _first_pairs(visits: DataFrame, connectivity: DataFrame, n: int) -> DataFram
         full = found.where(F.col("rank") == n).select("episode_id")
         open_ = later.join(full, "episode_id", "left_anti")
         if open_.isEmpty():
-            return found
+            break
+    return found.join(rebuilt_paths(tree, depth, found.select(*START, "goal")), [*START, "goal"])
 
 
 @planner

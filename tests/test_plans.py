@@ -63,3 +63,8 @@ def test_images_of_all_planners_are_looked_up_once(spark, stored):
     names = ["egocentric_encoding", "allocentric_encoding", "route_knowledge", "perspective_taking"]
     plan = plan_of(spark, lambda: facts.plan_all(stored, names))
     assert len(re.findall(r"FileScan parquet \[[^\]]*image_path", plan)) == 1
+
+
+def test_survey_has_no_product(spark, stored):
+    plan = plan_of(spark, lambda: facts.plan_survey(stored))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
