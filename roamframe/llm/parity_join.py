@@ -26,8 +26,8 @@ from roamframe.llm.words import mixed, shingle_sets, text_bytes
 from roamframe.storage import cut, saved
 
 _SALT = np.random.default_rng(20260102).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: 64-bit words of a part: four make the chance agreement of two parts rare.
-PART_WORDS = 4
+#: Parts that a sketch has beyond those that it shows, in hundredths of the bound.
+SPARE = 50
 #: Members of a star that are held against as many others at a time.
 STAR_BLOCK = 1000
 
@@ -50,7 +50,8 @@ class Bands:
             bounds.append(total - 2 * common)
         self.start = np.array(start[:-1], dtype=np.int64)
         bound = np.array(bounds, dtype=np.int64)
-        self.spare = np.where(bound < 6, 0, 2 + np.ceil(bound * 0.04).astype(np.int64))
+        # More parts hold fewer shingles each, but more of the poor ones are left out.
+        self.spare = bound * SPARE // 100
         self.parts = bound + 1 + self.spare
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
@@ -60,8 +61,10 @@ class Bands:
 def part_keys(hashes: np.ndarray, borders: np.ndarray, band: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(key, row) of the sketch parts of each row, as a member of ``band`` (below 0: none).
 
-    Parts with at most one bit set say little. They are left out where a row has no more of them than
-    ``spare``: two linked rows agree in more parts than that, so in one that says more.
+    A part is the XOR of the whole hashes in it, so equal parts hold the same shingles. A row leaves out
+    exactly ``spare`` parts, those that say least: without a shingle, then with the fewest, by an order
+    that follows from what a part holds. Two linked rows agree in more parts than that, and the one of
+    these that says most is left out by neither.
     """
     sizes = np.diff(borders)
     use = (band >= 0) & (sizes > 0)
@@ -76,30 +79,27 @@ def part_keys(hashes: np.ndarray, borders: np.ndarray, band: np.ndarray, bands:
     high = np.uint64(32)
     part = (((h >> high) * parts[row].astype(np.uint64)) >> high).astype(np.int64) + offset[row]
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    bit = np.uint64(1) << (h & np.uint64(63))
-    word = (h >> np.uint64(6)) % np.uint64(PART_WORDS)
-    filled = part[first]
-    owner = row[first]
-    bits = np.zeros(len(first), dtype=np.int64)
-    value = np.zeros(len(first), dtype=np.uint64)
-    for i in range(PART_WORDS):
-        own = np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), first)
-        bits += np.bitwise_count(own)
-        value += mixed(own) * _SALT[i]
-    strong = bits > 1
-    weak = parts - np.bincount(owner, weights=strong, minlength=len(sizes)).astype(np.int64)
-    every = use & (weak > bands.spare[safe])
-    out = strong | every[owner]
-    # Rows with many weak parts give all their parts, those without any bit too.
-    empty = np.ones(offset[-1], dtype=bool)
-    empty[filled] = False
-    all_rows = np.repeat(np.arange(len(sizes)), parts)
-    lacking = np.flatnonzero(empty & every[all_rows])
-    nothing = (mixed(np.zeros(1, dtype=np.uint64)) * _SALT[:PART_WORDS]).sum(dtype=np.uint64)
-    value = np.concatenate([value[out], np.full(len(lacking), nothing)])
-    row = np.concatenate([owner[out], all_rows[lacking]])
-    local = np.concatenate([filled[out], lacking]) - offset[row]
-    return mixed(value + safe[row].astype(np.uint64) * _SALT[5] + local.astype(np.uint64) * _SALT[6]), row
+    value = np.bitwise_xor.reduceat(h, first)
+    count = np.diff(np.concatenate([first, [len(h)]]))
+    filled, owner = part[first], row[first]
+    per_row = np.bincount(owner, minlength=len(sizes))
+    more = np.where(use, bands.spare[safe] - (parts - per_row), 0)
+    order = np.lexsort((mixed(value), count, owner))
+    place = np.arange(len(order)) - np.concatenate([[0], np.cumsum(per_row)])[owner[order]]
+    kept = order[place >= np.maximum(more, 0)[owner[order]]]
+    value, row, local = value[kept], owner[kept], filled[kept] - offset[owner[kept]]
+    if (more < 0).any():
+        # More empty parts than may be left out: of these the last ones count.
+        empty = np.ones(offset[-1], dtype=bool)
+        empty[filled] = False
+        owners = np.repeat(np.arange(len(sizes)), parts)
+        lacking = np.flatnonzero(empty & (more < 0)[owners])
+        behind = np.cumsum(np.bincount(owners[lacking], minlength=len(sizes)))[owners[lacking]] - np.arange(len(lacking))
+        lacking = lacking[behind <= -more[owners[lacking]]]
+        value = np.concatenate([value, np.zeros(len(lacking), dtype=np.uint64)])
+        row = np.concatenate([row, owners[lacking]])
+        local = np.concatenate([local, lacking - offset[owners[lacking]]])
+    return mixed(mixed(value) + safe[row].astype(np.uint64) * _SALT[5] + local.astype(np.uint64) * _SALT[6]), row
 
 
 def _sets(batch, shingle: int):

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from roamframe.llm.components import components
 from roamframe.llm.parity_join import Bands, least_difference, parity_join, part_keys, whole_sketch
@@ -74,14 +75,15 @@ def test_sketch_bounds_the_difference():
         assert least_difference(whole_sketch(a), whole_sketch(b)) <= len(np.setxor1d(a, b))
 
 
-def test_linked_sets_share_a_part():
-    bands, rng = Bands(85), np.random.default_rng(4)
-    for size in (1, 2, 6, 7, 13, 40, 100, 333, 2000):
+@pytest.mark.parametrize("percent", [85, 80])
+def test_linked_sets_share_a_part(percent):
+    bands, rng = Bands(percent), np.random.default_rng(4)
+    for size in (1, 2, 3, 4, 5, 6, 7, 9, 13, 40, 100, 333, 2000):
         for _ in range(20):
             a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
-            drop = int(rng.integers(0, max(1, int(0.075 * len(a))) + 1))
+            drop = int(rng.integers(0, max(1, int((100 - percent) / 200 * 1.1 * len(a))) + 1))
             b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)]))
-            if 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)):
+            if 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
                 continue
             h, borders = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
             home = bands.of(np.diff(borders))
@@ -90,9 +92,25 @@ def test_linked_sets_share_a_part():
                 k, row = part_keys(h, borders, band, bands)
                 for x, r in zip(k.tolist(), row.tolist()):
                     keys[r].add(x)
+                # A row shows one part more than linked sets can differ in, and no more.
+                shown = np.bincount(row, minlength=2)
+                use = band >= 0
+                assert (shown[use] == (bands.parts - bands.spare)[band[use]]).all()
             assert keys[0] & keys[1]
 
 
+def test_unlike_texts_rarely_meet():
+    """Sets of one size without a common shingle have no part in common at all."""
+    for percent in (80, 85):
+        bands, rng = Bands(percent), np.random.default_rng(7)
+        sets = [np.sort(rng.integers(0, 2**64, int(n), dtype=np.uint64)) for n in rng.integers(20, 60, 400)]
+        borders = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        home = bands.of(np.diff(borders))
+        for band in (home, home - 1):
+            keys, row = part_keys(np.concatenate(sets), borders, band, bands)
+            assert len(np.unique(keys)) == len(keys)
+
+
 def test_components(spark):
     random.seed(9)
     links = [(random.randrange(400), random.randrange(400)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(40)]
