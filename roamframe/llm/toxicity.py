@@ -10,6 +10,7 @@ document labels; words over one half give the offending offsets.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -215,26 +216,15 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit to at most FIT_ROWS rows of the classes, chosen by a hash of their ids.
-
-    Without rows of both classes the score is 0.05 for every document.
-    """
+def _trained(texts: list[str], toxic: list[int]) -> Chain:
+    """The chain that these texts and labels give."""
     nothing = Chain(np.zeros(BUCKETS, dtype=np.float32), -5.0, np.ones((2, 2)), np.array([np.log(0.05 / 0.95), 0.0, 0.0, 0.0]))
-    chosen = None
-    for toxic, most in enumerate(FIT_ROWS):
-        own = learning_rows(labels).filter(F.col("toxic") == toxic).select(F.col("doc_id").cast("long").alias("_id"), "toxic").distinct()
-        own = own.orderBy(F.xxhash64("_id"), "_id").limit(most)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("text")).filter(F.length("text") <= FIT_CHARS)
-    # At most as many ids as FIT_ROWS adds up to, whatever the input.
-    rows = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "toxic", "text").limit(sum(FIT_ROWS)).collect()
-    y = np.array([r.toxic for r in rows], dtype=float)
+    y = np.array(toxic, dtype=float)
     if len(set(y)) < 2:
         return nothing
     parts, owners = [], []
-    for a, b in steps([len(r.text) for r in rows], 1_000_000):
-        f, r, _, _ = words_of([x.text for x in rows[a:b]])
+    for a, b in steps([len(t) for t in texts], 1_000_000):
+        f, r, _, _ = words_of(texts[a:b])
         parts.append(f)
         owners.append((r + a).astype(np.int32))
     features, row = np.concatenate(parts, axis=1), np.concatenate(owners)
@@ -244,8 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Ends of words are features but label nothing.
     for k in range(_FEATURES - 1):
         once = np.unique(row * np.int64(BUCKETS) + features[k])
-        bucket, toxic = once % BUCKETS, y[once // BUCKETS] == 1
-        seen, spared = np.bincount(bucket[toxic], minlength=BUCKETS), np.bincount(bucket[~toxic], minlength=BUCKETS)
+        bucket, bad = once % BUCKETS, y[once // BUCKETS] == 1
+        seen, spared = np.bincount(bucket[bad], minlength=BUCKETS), np.bincount(bucket[~bad], minlength=BUCKETS)
         likelier = ((seen + 0.5) / (n_toxic + 1)) / ((spared + 0.5) / (n_clean + 1))
         label |= ((seen >= SEEN) & (likelier >= LIKELIER))[features[k]]
     label &= y[row] == 1
@@ -263,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     f = features[:, :whole].reshape(_FEATURES, -1, STRETCH)[:, take]
     weights, bias, move = _fit_chain(f, label[:whole].reshape(-1, STRETCH)[take].astype(float))
     chain = Chain(weights.astype(np.float32), bias, move, np.zeros(4))
-    words = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))])
+    words = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(y)))])
     sums = []
     for a, b in steps(np.diff(words), 200_000):
         own = slice(words[a], words[b])
@@ -272,6 +262,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return chain
 
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """Fit to at most FIT_ROWS rows of the classes, chosen by a hash of their ids.
+
+    One task reads these rows, fits, and gives back the model: no text comes to the driver. Without rows
+    of both classes the score is 0.05 for every document.
+    """
+    chosen = None
+    for toxic, most in enumerate(FIT_ROWS):
+        own = learning_rows(labels).filter(F.col("toxic") == toxic).select(F.col("doc_id").cast("long").alias("_id"), "toxic").distinct()
+        own = own.orderBy(F.xxhash64("_id"), "_id").limit(most)
+        chosen = own if chosen is None else chosen.unionByName(own)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("text")).filter(F.length("text") <= FIT_CHARS)
+    # At most as many ids as FIT_ROWS adds up to, whatever the input.
+    rows = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "toxic", "text").limit(sum(FIT_ROWS))
+
+    def train(batches):
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            toxic += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_trained(texts, toxic))], pa.binary())], ["model"])
+
+    models = rows.select("text", "toxic").coalesce(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(models[0].model) if models else _trained([], [])
+
+
 def judged(texts: list[str], chain: Chain):
     """(scores, row, start, end) of the texts and of their offending words, neighbours as one span."""
     features, row, start, end = words_of(texts)
