@@ -7,7 +7,7 @@ the text by its tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roamframe.llm.columns import prepare, table
@@ -21,6 +21,24 @@ from roamframe.storage import saved
 
 #: Near copies of the stage share this many hundredths of their shingles of so many words; op3's query has its own values.
 NEAR_PERCENT, NEAR_SHINGLE = 80, 5
+#: Numbers that ids are hashed to; a table of them is at most this long, whatever the input, so it is broadcast.
+ID_BUCKETS = 1 << 20
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(ID_BUCKETS)).cast("int")
+
+
+def _parted(docs: DataFrame, leaving: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id certainly isn't in ``leaving`` (doc_id), and the few that may be.
+
+    The texts of the first are not shuffled: they pass by a broadcast table of the leaving ids' buckets.
+    Only the second need an exact look. Were most ids leaving, these would be most rows, and the look an
+    ordinary join.
+    """
+    buckets = F.broadcast(saved(leaving.select(_bucket().alias("_id_bucket")).distinct(), "leaving"))
+    told = docs.withColumn("_id_bucket", _bucket())
+    return tuple(told.join(buckets, "_id_bucket", how).select(docs.columns) for how in ("left_anti", "left_semi"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +53,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat an id and a text, one stays.
     """
     prepare(spark)
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_print")).distinct()
-    marked = docs.withColumn("_own", F.sha2(normalised("text").cast("binary"), 256))
+    found = saved(exact_dedup(docs).select(F.col("doc_id").alias("_kept"), "kept", F.col("text_sha256").alias("_print")), "copies")
+    clear, doubtful = _parted(docs, found.filter("not kept").select(F.col("_kept").alias("doc_id")))
+    marked = doubtful.withColumn("_own", F.sha2(normalised("text").cast("binary"), 256))
+    kept = found.filter("kept").select("_kept", "_print").distinct()
     same = marked["doc_id"].eqNullSafe(kept["_kept"]) & (marked["_own"] == kept["_print"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_own"]).drop("_own")
+    stays = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_own"]).drop("_own")
+    return clear.unionByName(stays)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +69,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     id stay or go together; a null id stays.
     """
     prepare(spark)
-    gone = parity_join(docs, percent=NEAR_PERCENT, shingle=NEAR_SHINGLE).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    joined = parity_join(docs, percent=NEAR_PERCENT, shingle=NEAR_SHINGLE)
+    gone = saved(joined.filter("component_id < doc_id").select("doc_id").distinct(), "gone")
+    clear, doubtful = _parted(docs, gone)
+    return clear.unionByName(doubtful.join(gone, "doc_id", "left_anti").select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
