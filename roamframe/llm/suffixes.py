@@ -97,14 +97,14 @@ def _runs(batches):
     is compared when others have its core. At the borders of a partition, where the neighbours are not
     known, rows are compared to be on the safe side.
     """
-    names = ["whole", "core", "doc", "at"]
+    names = ["whole", "core", "doc", "at", "print"]
     core = around = doc = at = None
     waiting = None
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        c, a, d, p = (batch.column(i).to_numpy() for i in range(4))
+        c, a, d, p, t = (batch.column(i).to_numpy() for i in range(5))
         if core is None:
             new_core = np.concatenate([[True], c[1:] != c[:-1]])
             new = np.concatenate([[True], new_core[1:] | (a[1:] != a[:-1])])
@@ -127,11 +127,11 @@ def _runs(batches):
         take = first[company]
         index = np.concatenate([np.flatnonzero(whole), take])
         if len(first) and not company[-1]:
-            waiting = [pa.array(x[first[-1:]]) for x in (c, d, p)]
+            waiting = [pa.array(x[first[-1:]]) for x in (c, d, p, t)]
         if len(index):
             kinds = np.zeros(len(index), dtype=bool)
             kinds[: len(index) - len(take)] = True
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(c[index]), pa.array(d[index]), pa.array(p[index])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), *[pa.array(x[index]) for x in (c, d, p, t)]], names)
         core, around, doc, at = c[-1], a[-1], head_doc[-1], head_at[-1]
     if waiting is not None:
         yield pa.RecordBatch.from_arrays([pa.array([False]), *waiting], names)
@@ -172,7 +172,7 @@ def repeated_intervals(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarra
 
 
 def _refined(strings: list[bytes], doc: np.ndarray, start: np.ndarray):
-    """(doc, first, size) of the stretches of these strings that repeat an earlier one."""
+    """(string, first, size) of the stretches of these strings that repeat an earlier one."""
     borders = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
     data = np.frombuffer(b"".join(strings), dtype=np.uint8)
     suffix, interval = repeated_intervals(data, borders)
@@ -193,39 +193,40 @@ def _refined(strings: list[bytes], doc: np.ndarray, start: np.ndarray):
     if not len(first):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     last = np.append(first[1:], len(suffix)) - 1
-    return doc[own[first]], start[own[first]] + suffix[first] - borders[own[first]], suffix[last] - suffix[first] + LENGTH
+    return own[first], start[own[first]] + suffix[first] - borders[own[first]], suffix[last] - suffix[first] + LENGTH
 
 
 def _compared(batches):
     """Marks from rows in order of core: whole cores together, few at a time."""
-    names = ["doc", "mark"]
-    held: list[tuple[bytes, int, int]] = []
+    names = ["doc", "print", "mark"]
+    held: list[tuple[bytes, int, int, int]] = []
     size, core = 0, None
 
     def marks():
-        doc, first, length = _refined([h[0] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held]))
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first * 1024 + length)], names)
+        doc, start, texts = (np.array([h[i] for h in held]) for i in (1, 2, 3))
+        own, first, length = _refined([h[0] for h in held], doc, start)
+        return pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(texts[own]), pa.array(first * 1024 + length)], names)
 
     for batch in batches:
-        for own, doc, start, around in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for own, doc, start, around, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if own != core and size >= BATCH_BYTES:
                 yield marks()
                 held, size = [], 0
-            held.append((around, doc, start))
+            held.append((around, doc, start, text))
             size, core = size + len(around), own
     if held:
         yield marks()
 
 
 def _run_marks(batches):
-    """(one, two, doc, start) of every run of LENGTH bytes in the surroundings: two hashes and its place."""
+    """(one, two, doc, start, print) of every run of LENGTH bytes in the surroundings: two hashes and its place."""
     for batch in batches:
-        for doc, start, around in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+        for doc, start, around, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
             digests = [sha256(around[i : i + LENGTH]).digest() for i in range(len(around) - LENGTH + 1)]
             both = np.frombuffer(b"".join(d[:16] for d in digests), dtype=np.int64).reshape(-1, 2)
             n = len(both)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.full(n, doc)), pa.array(start + np.arange(n))], ["one", "two", "doc", "start"]
+                [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.full(n, doc)), pa.array(start + np.arange(n)), pa.array(np.full(n, text))], ["one", "two", "doc", "start", "print"]
             )
 
 
@@ -235,60 +236,63 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are UTF-8 bytes. A byte goes when a run of 100 bytes over it also starts earlier: in a document
     of smaller id, or earlier in the same one; all is judged on the texts as they come. n_spans counts
     the stretches that go, kept_sha256 is of what stays. Texts under 100 bytes stay whole, a null one
-    counts as empty. Rows that repeat an id are one document, from all of which goes what goes from one.
-    Null ids come last, as one document. Other columns are ignored.
+    counts as empty. A run's place is its document's id and its start; null ids come last. Rows that repeat
+    an id, and rows without one, are judged each by its own text: of a run in several rows of one id the
+    place with the least start stays, in every row that has it there. Other columns are ignored.
     """
     last = (1 << 63) - 1
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc"), text_or_empty(text_col).alias("text"))
+    # An id and a hash of the text name a row: rows that have both in common lose the same bytes.
+    rows, row = rows.withColumn("print", F.xxhash64("text")), ["doc", "print"]
 
     def find(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, prints = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, borders = text_bytes(batch.column(1))
             for a, b in steps(np.diff(borders), STEP_BYTES):
                 own = borders[a : b + 1]
-                core, around, row, place, left, right = anchors(data[own[0] : own[-1]], own - own[0])
+                core, around, own_row, place, left, right = anchors(data[own[0] : own[-1]], own - own[0])
                 # 48 bits tell cores apart well enough: surroundings are compared by their bytes.
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((core >> np.uint64(16)).view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids[a + row]), pa.array((place << 16) | (left << 8) | right)],
-                    ["core", "around", "doc", "at"],
+                    [pa.array((core >> np.uint64(16)).view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids[a + own_row]), pa.array((place << 16) | (left << 8) | right), pa.array(prints[a + own_row])],
+                    ["core", "around", "doc", "at", "print"],
                 )
 
-    keys = ["core", "around", "doc", "at"]
-    found = rows.mapInArrow(find, "core bigint, around bigint, doc bigint, at bigint")
+    keys = ["core", "around", "doc", "at", "print"]
+    found = rows.mapInArrow(find, "core bigint, around bigint, doc bigint, at bigint, print bigint")
     found = found.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    found = saved(found.mapInArrow(_runs, "whole boolean, core bigint, doc bigint, at bigint"), "anchors")
+    found = saved(found.mapInArrow(_runs, "whole boolean, core bigint, doc bigint, at bigint, print bigint"), "anchors")
 
     place, left, right = F.expr("at >> 16"), F.expr("(at >> 8) & 255"), F.expr("at & 255")
-    whole = found.filter("whole").select("doc", ((place - left) * 1024 + left + right + CORE).alias("mark"))
-    asked = found.filter("not whole").groupBy("doc").agg(F.collect_list(F.struct("core", "at")).alias("asked"))
+    whole = found.filter("whole").select(*row, ((place - left) * 1024 + left + right + CORE).alias("mark"))
+    asked = found.filter("not whole").groupBy(*row).agg(F.collect_set(F.struct("core", "at")).alias("asked"))
 
     def surroundings(batches):
         for batch in batches:
-            for doc, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, text, asked, name in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 data = text.encode()
                 out = []
                 for a in asked:
                     begin = (a["at"] >> 16) - (a["at"] >> 8 & 255)
-                    out.append((a["core"], doc, begin, data[begin : (a["at"] >> 16) + CORE + (a["at"] & 255)]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["core", "doc", "start", "around"])
+                    out.append((a["core"], doc, begin, data[begin : (a["at"] >> 16) + CORE + (a["at"] & 255)], name))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["core", "doc", "start", "around", "print"])
 
-    shapes = "core bigint, doc bigint, start bigint, around binary"
-    parts = rows.join(asked, "doc").select("doc", "text", "asked").mapInArrow(surroundings, shapes)
+    shapes = "core bigint, doc bigint, start bigint, around binary, print bigint"
+    parts = rows.join(asked, row).select("doc", "text", "asked", "print").mapInArrow(surroundings, shapes)
     # Cores with more surroundings than one task should refine.
     crowded = cut(found.filter("not whole").groupBy("core").agg(F.count("*").alias("n")).filter(F.col("n") > TOGETHER).select("core"))
     usual, many = parts, None
     if not crowded.isEmpty():
         parts = saved(parts, "surroundings")
         usual, many = parts.join(crowded, "core", "left_anti"), parts.join(crowded, "core", "left_semi")
-    marks = usual.repartition("core").sortWithinPartitions("core").mapInArrow(_compared, "doc bigint, mark bigint")
+    marks = usual.repartition("core").sortWithinPartitions("core").mapInArrow(_compared, "doc bigint, print bigint, mark bigint")
     if many is not None:
-        runs = saved(many.select("core", "doc", "start", "around").mapInArrow(_run_marks, "one bigint, two bigint, doc bigint, start bigint"), "runs")
+        runs = saved(many.select("core", "doc", "start", "around", "print").mapInArrow(_run_marks, "one bigint, two bigint, doc bigint, start bigint, print bigint"), "runs")
         heads = cut(runs.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("head")))
         later = runs.join(heads, ["one", "two"]).filter((F.col("doc") != F.col("head.doc")) | (F.col("start") != F.col("head.start")))
-        marks = marks.unionByName(later.select("doc", (F.col("start") * 1024 + LENGTH).alias("mark")))
-    marks = whole.unionByName(marks).distinct().groupBy("doc").agg(F.collect_list("mark").alias("marks"))
+        marks = marks.unionByName(later.select(*row, (F.col("start") * 1024 + LENGTH).alias("mark")))
+    marks = whole.unionByName(marks).distinct().groupBy(*row).agg(F.collect_list("mark").alias("marks"))
 
     def removed(batches):
         for batch in batches:
@@ -312,6 +316,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
-    out = rows.join(marks, "doc", "left").select("doc", "text", "marks")
+    out = rows.join(marks, row, "left").select("doc", "text", "marks")
     out = out.mapInArrow(removed, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return out.select(F.when(F.col("doc") != last, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")

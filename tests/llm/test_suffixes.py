@@ -9,22 +9,22 @@ from roamframe.llm.suffixes import LENGTH, repeated_intervals, without_repeats
 
 
 def expected(rows):
-    """By the set of all runs that started earlier; rows of one id are one document."""
-    seen, gone = {}, {}
+    """By the set of all runs and the least (id, start) of each; every row is judged by its own text."""
     last = 1 << 63
-    for i, t in sorted(rows, key=lambda r: (last if r[0] is None else r[0])):
+    least = {}
+    for i, t in rows:
         data = (t or "").encode()
         for s in range(len(data) - LENGTH + 1):
-            run = data[s : s + LENGTH]
             place = (last if i is None else i, s)
-            if seen.setdefault(run, place) != place:
-                gone.setdefault(i, set()).add(s)
+            run = data[s : s + LENGTH]
+            least[run] = min(place, least.get(run, place))
     out = []
     for i, t in rows:
         data = (t or "").encode()
         cover = np.zeros(len(data) + 1, dtype=bool)
-        for s in gone.get(i, ()):
-            cover[s : s + LENGTH] = True
+        for s in range(len(data) - LENGTH + 1):
+            if least[data[s : s + LENGTH]] < (last if i is None else i, s):
+                cover[s : s + LENGTH] = True
         cover = cover[: len(data)]
         spans = int((cover & ~np.concatenate([[False], cover])[: len(data)]).sum())
         kept = np.frombuffer(data, dtype=np.uint8)[~cover].tobytes()
@@ -65,6 +65,19 @@ def test_odd_rows(documents, rows_of, odd):
     assert rows_of(without_repeats(documents(rows)), *COLUMNS) == expected(rows)
 
 
+@pytest.mark.parametrize("together", [2, 100_000])
+def test_unrelated_texts_under_one_id_stay(documents, rows_of, monkeypatch, together):
+    monkeypatch.setattr(suffixes, "TOGETHER", together)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(180)
+    rows = [(1, passage), (None, passage + "x"), (None, text(200)), (5, text(220)), (5, "y" + passage), (5, text(90) + passage)]
+    rows += [(None, "head" + passage), (5, rows[3][1]), (6, rows[2][1])]
+    got = rows_of(without_repeats(documents(rows)), *COLUMNS)
+    assert got == expected(rows)
+    assert sum(r[2] == 0 for r in got) == 4
+
+
 def test_crowded_cores_give_the_same(documents, rows_of, monkeypatch):
     monkeypatch.setattr(suffixes, "TOGETHER", 2)
     rows = sample(3)
