@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from roamframe.llm.ordering import in_order
+from roamframe.ordered import running_sum, step_block, total, with_ordered
 from roamframe.storage import saved
 
 #: Levels from one stored level to the next: a subtree has at most 2^6 = 64 gathered nodes.
@@ -181,8 +182,15 @@ def numbered_leaves(rows: DataFrame, group: str, order: str) -> DataFrame:
         "_group", F.when(key.isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\1"), key.cast("binary")))
     ).drop(group)
     placed = saved(in_order(keyed, ["_group"], [order, "digest"]).withColumnRenamed("name", "tree"), "leaves")
-    sizes = placed.groupBy("tree").agg(F.count("*").alias("n"), F.min("place").alias("_first"))
-    return placed.join(sizes, "tree").withColumn("pos", F.col("place") - F.col("_first")).drop("place", "_first")
+    # Counted in blocks of places: a join by tree alone would send the largest group to one task.
+    counted = with_ordered(
+        placed.withColumn("_one", F.lit(1).cast("long")),
+        ["tree"],
+        ["place"],
+        step_block("place"),
+        {"pos": running_sum("_one"), "n": total("_one")},
+    )
+    return counted.withColumn("pos", F.col("pos") - 1).drop("place", "_one")
 
 
 def manifest_check(docs: DataFrame, every: int = EVERY) -> DataFrame:
