@@ -862,13 +862,20 @@ _SQL = {
       from ep_detections d join ep_objects o on o.object_id = d.object_id
       where d.det_ord <> 1 and (d.cmin % 2 = 0 or d.rmin % 3 = 0)""",
     "write_episode_tables": """
-      select episode_id, 'episodes' as table_name, cast(1 as bigint) as n_rows from ep_last
-      union all select episode_id, 'steps', count(*) from ep_steps group by 1
-      union all select episode_id, 'step_objects', count(*) from (
-        select episode_id from ep_visible union all select episode_id from ep_gone) group by 1
-      union all select episode_id, 'edges', count(*) from ep_edges group by 1
-      union all select episode_id, 'route_landmarks', count(*) from ep_landmark group by 1
-      union all select episode_id, 'route_turns', count(*) from ep_turns group by 1""",
+      select episode_id, version, table_name, count(*) as n_rows,
+             round(sum(case when version = 1 and episode_id % 2 = 1 and table_name in ('steps', 'route_turns')
+                            then cast(value as double) + 1 else cast(value as double) end), 2) as total
+      from (
+        select episode_id, 'episodes' as table_name, length('house_00000' || (1 + episode_id % 2)) as value
+        from ep_last
+        union all select episode_id, 'steps', degrees from ep_steps
+        union all select episode_id, 'step_objects', 0 from ep_visible
+        union all select episode_id, 'step_objects', step - last_seen from ep_gone
+        union all select episode_id, 'edges', distance_metric from ep_edges
+        union all select episode_id, 'route_landmarks', step * (ord + 1) from ep_landmark
+        union all select episode_id, 'route_turns', degrees from ep_turns
+      ) cross join (values (1), (2)) as v(version)
+      group by 1, 2, 3""",
     "load_episode": f"""
       select s.episode_id, 'house_00000' || (1 + s.episode_id % 2) as scene_id, s.step, 'img_' || s.step || '.png' as image_path,
              {r('s.cam_x')} as x,
@@ -893,7 +900,7 @@ _SQL = {
       left join (select episode_id, step, count(*) as n from ep_gone group by 1, 2) g
         on g.episode_id = s.episode_id and g.step = s.step""",
     "read_episode_json": "select episode_id, step, action, degrees from ep_steps",
-    "write_items": "select count(*) as n_items from ep_items where question_style = 'concise'",
+    "write_items": "select *, count(*) over () as n_items from ep_items",
     "evolve_schema": """
       select episode_id, step, action, case when event_id % 2 = 1 then region_id end as region_id from ep_steps""",
     "get_edges": f"""
@@ -1291,9 +1298,9 @@ _SQL["marker_table"] = """
 
 
 _SQL["validate_items"] = f"""
-    select episode_id, {ITEM_ID.format(tag=SCENE, style="'concise'")} as item_id, construct, answer_label,
-           answer_label as again, true as agrees
-    from ep_facts where status <> 'unsupported'"""
+    select episode_id, {ITEM_ID.format(tag=SCENE, style="style")} as item_id, construct,
+           answer_label, answer_label as again, true as agrees
+    from ep_facts cross join (values ('concise'), ('verbose')) as v(style) where status <> 'unsupported'"""
 VIEWS["ep_walk"] = """
     select episode_id, step,
            sum(case when regexp_matches(action, 'move|rotate|turn|look') then 1 else 0 end)
@@ -1366,13 +1373,13 @@ _SQL["seen_count_before_k"] = """
     group by 1, 2"""
 VIEWS["ep_judged"] = f"""
     select f.episode_id, f.fact_no, i.* exclude (episode_id)
-    from ep_facts f join ep_items i on i.episode_id = f.episode_id and i.question_style = 'concise'
+    from ep_facts f join ep_items i on i.episode_id = f.episode_id
       and i.item_id = case when f.status = 'unsupported'
         then {TAG} || '_' || printf('%03d', f.fact_no) || '_' || f.construct || '_unsupported'
-        else {ITEM_ID.format(tag=TAG, style="'concise'").replace('construct', 'f.construct')
+        else {ITEM_ID.format(tag=TAG, style="i.question_style").replace('construct', 'f.construct')
               .replace('query_step', 'f.query_step')} end"""
 _SQL["freeze_filter"] = """
-    select episode_id, item_id, construct from ep_judged
+    select episode_id, item_id, construct, question_style, question, answer from ep_judged
     where fact_no % 3 <> 0 and fact_no % 5 <> 4 and fact_no % 4 <> 0"""
 _SQL["score_breakdown"] = f"""
     select construct, frame_of_reference, count(*) as n_items, {r('avg(hit)', 6)} as accuracy

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from roamframe.operators import aggregates, assemble, edges, markers, memory, pa
 from roamframe.params import DEFAULTS
 from roamframe.plans import checks, facts, items
 from roamframe.sources import collector, discover, layout, logs, store
-from roamframe.storage import new_path
+from roamframe.storage import new_path, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STEP = ["episode_id", "step"]
@@ -527,37 +528,53 @@ def _all_objects(t):
     return memory.union_objects(t.visible, gone)
 
 
-def _store(spark, sf_dir, objects: bool = True) -> str:
-    """A store written twice: the second write replaces episodes, it does not add to them."""
+def _store(spark, sf_dir) -> str:
+    """A store written twice: odd episodes come with wrong turns first and are replaced."""
     t = A.derived(spark, sf_dir)
+    odd = F.col("episode_id") % 2 == 1
+    wrong = F.when(odd, F.col("degrees") + 1).otherwise(F.col("degrees"))
+    turns = routes.route_turns(t.steps)
     tables = {
         "episodes": t.episodes,
-        "steps": t.steps,
+        "steps": t.steps.withColumn("degrees", wrong),
         "step_objects": _all_objects(t),
         "edges": _all_edges(t),
         "route_landmarks": routes.route_landmarks(t.visible),
-        "route_turns": routes.route_turns(t.steps),
+        "route_turns": turns.withColumn("degrees", wrong),
     }
     path = new_path(spark, "store")
     store.write_episodes(tables, path, buckets=8)
-    again = {name: tables[name] for name in ("episodes", "steps")}
-    store.write_episodes(again, path, buckets=8)
+    again = {"episodes": t.episodes, "steps": t.steps, "route_turns": turns}
+    store.write_episodes({name: df.where(odd) for name, df in again.items()}, path)
     return path
 
 
+# What is added up per table to tell that the right rows were read back.
+STORED_VALUES = {
+    "episodes": "length(scene_id)",
+    "steps": "degrees",
+    "step_objects": "coalesce(step - last_seen_step, 0)",
+    "edges": "distance_metric",
+    "route_landmarks": "step * (ord + 1)",
+    "route_turns": "degrees",
+}
+
+
 @query
 def write_episode_tables(spark, sf_dir):
+    """Rows and values of all tables, of the version after the replacement and of the one before."""
     path = _store(spark, sf_dir)
     parts = [
-        store.read_table(spark, path, name).groupBy("episode_id").agg(
-            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows")
+        store.read_table(spark, path, name, version).groupBy("episode_id").agg(
+            F.lit(version).alias("version"),
+            F.lit(name).alias("table_name"),
+            F.count(F.lit(1)).alias("n_rows"),
+            r(F.sum(F.expr(value).cast("double")), 2).alias("total"),
         )
-        for name in store.TABLES
+        for name, value in STORED_VALUES.items()
+        for version in store.versions(spark, path)
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -616,9 +633,11 @@ def read_episode_json(spark, sf_dir):
 def write_items(spark, sf_dir):
     t = A.derived(spark, sf_dir)
     path = new_path(spark, "items")
-    written = items.draft_items(A.facts(spark, sf_dir), t, styles=["concise"])
+    written = items.draft_items(A.facts(spark, sf_dir), t)
     store.write_items(written, path)
-    return spark.read.schema("n_items bigint").json(f"{path}/manifest")
+    counted = spark.read.schema("n_items bigint").json(f"{path}/manifest").first()
+    back = spark.read.schema(written.schema).json(f"{path}/items")
+    return _item_columns(back).withColumn("n_items", F.lit(counted.n_items))
 
 
 @query
@@ -1172,9 +1191,16 @@ def region_path_bfs(spark, sf_dir):
 
 @query
 def edges_of_visible(spark, sf_dir):
-    """The agent is no visible object and remembered ones are not in view, so their edges go."""
+    """The agent is no visible object and remembered ones are not in view, so their edges go.
+
+    Memory is asked for the visible objects alone, so no row per step and remembered object is made.
+    """
     t = A.derived(spark, sf_dir)
-    return edge_columns(edges.edges_of_visible(_all_edges(t), t.visible))
+    gone = memory.non_visible_objects(memory.remember(t.spans, t.steps, t.visible))
+    every = edges.union_edges(
+        edges.edges_egocentric(t.visible), t.allocentric, edges.edges_inferred(gone)
+    )
+    return edge_columns(edges.edges_of_visible(every, t.visible))
 
 
 # ---------------------------------------------------------------- aggregations
@@ -1760,7 +1786,11 @@ def plan_all(spark, sf_dir):
 @query
 def draft_items(spark, sf_dir):
     t = A.derived(spark, sf_dir)
-    return items.draft_items(A.facts(spark, sf_dir), t).select(
+    return _item_columns(items.draft_items(A.facts(spark, sf_dir), t))
+
+
+def _item_columns(drafted: DataFrame) -> DataFrame:
+    return drafted.select(
         "episode_id",
         "item_id",
         "construct",
@@ -1788,7 +1818,7 @@ def draft_items(spark, sf_dir):
 @query
 def validate_items(spark, sf_dir):
     t = A.derived(spark, sf_dir)
-    drafted = items.draft_items(A.facts(spark, sf_dir), t, styles=["concise"])
+    drafted = items.draft_items(A.facts(spark, sf_dir), t)
     return checks.validate_items(drafted, t).select(
         "episode_id", "item_id", "construct", "answer_label", "again", "agrees"
     )
@@ -1819,7 +1849,7 @@ def novel_path_check(spark, sf_dir):
 
 def _judged(spark, sf_dir):
     t = A.derived(spark, sf_dir)
-    drafted = items.draft_items(A.facts(spark, sf_dir), t, styles=["concise"])
+    drafted = items.draft_items(A.facts(spark, sf_dir), t)
     return drafted.withColumns(
         {
             "blind_llm_correct": F.col("fact_no") % 3 == 0,
@@ -1830,12 +1860,18 @@ def _judged(spark, sf_dir):
 
 @query
 def freeze_filter(spark, sf_dir):
-    return checks.freeze_filter(_judged(spark, sf_dir)).select("episode_id", "item_id", "construct")
+    """The items that pass, read back from a frozen version whose digest is checked."""
+    path = new_path(spark, "frozen")
+    store.freeze_items(checks.freeze_filter(_judged(spark, sf_dir)), path, "v1")
+    return store.frozen_items(spark, path, "v1", check=True).select(
+        "episode_id", "item_id", "construct", "question_style", "question", "answer"
+    )
 
 
 @query
 def score_breakdown(spark, sf_dir):
-    drafted = _judged(spark, sf_dir)
+    # Items are stored before anybody answers them.
+    drafted = saved(_judged(spark, sf_dir), "judged")
     n = F.col("fact_no")
     responses = drafted.select(
         "episode_id",

@@ -80,8 +80,12 @@ def memory_spans(steps: DataFrame, visible: DataFrame, states: DataFrame) -> Dat
     )
 
 
-def remember(spans: DataFrame, steps: DataFrame) -> DataFrame:
-    """Memory rows at the given steps, with the camera pose of the step."""
+def remember(spans: DataFrame, steps: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Memory rows at the given steps, with the camera pose of the step.
+
+    ``wanted`` (episode_id, step, object_id) names the rows that are asked for; then a span meets
+    only the steps that ask for its object, and the grid of steps and objects is never built.
+    """
     last = steps.groupBy("episode_id").agg(F.max("step").alias("__end"))
     pieces = (
         spans.join(last, "episode_id")
@@ -104,8 +108,12 @@ def remember(spans: DataFrame, steps: DataFrame) -> DataFrame:
         *[c for c in ("cam_x", "cam_y", "cam_z", "pitch_deg", "yaw_deg") if c in steps.columns],
         step_block("step", SPAN_BLOCK).alias("__blk"),
     )
+    keys = ["episode_id", "__blk"]
+    if wanted is not None:
+        here = here.join(wanted.select(*STEP, "object_id").distinct(), STEP)
+        keys = ["episode_id", "object_id", "__blk"]
     return (
-        here.join(pieces, ["episode_id", "__blk"])
+        here.join(pieces, keys)
         .where(F.col("step").between(F.col("from_step"), F.col("__to")))
         .drop("__blk", "__to", "from_step")
     )

@@ -1,24 +1,32 @@
 """Episode tables on disk.
 
 A store is a folder of Parquet tables partitioned by ``bucket``, a hash of the episode id, so that
-an episode is found without listing millions of folders and replaced by rewriting its bucket.
+an episode is found without listing millions of folders.
+
+Every write is a version. Its files are written aside, under the version's number and a name of their
+own, and count only once the version's manifest is there: one small file that names, for all tables
+together, the folders that hold rows and the lists of replaced episodes. A write that dies before that leaves the
+former version as it was. Replacing an episode writes its own rows and its id; rows of older versions are left out
+when the table is read, until :func:`compact` writes the tables anew.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json as json_text
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from roamframe.operators.aggregates import step_counts
 from roamframe.operators.assemble import assemble_steps, sort_steps
-from roamframe.storage import cut
+from roamframe.storage import cut, drop_aside, exists, moved, names_in, publish, published
 
 TABLES = ("episodes", "steps", "step_objects", "edges", "route_landmarks", "route_turns")
-# Pick the number of buckets so that one of them can be rewritten in a reasonable time.
+# Pick the number of buckets so that one of them can be read in a reasonable time.
 BUCKETS = 64
 
 
@@ -26,12 +34,6 @@ def bucket_of(episode_id, buckets: int = BUCKETS):
     return F.pmod(F.xxhash64(episode_id.cast("string")), F.lit(buckets)).cast("int")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def align(df: DataFrame, schema) -> DataFrame:
     """Add the columns of ``schema`` that old data lacks."""
     return df.select(
@@ -43,33 +45,62 @@ def align(df: DataFrame, schema) -> DataFrame:
     )
 
 
-def _about(spark: SparkSession, path: str, name: str) -> dict | None:
-    """What was noted beside a stored table: its columns and its number of buckets."""
-    where = f"{path}/_about/{name}"
-    if not _exists(spark, where):
-        return None
-    return json_text.loads(spark.read.text(where).first()[0])
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions of a store, the latest last."""
+    names = names_in(spark, f"{path}/_versions")
+    return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
 
 
-def _note(spark: SparkSession, path: str, name: str, schema: StructType, buckets: int) -> None:
-    noted = json_text.dumps({"schema": schema.jsonValue(), "buckets": buckets})
-    spark.createDataFrame([(noted,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/_about/{name}"
-    )
+def _manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    known = versions(spark, path)
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"no such version of a store: {path}")
+    return json_text.loads(published(spark, f"{path}/_versions/{version or known[-1]}.json"))
 
 
-def stored_buckets(spark: SparkSession, path: str, name: str = "episodes") -> int:
+def stored_buckets(spark: SparkSession, path: str) -> int:
     """The number of buckets that a store was first written with."""
-    about = _about(spark, path, name)
-    return about["buckets"] if about else BUCKETS
+    return _manifest(spark, path)["buckets"] if versions(spark, path) else BUCKETS
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A stored table; its columns are noted beside it, so no file is opened to learn them."""
-    about = _about(spark, path, name)
-    if about is None:
-        return spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}")
-    return spark.read.schema(StructType.fromJson(about["schema"])).parquet(f"{path}/{name}")
+def _folders(path: str, name: str, runs: list[str]) -> list[str]:
+    return [f"{path}/{name}/{run}" for run in runs]
+
+
+def _live(spark: SparkSession, path: str, name: str, manifest: dict) -> DataFrame:
+    about = manifest["tables"][name]
+    schema = (
+        StructType.fromJson(about["schema"])
+        .add("version", LongType())
+        .add("run", StringType())
+        .add("bucket", IntegerType())
+    )
+    rows = (
+        spark.read.schema(schema)
+        .option("basePath", f"{path}/{name}")
+        .parquet(*_folders(path, name, about["runs"]))
+        .drop("run")
+    )
+    if about["replaced"]:
+        # Small next to the table: an id per replaced episode. The join is left to Spark's measured sizes.
+        replaced = (
+            spark.read.schema("episode_id string, version bigint, run string")
+            .option("basePath", f"{path}/_replaced")
+            .parquet(*_folders(path, "_replaced", about["replaced"]))
+            .groupBy(F.col("episode_id").alias("__id"))
+            .agg(F.max("version").alias("__since"))
+        )
+        own = F.col("episode_id").cast("string") == F.col("__id")
+        rows = rows.join(replaced, own & (F.col("version") < F.col("__since")), "left_anti")
+    return rows.drop("version")
+
+
+def read_table(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    """A stored table as of its latest, or a former, version.
+
+    Columns and folders come from the manifest, so no file is opened and no folder listed to learn them.
+    """
+    return _live(spark, path, name, _manifest(spark, path, version))
 
 
 def of_episodes(df: DataFrame, ids: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -84,53 +115,91 @@ def of_episodes(df: DataFrame, ids: DataFrame, buckets: int = BUCKETS) -> DataFr
     return df.join(ids, ids.columns, "left_semi")
 
 
+def _evolved(noted: dict | None, schema: StructType, name: str) -> StructType:
+    """The noted columns, then new ones; a column keeps its type."""
+    if noted is None:
+        return schema
+    old = StructType.fromJson(noted["schema"])
+    for field in schema.fields:
+        if field.name not in old.names:
+            old = old.add(field)
+        elif old[field.name].dataType.simpleString() != field.dataType.simpleString():
+            raise ValueError(f"{name}.{field.name} is stored as {old[field.name].dataType.simpleString()}")
+    return old
+
+
+def _write(df: DataFrame, target: str, buckets: int) -> None:
+    df = df.withColumn("bucket", bucket_of(F.col("episode_id"), buckets))
+    order = [c for c in ("episode_id", "step") if c in df.columns]
+    # Rebalancing cuts a bucket that holds a huge episode into several tasks and files.
+    spread = df.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *order)
+    spread.write.partitionBy("bucket").parquet(target)
+
+
+def _commit(spark: SparkSession, path: str, number: int, manifest: dict) -> None:
+    if not publish(spark, f"{path}/_versions/{number}.json", json_text.dumps(manifest)):
+        raise RuntimeError(f"the store got another version {number} meanwhile; write again: {path}")
+
+
 def write_episodes(
     tables: Mapping[str, DataFrame], path: str, replace: bool = True, buckets: int = BUCKETS
-) -> None:
+) -> int:
     """Write the tables of a set of episodes; ids already stored are replaced, or refused.
 
-    Only buckets that receive episodes are rewritten (dynamic partition overwrite).
+    All tables change together, when the manifest of the new version appears; its number is returned. A table that is not given keeps
+    its rows. Of two writers that start from the same version, the later one gets an error.
     """
     episodes = tables["episodes"]
     spark = episodes.sparkSession
     if "created_at" not in episodes.columns:
         episodes = episodes.withColumn("created_at", F.current_timestamp())
-    incoming = cut(episodes.select("episode_id").distinct())
-    stored = _exists(spark, f"{path}/episodes")
-    if stored:
-        buckets = stored_buckets(spark, path)
-    if stored and not replace:
-        known = read_table(spark, path, "episodes").select("episode_id")
-        clash = known.join(incoming, "episode_id", "left_semi").take(1)
-        if clash:
+    known = versions(spark, path)
+    number = known[-1] + 1 if known else 1
+    manifest = _manifest(spark, path) if known else {"buckets": buckets, "tables": {}}
+    buckets = manifest["buckets"]
+    run = f"version={number}/run={uuid.uuid4().hex}"
+    replaced = False
+    if known:
+        stored = _live(spark, path, "episodes", manifest)
+        incoming = episodes.select("episode_id").distinct()
+        again = cut(of_episodes(stored.select("episode_id", "bucket"), incoming, buckets).distinct())
+        clash = again.take(1)
+        if clash and not replace:
             raise ValueError(f"episode already stored: {clash[0].episode_id}")
+        replaced = bool(clash)
+        if replaced:
+            ids = again.select(F.col("episode_id").cast("string").alias("episode_id"))
+            ids.write.parquet(f"{path}/_replaced/{run}")
     for name in TABLES:
         if name not in tables and name != "episodes":
             continue
         df = episodes if name == "episodes" else tables[name]
-        df = df.withColumn("bucket", bucket_of(F.col("episode_id"), buckets))
-        target = f"{path}/{name}"
-        if _exists(spark, target):
-            old = read_table(spark, path, name)
-            touched = incoming.select(bucket_of(F.col("episode_id"), buckets).alias("b")).distinct()
-            kept = old.where(F.col("bucket").isin([r.b for r in touched.collect()])).join(
-                incoming, "episode_id", "left_anti"
-            )
-            # The kept rows come from the files about to be replaced, so they are set aside first.
-            df = df.unionByName(cut(kept), allowMissingColumns=True)
-        # Rebalancing cuts a bucket that holds a huge episode into several tasks and files.
-        spread = df.hint("rebalance", F.col("bucket"))
-        order = [c for c in ("episode_id", "step") if c in df.columns]
-        (
-            spread.sortWithinPartitions("bucket", *order)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(target)
-        )
-        # Partition columns come last.
-        own = df.drop("bucket").schema
-        _note(spark, path, name, StructType(own.fields).add("bucket", IntegerType()), buckets)
+        about = manifest["tables"].get(name)
+        schema = _evolved(about, df.schema, name)
+        about = about or {"runs": [], "replaced": []}
+        _write(df, f"{path}/{name}/{run}", buckets)
+        manifest["tables"][name] = {
+            "schema": schema.jsonValue(),
+            "runs": [*about["runs"], run],
+            "replaced": [*about["replaced"], run] if replaced else about["replaced"],
+        }
+    _commit(spark, path, number, manifest)
+    return number
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """A version with the same rows, each table in one folder again and without replaced rows.
+
+    Former versions stay readable; their files are left where they are.
+    """
+    number = versions(spark, path)[-1] + 1
+    manifest = _manifest(spark, path)
+    run = f"version={number}/run={uuid.uuid4().hex}"
+    for name, about in list(manifest["tables"].items()):
+        _write(_live(spark, path, name, manifest).drop("bucket"), f"{path}/{name}/{run}", manifest["buckets"])
+        manifest["tables"][name] = {"schema": about["schema"], "runs": [run], "replaced": []}
+    _commit(spark, path, number, manifest)
+    return number
 
 
 def list_episodes(episodes: DataFrame, steps: DataFrame) -> DataFrame:
@@ -220,3 +289,54 @@ def write_items(items: DataFrame, path: str) -> None:
     counted.write.mode("overwrite").json(f"{path}/items")
     count = items.sparkSession.createDataFrame([(written.get["n_items"],)], "n_items bigint")
     count.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def _digested(items: DataFrame) -> tuple[list, list[str]]:
+    """Aggregates that tell sets of rows apart in any order: row count and sums of the parts of row hashes."""
+    row = F.sha2(F.to_json(F.struct(*sorted(items.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.conv(F.substring(row, at, 8), 16, 10).cast("decimal(28,0)") for at in range(1, 65, 8)]
+    sums = [F.sum(p).cast("string").alias(f"d{i}") for i, p in enumerate(parts)]
+    return [F.count(F.lit(1)).alias("n_items"), *sums], [f"d{i}" for i in range(len(sums))]
+
+
+def _digest(found: Mapping, names: list[str]) -> str:
+    told = ":".join([str(found["n_items"]), *(found[n] or "0" for n in names)])
+    return hashlib.sha256(told.encode()).hexdigest()
+
+
+def freeze_items(items: DataFrame, path: str, version: str) -> str:
+    """Write items as a version that never changes and return the digest of its rows.
+
+    The rows lie in a folder named by their digest, which versions of equal rows share. Writing equal rows under a known
+    version changes nothing; other rows are refused. The digest does not depend on the order of rows.
+    """
+    spark = items.sparkSession
+    if not version or "/" in version:
+        raise ValueError(f"not a name of a version: {version!r}")
+    sums, names = _digested(items)
+    seen = Observation("frozen")
+    aside = f"{path}/_aside/{uuid.uuid4().hex}"
+    items.observe(seen, *sums).write.parquet(aside)
+    digest = _digest(seen.get, names)
+    if not moved(spark, aside, f"{path}/rows/{digest}"):
+        drop_aside(spark, aside)
+    note = {"digest": digest, "n_items": seen.get["n_items"], "schema": items.schema.jsonValue()}
+    if not publish(spark, f"{path}/versions/{version}.json", json_text.dumps(note)):
+        held = json_text.loads(published(spark, f"{path}/versions/{version}.json"))["digest"]
+        if held != digest:
+            raise ValueError(f"version {version} holds other items: {held}")
+    return digest
+
+
+def frozen_items(spark: SparkSession, path: str, version: str, check: bool = False) -> DataFrame:
+    """The items of a frozen version; ``check`` reads them all and compares their digest."""
+    where = f"{path}/versions/{version}.json"
+    if not exists(spark, where):
+        raise FileNotFoundError(f"no such version: {where}")
+    note = json_text.loads(published(spark, where))
+    items = spark.read.schema(StructType.fromJson(note["schema"])).parquet(f"{path}/rows/{note['digest']}")
+    if check:
+        sums, names = _digested(items)
+        if _digest(items.agg(*sums).first().asDict(), names) != note["digest"]:
+            raise ValueError(f"the rows of version {version} have changed: {where}")
+    return items

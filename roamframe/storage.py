@@ -37,6 +37,59 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _files(spark, path)
+    return fs.exists(where)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a folder that holds few of them; none if there is no such folder."""
+    fs, where = _files(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a finished file or folder its final name, unless that name is taken."""
+    fs, where = _files(spark, source)
+    to = _files(spark, target)[1]
+    if fs.exists(to):
+        return False
+    fs.mkdirs(to.getParent())
+    return fs.rename(where, to)
+
+
+def drop_aside(spark: SparkSession, path: str) -> None:
+    """Remove a folder that was written aside and is not needed."""
+    fs, where = _files(spark, path)
+    fs.delete(where, True)
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small text file that appears whole or not at all; False if the name is taken."""
+    aside = f"{path}.{uuid.uuid4().hex}.aside"
+    fs, where = _files(spark, aside)
+    fs.mkdirs(where.getParent())
+    out = fs.create(where, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    done = moved(spark, aside, path)
+    if not done:
+        drop_aside(spark, aside)
+    return done
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The text of a file written by :func:`publish`."""
+    return spark.read.option("wholetext", True).text(path).first()[0]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from helpers import step, tables
 
 from roamframe.operators import edges, memory
@@ -51,6 +53,25 @@ def test_memory_of_random_episodes_keeps_its_terms(spark):
     assert by_key.count() == len(rows)
 
 
+def test_wanted_rows_are_the_same_rows(spark):
+    rng = random.Random(31)
+    steps = spark.createDataFrame([("e", n, 0.0) for n in range(300)], "episode_id string, step int, cam_x double")
+    rows = []
+    for name in ("Cup|1", "Jar|2", "Box|3"):
+        at = sorted(rng.sample(range(300), 12))
+        for a, b in zip(at, [*at[1:], None]):
+            rows.append(("e", name, a, b, a))
+    spans = spark.createDataFrame(
+        rows, "episode_id string, object_id string, from_step int, next_step int, last_seen int"
+    ).withColumns({c: F.lit(0) for c in ("from_pos", "next_pos", "seen_x", "seen_y", "seen_z")})
+    asked = [("e", rng.randrange(300), rng.choice(["Cup|1", "Jar|2", "Box|3", "Hat|9"])) for _ in range(80)]
+    wanted = spark.createDataFrame(asked, "episode_id string, step int, object_id string")
+    got = memory.remember(spans, steps, wanted)
+    every = memory.remember(spans, steps).join(wanted, ["episode_id", "step", "object_id"], "left_semi")
+    plain = lambda df: sorted((r.step, r.object_id, r.last_seen) for r in df.collect())
+    assert plain(got) == plain(every) and len(plain(got)) > 30
+
+
 def test_repeated_detection_keeps_first_place_and_last_box(spark):
     t = tables(
         spark,

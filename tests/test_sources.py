@@ -256,6 +256,103 @@ def test_store_replaces_refuses_and_loads(spark, folder, tmp_path):
         store.read_episode(spark)
 
 
+def _small(spark, rows, columns="episode_id string, step int, degrees double"):
+    steps = spark.createDataFrame(rows, columns)
+    ids = steps.select("episode_id").distinct()
+    return {"episodes": ids.withColumns({"scene_id": F.lit("s"), "environment": F.lit("e")}), "steps": steps}
+
+
+def _stored(spark, path, version=None):
+    return sorted(tuple(r) for r in store.read_table(spark, path, "steps", version).drop("bucket").collect())
+
+
+def test_unfinished_write_leaves_the_former_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    first = [("a", 1, 10.0), ("b", 1, 20.0), ("b", 2, 21.0)]
+    assert store.write_episodes(_small(spark, first), path, buckets=4) == 1
+    other = _small(spark, [("b", 1, 99.0)])
+    write = store._write
+
+    def dies(df, target, buckets):
+        if "/steps/" in target:
+            raise RuntimeError("killed")
+        write(df, target, buckets)
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_write", dies)
+        with pytest.raises(RuntimeError, match="killed"):
+            store.write_episodes(other, path)
+    assert store.versions(spark, path) == [1] and _stored(spark, path) == first
+    assert store.write_episodes(other, path) == 2
+    assert _stored(spark, path) == [("a", 1, 10.0), ("b", 1, 99.0)]
+    assert _stored(spark, path, 1) == first
+    assert store.read_table(spark, path, "episodes").count() == 2
+    with pytest.raises(FileNotFoundError):
+        store.read_table(spark, path, "steps", 7)
+
+
+def test_second_writer_of_a_version_is_refused(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    store.write_episodes(_small(spark, [("a", 1, 10.0)]), path, buckets=4)
+    commit = store._commit
+
+    def late(spark, path, number, manifest):
+        with monkeypatch.context() as m:
+            m.setattr(store, "_commit", commit)
+            store.write_episodes(_small(spark, [("c", 1, 30.0)]), path)
+        commit(spark, path, number, manifest)
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", late)
+        with pytest.raises(RuntimeError, match="another version 2"):
+            store.write_episodes(_small(spark, [("a", 1, 11.0)]), path)
+    assert _stored(spark, path) == [("a", 1, 10.0), ("c", 1, 30.0)]
+
+
+def test_replacing_many_times_new_columns_and_compaction(spark, tmp_path):
+    path = str(tmp_path / "store")
+    want = {}
+    for turn in range(5):
+        rows = [(e, s, float(turn)) for e in "abcde"[turn % 3 : turn % 3 + 2] for s in range(turn + 1)]
+        store.write_episodes(_small(spark, rows), path, buckets=2)
+        for e in {r[0] for r in rows}:
+            want[e] = [r for r in rows if r[0] == e]
+    assert _stored(spark, path) == sorted(r for rows in want.values() for r in rows)
+    wide = _small(spark, [("a", 7, 1.0, "Lab")], "episode_id string, step int, degrees double, region_type string")
+    store.write_episodes(wide, path)
+    want["a"] = [("a", 7, 1.0)]
+    rows = sorted((*r, "Lab" if r[0] == "a" else None) for rows in want.values() for r in rows)
+    assert _stored(spark, path) == rows
+    assert store.compact(spark, path) == 7 and _stored(spark, path) == rows
+    assert "LeftAnti" not in store.read_table(spark, path, "steps")._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="steps.degrees is stored as double"):
+        store.write_episodes(_small(spark, [("a", 7, "x")], "episode_id string, step int, degrees string"), path)
+    nothing = _small(spark, [])
+    assert store.write_episodes(nothing, path) == 8 and _stored(spark, path) == rows
+
+
+def test_frozen_versions_never_change(spark, tmp_path):
+    path = str(tmp_path / "frozen")
+    schema = "item_id string, options map<string,string>, answer string"
+    rows = [("i1", {"A": "left", "B": "right"}, "A"), ("i2", {"A": "up"}, None), ("i2", {"A": "up"}, None)]
+    df = spark.createDataFrame(rows, schema)
+    digest = store.freeze_items(df, path, "v1")
+    assert store.freeze_items(df.orderBy("answer").repartition(3), path, "v1") == digest
+    assert store.freeze_items(df, path, "v2") == digest
+    for other in (rows[:2], [*rows[:2], ("i2", {"A": "down"}, None)], []):
+        with pytest.raises(ValueError, match="holds other items"):
+            store.freeze_items(spark.createDataFrame(other, schema), path, "v1")
+    back = store.frozen_items(spark, path, "v1", check=True)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    store.freeze_items(spark.createDataFrame([], schema), path, "empty")
+    assert store.frozen_items(spark, path, "empty", check=True).count() == 0
+    df.limit(1).write.mode("append").parquet(f"{path}/rows/{digest}")
+    with pytest.raises(ValueError, match="have changed"):
+        store.frozen_items(spark, path, "v2", check=True)
+    with pytest.raises(FileNotFoundError):
+        store.frozen_items(spark, path, "v3")
+
+
 def test_marker_places_and_text(spark):
     rows = [
         (2, 9, 0, "Lamp|7", 40, 10, 100, 50, 70.0, 30.0, -0.25, 0.5, -0.9),
