@@ -22,8 +22,11 @@ from roamframe.llm.columns import text_or_empty
 REPORTED, FREQUENT, COUNTED, CACHED = 4096, 65_536, 300_000, 400_000
 # Fixed value: the pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Code points from here on are left to the library as a whole; below, each is tried out once.
+#: Code points below are tried out when a worker starts, the others when a text first has them.
 PROBED = 0x3000
+_HIGH = regex.compile(rf"[{chr(PROBED)}-\U0010ffff]").findall
+#: No pre-token has a space after a letter of another class, so a text can be cut before such a space.
+_CUT = regex.compile(r"(?<=[!-~])(?=\x20)")
 
 _workers: dict[str, "Encoder"] = {}
 
@@ -45,15 +48,45 @@ class Encoder:
         self.pieces = regex.compile(PATTERN).findall
         self.letters = _byte_letters()
         self.cache: dict[str, int] = {}
-        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        odd = []
-        for c in map(chr, range(PROBED)):
+        self.cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.tried = bytearray(0x110000)
+        odd = [c for c in map(chr, range(PROBED)) if self._odd(c)]
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        self.parts = [f"[{''.join(map(regex.escape, odd))}]"] * bool(odd) + [regex.escape(t.content) for t in special]
+        self.strange = regex.compile("|".join(self.parts) or "(?!)")
+        # A special token may reach over a space; texts with one are then not cut.
+        self.cuttable = not any(t.rstrip or " " in t.content for t in special)
+
+    def _odd(self, c: str) -> bool:
+        """Whether the pattern and the library class the character differently; tried out once."""
+        i = ord(c)
+        if not self.tried[i]:
             probe = f"a{c}a1{c}1!{c}!  {c} x"
-            if [len(p.encode()) for p in self.pieces(probe)] != [len(p) for p, _ in cut(probe)]:
-                odd.append(c)
-        special = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        letters = "".join(regex.escape(c) for c in odd)
-        self.strange = regex.compile("|".join([f"[{letters}{chr(PROBED)}-\U0010ffff]", *special])).search
+            same = [len(p.encode()) for p in self.pieces(probe)] == [len(p) for p, _ in self.cut(probe)]
+            self.tried[i] = 1 if same else 2
+        return self.tried[i] == 2
+
+    def stretches(self, text: str):
+        """(stretch, whether the pattern cuts it as the library does); cuts fall between pre-tokens."""
+        high = "" if text.isascii() else "".join(sorted(c for c in set(_HIGH(text)) if self._odd(c)))
+        strange = regex.compile("|".join([f"[{regex.escape(high)}]", *self.parts])) if high else self.strange
+        done = 0
+        for m in strange.finditer(text):
+            if m.start() < done:
+                continue
+            low, end = 0, len(text)
+            if self.cuttable:
+                low = text.rfind(" ", done, m.start())
+                while low > done and not "!" <= text[low - 1] <= "~":
+                    low = text.rfind(" ", done, low)
+                after = _CUT.search(text, m.end())
+                low, end = max(low, done), after.start() if after else end
+            if low > done:
+                yield text[done:low], True
+            yield text[low:end], False
+            done = end
+        if done < len(text):
+            yield text[done:], True
 
     def length(self, piece: str) -> int:
         """Tokens of one pre-token, by the library's model."""
@@ -63,8 +96,9 @@ class Encoder:
         return len(self.tokenizer.encode(text, add_special_tokens=False))
 
     def count(self, text: str, frequent: dict[str, int]) -> int:
-        if self.strange(text):
-            return self.whole(text)
+        return sum(self._looked_up(part, frequent) if plain else self.whole(part) for part, plain in self.stretches(text))
+
+    def _looked_up(self, text: str, frequent: dict[str, int]) -> int:
         pieces = self.pieces(text)
         known = [frequent.get(p) for p in pieces]
         if None not in known:
@@ -97,8 +131,9 @@ def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text") -> dict[
         counts: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if not own.strange(text):
-                    counts.update(own.pieces(text))
+                for part, plain in own.stretches(text):
+                    if plain:
+                        counts.update(own.pieces(part))
                 if len(counts) > COUNTED:
                     counts = Counter(dict(counts.most_common(COUNTED // 4)))
         top = counts.most_common(REPORTED)
@@ -122,8 +157,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     ``path`` is the file of a byte-level BPE in the tokenizers library's format. A null text counts as
     empty and has no tokens; strings of special tokens inside a text count as the library counts them.
-    Texts with such a string, or with a character that the pattern and the library class differently,
-    are encoded whole by the library. Repeated rows give repeated results; other columns are ignored.
+    A stretch between spaces with such a string, or with a character that the pattern and the library
+    class differently, is encoded by the library; the rest of the text is looked up. Repeated rows give repeated results; other columns are ignored.
     """
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_pieces(docs, path, text_col))

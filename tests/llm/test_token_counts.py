@@ -32,5 +32,43 @@ def test_frequent_table_changes_nothing():
     assert own.count(text, {}) == own.count(text, {" the": 1, " cat": own.length(" cat")}) == library([text])[0]
 
 
+def test_high_characters_are_looked_up():
+    own = encoder(PATH)
+    text = "plain words 漢字 and 한글, a smile 😀 x　y"
+    assert [plain for _, plain in own.stretches(text)] == [True]
+    assert own.count(text, {}) == library([text])[0]
+
+
+def test_only_the_strange_stretch_goes_to_the_library():
+    rng = random.Random(11)
+    own = encoder(PATH)
+    parts = list(own.stretches("one two x<|endoftext|>y three. four"))
+    assert parts == [("one two", True), (" x<|endoftext|>y", False), (" three. four", True)]
+    # Characters of newer Unicode versions, unassigned ones and private ones among plain text.
+    high = [chr(c) for c in (0x3000, 0x4E00, 0x9FFF, 0xFEFF, 0xE000, 0x10D40, 0x11F50, 0x1E4D0, 0x1FAE9, 0x2EBF0, 0x31350, 0x323B0, 0xE0100, 0x10FFFF)]
+    letters = [*high, *"ab1!. \n'", " ", " ", "<|endoftext|>", "s'll"]
+    for _ in range(2000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 60)))
+        assert "".join(p for p, _ in own.stretches(text)) == text
+        assert own.count(text, {}) == library_of(own, text)
+
+
+def test_odd_characters_in_any_place():
+    """Characters declared odd go to the library, in whatever stretch, and the sum stays the same."""
+    rng = random.Random(12)
+    own = encoder(PATH)
+    own.tried[ord("ꙮ")], before = 2, own.tried[ord("ꙮ")]
+    try:
+        for _ in range(1000):
+            text = "".join(rng.choice("ab1!.'  \n\tꙮé") for _ in range(rng.randint(1, 50)))
+            assert own.count(text, {}) == library_of(own, text)
+    finally:
+        own.tried[ord("ꙮ")] = before
+
+
+def library_of(own, text):
+    return len(own.tokenizer.encode(text, add_special_tokens=False))
+
+
 def test_empty_table(documents):
     assert token_counts(documents([]), PATH).count() == 0
