@@ -2,15 +2,16 @@
 
 Generators of high recall propose spans, overlapping ones too. Each candidate gets features of its
 format and of the text around it; boosted trees judge them, and a threshold per kind, set on candidates
-held out from fitting, selects what is redacted. A kind with too few candidates to learn from is
-selected by its format and check digits. Spans of the four base kinds are found by their patterns and
+held out from fitting, selects what is redacted. The labels are those of personal data and look-alikes
+planted into texts of the table. A kind with too few of them to learn from is selected by its format and
+check digits. Spans of the four base kinds are found by their patterns and
 checks alone and are always selected.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from hashlib import sha256
 from heapq import nsmallest
 
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roamframe.llm.columns import text_or_empty
+from roamframe.llm.planted import PERSONAL, planted
 from roamframe.llm.trees import Trees, boosted, least_threshold
-from roamframe.storage import saved
 
 # The patterns of the base kinds, in the order in which they are listed.
 BASE = {
@@ -40,22 +41,34 @@ MORE = {
     "spelled_email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]?(?:@|\bat\b)[\])]?\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(]?(?:\.|\bdot\b)[\])]?\x20?[A-Za-z0-9-]{1,63}){1,4}",
 }
 KINDS = [*BASE, *MORE]
-#: Texts that the trees of a kind are fitted to, at most, and the longest text among them; the precision asked of held-out candidates.
-FIT_ROWS, FIT_CHARS, PRECISION = 3000, 8000, 0.9
+#: Texts that spans are planted into, at most, and the longest text among them; spans per text, kind and label.
+FIT_ROWS, FIT_CHARS, PLANTS = 1000, 8000, 2
+#: Tasks that plant and look at what is proposed.
+FIT_TASKS = 32
+#: The precision asked of held-out candidates, and the least threshold, as look-alikes are more common than planted.
+PRECISION, LEAST = 0.97, 0.5
 _AROUND = 24
-#: No candidate but a secret reaches further from its digit or its ``at``; a secret ends with its run.
+#: No candidate but a secret, which is sought everywhere, reaches further from its digit or its ``at``.
 _NEAR = 140
-_SECRET_RUN = re.compile(r"[A-Za-z0-9_-]*+")
-_SECRET_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 _BASE = {k: re.compile(v) for k, v in BASE.items()}
 _SPELLED = re.compile(r"@|[\[(]at[\])]|\bat\x20[A-Za-z0-9-]{1,63}\x20[\[(]?dot\b")
 _MORE = {k: re.compile(v) for k, v in MORE.items()}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_DIGIT = re.compile("[0-9]")
+_DIGIT, _DIGITS, _WORDS = re.compile("[0-9]"), re.compile("[0-9]+"), re.compile("[A-Za-z]+")
 #: A run of digits is entered at its first one only: what fails there fails at the later ones.
 _ADDRESS = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
-_CUES = [re.compile(p, re.IGNORECASE) for p in (r"\b(?:e-?mail|mail)\b", r"\b(?:call|phone|tel|fax|mobile)\b", r"\b(?:card|visa|iban|account|bank)\b", r"\b(?:token|key|secret|password|api)\b", r"\b(?:version|license|chapter|page|section)\b")]
+# Words that point to kinds of personal data, and to other things.
+_CUES = [
+    re.compile(p, re.IGNORECASE)
+    for p in (
+        r"\b(?:e-?mail|mail|write to|contact|correo|courriel)\b",
+        r"\b(?:call|phone|tel|fax|mobile|telefon|tel[eé]fono|t[eé]l[eé]phone)\b",
+        r"\b(?:card|visa|iban|account|bank|konto|compte|cuenta|karte|tarjeta|carte|customer|member|passport|id)\b",
+        r"\b(?:token|key|secret|password|api|passwort|clave)\b",
+        r"\b(?:version|license|chapter|page|section|isbn|file|see|on|since|time)\b",
+    )
+]
 _HEX = re.compile(r"[0-9a-fA-F]+")
 
 
@@ -119,14 +132,12 @@ def _by_start(span: tuple[int, int, str]) -> tuple[int, int]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """What the generators propose; spans may overlap. Only what stands near a digit or an ``at`` is searched."""
-    spans = []
+    """What the generators propose; spans may overlap. All but secrets are searched near a digit or an ``at`` only."""
+    spans = [(f.start(), f.end(), "secret") for f in _MORE["secret"].finditer(text)]
     for name, seed in (("", _DIGIT), ("spelled_email", _SPELLED)):
-        kinds = [name] if name else [k for k in MORE if k != "spelled_email"]
+        kinds = [name] if name else [k for k in MORE if k not in ("spelled_email", "secret")]
         low = high = 0
         for m in [*seed.finditer(text), None]:
-            if high and not name and (m is None or m.start() > high):
-                high = max(high, _SECRET_RUN.match(text, high).end())
             if m and m.start() <= high:
                 high = max(high, m.end() + _NEAR)
                 continue
@@ -134,8 +145,6 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 spans += [(f.start(), f.end(), k) for k in kinds for f in _MORE[k].finditer(text, low, high)]
             if m:
                 low, high = max(high, m.start() - _NEAR), m.end() + _NEAR
-                while not name and low > 0 and text[low] in _SECRET_LETTERS and text[low - 1] in _SECRET_LETTERS:
-                    low -= 1
     return spans
 
 
@@ -148,6 +157,9 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
     before, after = text[max(0, start - _AROUND) : start], text[end : end + _AROUND]
     counts = np.bincount(np.frombuffer(own.encode("utf-8", "replace"), dtype=np.uint8))
     share = counts[counts > 0] / counts.sum()
+    groups = _DIGITS.findall(own)
+    classes = np.array([0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in own])
+    words = _WORDS.findall(own)
     return [
         len(own),
         len(digits),
@@ -157,7 +169,28 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
         float(-(share * np.log2(share)).sum()),
         float(luhn(digits)) if digits else 0.0,
         len(re.findall(r"[\x20().-]", own)),
-        max((int(p[:6]) for p in re.findall("[0-9]+", own)), default=-1),
+        max((int(p[:6]) for p in groups), default=-1),
+        len(groups),
+        len(groups[0]) if groups else 0,
+        len(groups[-1]) if groups else 0,
+        max(map(len, groups), default=0),
+        float(digits[:1] or -1),
+        float(digits[:3] or -1),
+        sum(len(g) == 4 and "1900" <= g < "2040" for g in groups),
+        sum(g == "000" for g in groups),
+        float(_remainder(own) == 1),
+        own.count(":"),
+        own.count("::"),
+        own.count("_") + own.count("-"),
+        float((classes[1:] != classes[:-1]).mean()) if len(own) > 1 else 0.0,
+        sum(c in "aeiouAEIOU" for c in own) / max(letters, 1),
+        max(map(len, words), default=0),
+        len(words[-1]) if words else 0,
+        sum(w in ("at", "dot") for w in words),
+        sum(own.count(c) for c in "[("),
+        float(own[-1:].islower()),
+        own.count(" "),
+        float(". " in own or " ." in own),
         float(_HEX.fullmatch(own) is not None),
         float(own[:1].isupper()),
         own.count("@") + own.count("."),
@@ -168,8 +201,17 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
     ]
 
 
+def _remainder(own: str) -> int:
+    """Of an account number by the check of its kind: 1 where it holds; 0 for other lengths and letters."""
+    turned = own.replace(" ", "")
+    turned = turned[4:] + turned[:4]
+    if not 15 <= len(turned) <= 34 or not (turned.isascii() and turned.isalnum()):
+        return 0
+    return int("".join(str(int(c, 36)) for c in turned)) % 97
+
+
 def weak_label(text: str, span: tuple[int, int, str]) -> int:
-    """What a candidate's format and check digits alone say; the trees learn to say it from all features."""
+    """What a candidate's format and check digits alone say; used for kinds without trees."""
     start, end, kind = span
     own = text[start:end]
     digits = _only_digits(own)
@@ -178,9 +220,7 @@ def weak_label(text: str, span: tuple[int, int, str]) -> int:
     if kind in ("card", "number"):
         return int(12 <= len(digits) <= 19 and luhn(digits))
     if kind == "account":
-        turned = own.replace(" ", "")
-        turned = turned[4:] + turned[:4]
-        return int(15 <= len(turned) <= 34 and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1)
+        return int(_remainder(own) == 1)
     if kind == "address6":
         return int(own.count(":") == 7 or "::" in own)
     if kind == "local_phone":
@@ -192,9 +232,14 @@ def weak_label(text: str, span: tuple[int, int, str]) -> int:
 
 @dataclass
 class Detector:
-    """Trees and threshold per kind; a kind without enough candidates of either label has none and goes by weak_label."""
+    """Trees and threshold per kind; a kind without enough candidates of either label has none and goes by weak_label.
+
+    ``measured`` has recall, precision and count of planted personal data in texts neither fitted to nor
+    used for the threshold.
+    """
 
     kinds: dict[str, tuple[Trees, float]]
+    measured: dict[str, tuple[float, float, int]] = field(default_factory=dict)
 
     def selected(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """All spans of each text: the base ones, and candidates over their threshold that overlap none.
@@ -232,51 +277,73 @@ class Detector:
         return base
 
 
-def _proposing(batches):
-    """Rows (key, text) give (kind, key): per task and kind the FIT_ROWS least keys of texts with such a candidate."""
-    least: dict[str, set[int]] = {k: set() for k in MORE}
+def _least_keys(batches):
+    """The FIT_ROWS least keys of a task, each once."""
+    least: set[int] = set()
+    for batch in batches:
+        least.update(batch.column(0).to_pylist())
+        if len(least) > 2 * FIT_ROWS:
+            least = set(nsmallest(FIT_ROWS, least))
+    yield pa.RecordBatch.from_arrays([pa.array(nsmallest(FIT_ROWS, least), pa.int64())], ["key"])
+
+
+_EXAMPLE = "part int, kind string, personal boolean, proposed boolean, label double, x array<double>"
+
+
+def _examples(batches):
+    """Rows (key, text) give one row per planted span and candidate over it, or one where nothing is proposed."""
     for batch in batches:
+        out: list[list] = [[] for _ in range(6)]
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for kind in {k for *_, k in candidates(text)}:
-                least[kind].add(key)
-        for kind, own in least.items():
-            if len(own) > 2 * FIT_ROWS:
-                least[kind] = set(nsmallest(FIT_ROWS, own))
-    for kind, own in least.items():
-        keys = pa.array(nsmallest(FIT_ROWS, own), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), keys], ["kind", "key"])
+            for kind in PERSONAL:
+                for personal in (True, False):
+                    for i in range(PLANTS):
+                        around, start, end = planted(text, f"{key}:{i}", kind, personal)
+                        # A candidate is right where more than half of it and the planted span is common.
+                        over = [s for s in candidates(around) if s[2] == kind and s[0] < end and start < s[1]]
+                        rows = [(1.0 if personal and 2 * (min(end, b) - max(start, a)) > max(end, b) - min(start, a) else 0.0, features(around, (a, b, k))) for a, b, k in over]
+                        for label, x in rows or [(0.0, [])]:
+                            for column, value in zip(out, (key % 4, kind, personal, bool(rows), label, x)):
+                                column.append(value)
+        types = [pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.float64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["part", "kind", "personal", "proposed", "label", "x"])
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Detector:
-    """Fit each kind to its candidates in at most FIT_ROWS texts that have one, half of them held out.
+    """Fit each kind to spans planted into at most FIT_ROWS texts.
 
-    The texts are chosen per kind from the whole table, by a hash; equal texts count once. A kind with
-    fewer than five candidates of a label to fit to, or without a threshold of the precision, gets no trees.
+    The texts are the least by a hash in the whole table; equal texts count once. Planting and features
+    are the tasks' work; the driver gets the features of at most 4 * PLANTS * FIT_ROWS spans or so per kind.
+    By the hash, half of the texts are fitted to, a quarter sets the threshold, a quarter is measured. A
+    kind with fewer than five candidates of a label to fit to, or without a threshold of the precision,
+    gets no trees.
     """
     spark = docs.sparkSession
     texts = docs.select(text_or_empty(text_col).alias("text")).filter(F.length("text") <= FIT_CHARS)
     texts = texts.select(F.xxhash64("text").alias("key"), "text")
-    marks = saved(texts.mapInArrow(_proposing, "kind string, key bigint"), "proposing")
-    # Keys first: what tasks send to the driver is then FIT_ROWS numbers each, and FIT_ROWS texts of a kind in all.
-    keys = {k: [r[0] for r in marks.filter(F.col("kind") == k).select("key").distinct().orderBy("key").limit(FIT_ROWS).collect()] for k in MORE}
-    some = spark.createDataFrame(pa.table({"key": pa.array(sorted({x for own in keys.values() for x in own}), pa.int64())}))
-    chosen = dict(texts.join(F.broadcast(some), "key", "left_semi").dropDuplicates(["key"]).collect())
-    kinds = {}
-    for kind, own in keys.items():
-        rows = []
-        for i, key in enumerate(own):
-            for span in candidates(chosen[key]):
-                if span[2] == kind:
-                    rows.append((i % 2, weak_label(chosen[key], span), features(chosen[key], span)))
-        side = np.array([s for s, *_ in rows])
-        y = np.array([float(label) for _, label, _ in rows])
-        x = np.array([f for *_, f in rows])
-        if min(y[side == 0].sum(), (1 - y[side == 0]).sum()) >= 5 and (side == 1).any():
-            trees = boosted(x[side == 0], y[side == 0])
-            least = least_threshold(trees.probability(x[side == 1]), y[side == 1], PRECISION)
-            if least <= 1:
-                kinds[kind] = trees, least
-    return Detector(kinds)
+    least = texts.select("key").mapInArrow(_least_keys, "key bigint").distinct().orderBy("key").limit(FIT_ROWS)
+    some = spark.createDataFrame(pa.table({"key": pa.array([r.key for r in least.collect()], pa.int64())}))
+    chosen = texts.join(F.broadcast(some), "key", "left_semi").dropDuplicates(["key"])
+    told = chosen.repartition(FIT_TASKS).mapInArrow(_examples, _EXAMPLE).toArrow()
+    columns = [told.column(c).to_numpy(zero_copy_only=False) for c in ("part", "kind", "personal", "proposed", "label")]
+    features_of = told.column("x").to_pylist()
+    kinds, measured = {}, {}
+    for kind in PERSONAL:
+        own = np.flatnonzero((columns[1] == kind) & columns[3].astype(bool))
+        part, y = columns[0][own], columns[4][own]
+        x = np.array([features_of[i] for i in own])
+        if min(y[part < 2].sum(), (1 - y[part < 2]).sum()) < 5 or not (part == 2).any():
+            continue
+        trees = boosted(x[part < 2], y[part < 2])
+        least_p = max(LEAST, least_threshold(trees.probability(x[part == 2]), y[part == 2], PRECISION))
+        if least_p > 1:
+            continue
+        kinds[kind] = trees, least_p
+        taken = trees.probability(x[part == 3]) >= least_p if (part == 3).any() else np.zeros(0, bool)
+        missed = ((columns[1] == kind) & (columns[0] == 3) & columns[2].astype(bool) & ~columns[3].astype(bool)).sum()
+        right, all_right = y[part == 3][taken].sum(), y[part == 3].sum() + missed
+        measured[kind] = float(right / max(all_right, 1)), float(right / max(taken.sum(), 1)), int(all_right)
+    return Detector(kinds, measured)
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
