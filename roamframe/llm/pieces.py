@@ -297,7 +297,7 @@ def decode_documents(docs: DataFrame, path: str, ids_col: str = "token_ids", tex
 
 
 def piece_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, n_chars, n_tokens, n_bytes_tokens, score, ids_sha256, restored.
+    """One row per row of ``docs``: ``id_col``, n_chars, n_tokens, n_byte_tokens, score, ids_sha256, restored.
 
     Every whole text is encoded, and its ids decoded again; ``restored`` says whether that gave the text
     (a text that itself holds the model's sign for a blank gets blanks there). ids_sha256 is over the
