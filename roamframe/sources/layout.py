@@ -1,4 +1,8 @@
-"""Readers of layout and meta files (JSON)."""
+"""Readers of layout and meta files (JSON).
+
+``episode`` is a pattern that finds the episode's folder in the path of a file, which is one document.
+With None a file holds one document per line, and each names its own in a field.
+"""
 
 from __future__ import annotations
 
@@ -25,21 +29,25 @@ META_SCHEMA = (
 )
 
 
-def _read(spark: SparkSession, path, schema: str) -> DataFrame:
+def _read(spark: SparkSession, path, schema: str, episode: str | None, name: str) -> DataFrame:
+    """Documents and their files; the episode of each is in the column ``name``."""
     paths = [path] if isinstance(path, str) else list(path)
-    return (
-        spark.read.options(multiLine=True, recursiveFileLookup=True).schema(schema).json(paths)
-    )
+    file = F.col("_metadata.file_path").alias("src_file")
+    reader = spark.read.options(multiLine=episode is not None, recursiveFileLookup=True)
+    if episode is None:
+        return reader.schema(f"{name} string, {schema}").json(paths).select("*", file)
+    own = F.regexp_extract("_metadata.file_path", episode, 1).alias(name)
+    return reader.schema(schema).json(paths).select(own, "*", file)
 
 
 def read_world_layout(
-    spark: SparkSession, path, episode: str = EPISODE_FOLDER
+    spark: SparkSession, path, episode: str | None = EPISODE_FOLDER
 ) -> dict[str, DataFrame]:
-    """Tables ``regions``, ``landmarks``, ``passages`` and ``connectivity`` with their row order."""
-    file = F.col("_metadata.file_path")
-    layouts = _read(spark, path, LAYOUT_SCHEMA).select(
-        F.regexp_extract(file, episode, 1).alias("scene_id"), "*"
-    )
+    """Tables ``regions``, ``landmarks``, ``passages`` and ``connectivity`` with their row order.
+
+    In files of many layouts the field is ``scene_id``.
+    """
+    layouts = _read(spark, path, LAYOUT_SCHEMA, episode, "scene_id")
     out = {}
     for name in ("regions", "landmarks", "passages", "connectivity"):
         rows = layouts.select("scene_id", F.posexplode(name).alias("row_ord", "r")).select(
@@ -52,12 +60,12 @@ def read_world_layout(
     return out
 
 
-def read_episode_meta(spark: SparkSession, path, episode: str = EPISODE_FOLDER) -> DataFrame:
-    """One row per episode; the scene of the meta file overrides the one in its file name."""
-    file = F.col("_metadata.file_path")
-    meta = _read(spark, path, META_SCHEMA).select(
-        F.regexp_extract(file, episode, 1).alias("folder"), file.alias("src_file"), "*"
-    )
+def read_episode_meta(spark: SparkSession, path, episode: str | None = EPISODE_FOLDER) -> DataFrame:
+    """One row per episode; the scene of the meta file overrides the one in its file name.
+
+    In files of many metas the field is ``folder``.
+    """
+    meta = _read(spark, path, META_SCHEMA, episode, "folder")
     named = scene_from_name(F.regexp_extract("src_file", r"([^/]+)$", 1))
     return meta.withColumns(
         {

@@ -1,8 +1,12 @@
 """Readers of the raw episode logs (CSV).
 
 Columns are found by header name, file by file: the files of one call may have different columns in
-different orders, and what a file lacks is null.  Every row carries the folder of its episode and
-``src_ord``, its place in the file.
+different orders, and what a file lacks is null.  Every row carries its episode and ``src_ord``, its
+place in the file.
+
+``episode`` is a pattern that finds the episode's folder in the path of a file.  With None a file holds
+many episodes, each of them whole, and names them in a column ``episode_id``: a folder and a file per
+episode are too many to list and open where there are hundreds of thousands of episodes.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ def _place() -> Column:
 
 
 def read_log(
-    spark: SparkSession, path: str | Sequence[str], episode: str = EPISODE_FOLDER
+    spark: SparkSession, path: str | Sequence[str], episode: str | None = EPISODE_FOLDER
 ) -> DataFrame:
     """Text columns of a log, missing values as null, plus episode_id, src_file and src_ord.
 
@@ -87,12 +91,17 @@ def read_log(
             lambda a, b: a.unionByName(b, allowMissingColumns=True), map(of, sorted(layouts))
         )
     names = [c for c in rows.columns if c not in ("src_file", "src_ord")]
+    if episode is None:
+        if "episode_id" not in names:
+            raise ValueError("logs of many episodes need a column episode_id")
+        own = F.col("episode_id")
+        names.remove("episode_id")
+    else:
+        own = F.regexp_extract("src_file", episode, 1)
     clean = [
         F.when(~F.trim(F.col(f"`{n}`")).isin(MISSING), F.col(f"`{n}`")).alias(n) for n in names
     ]
-    return rows.select(
-        F.regexp_extract("src_file", episode, 1).alias("episode_id"), "src_file", "src_ord", *clean
-    )
+    return rows.select(own.alias("episode_id"), "src_file", "src_ord", *clean)
 
 
 def _names(header: str) -> list[str]:
@@ -119,7 +128,7 @@ def _pose(df: DataFrame, source: str, target: str) -> list[Column]:
     return [_number(df, f"{source}-{a}").alias(f"{target}_{a}") for a in "xyz"]
 
 
-def read_navigation(spark: SparkSession, path, episode: str = EPISODE_FOLDER) -> DataFrame:
+def read_navigation(spark: SparkSession, path, episode: str | None = EPISODE_FOLDER) -> DataFrame:
     """One row per logged row; ``object_id`` is null where nothing usable was detected.
 
     Structural and invalid ids leave their step in place.
@@ -177,7 +186,7 @@ def parse_id_list(text: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def read_objects(spark: SparkSession, path, episode: str = EPISODE_FOLDER) -> DataFrame:
+def read_objects(spark: SparkSession, path, episode: str | None = EPISODE_FOLDER) -> DataFrame:
     """Object catalog; the last row of an id wins."""
     raw = read_log(spark, path, episode)
     id_, type_ = _col(raw, "obj-id"), _col(raw, "obj-type")
@@ -197,7 +206,7 @@ def read_objects(spark: SparkSession, path, episode: str = EPISODE_FOLDER) -> Da
 
 
 def read_object_state(
-    spark: SparkSession, path, displaced: DataFrame, episode: str = EPISODE_FOLDER
+    spark: SparkSession, path, displaced: DataFrame, episode: str | None = EPISODE_FOLDER
 ) -> DataFrame:
     """States of displaced objects; the last row of a (step, object) wins."""
     raw = read_log(spark, path, episode)
@@ -219,7 +228,7 @@ def read_object_state(
     return dedup_last(rows, ["episode_id", "step", "object_id"], "src_ord")
 
 
-def read_displacement_events(spark: SparkSession, path, episode: str = EPISODE_FOLDER) -> DataFrame:
+def read_displacement_events(spark: SparkSession, path, episode: str | None = EPISODE_FOLDER) -> DataFrame:
     raw = read_log(spark, path, episode)
     flags = (
         "hidden_during",
@@ -253,7 +262,7 @@ def _file_block() -> Column:
     return F.floor(F.col("src_ord") / _FILE_BLOCK)
 
 
-def read_passage_state(spark: SparkSession, path, episode: str = EPISODE_FOLDER) -> DataFrame:
+def read_passage_state(spark: SparkSession, path, episode: str | None = EPISODE_FOLDER) -> DataFrame:
     """Change points per passage, in file order."""
     raw = read_log(spark, path, episode)
     rows = raw.select(
@@ -270,7 +279,7 @@ def read_passage_state(spark: SparkSession, path, episode: str = EPISODE_FOLDER)
     return passage_change_points(rows, ["src_ord"], _file_block()).drop("src_ord")
 
 
-def read_region_rows(spark: SparkSession, path, episode: str = EPISODE_FOLDER) -> DataFrame:
+def read_region_rows(spark: SparkSession, path, episode: str | None = EPISODE_FOLDER) -> DataFrame:
     raw = read_log(spark, path, episode)
     return raw.select(
         "episode_id",
@@ -281,7 +290,7 @@ def read_region_rows(spark: SparkSession, path, episode: str = EPISODE_FOLDER) -
     )
 
 
-def read_region_trajectory(spark: SparkSession, path, episode: str = EPISODE_FOLDER) -> DataFrame:
+def read_region_trajectory(spark: SparkSession, path, episode: str | None = EPISODE_FOLDER) -> DataFrame:
     """Change points of the agent's region, in file order."""
     rows = read_region_rows(spark, path, episode)
     return region_change_points(rows, ["src_ord"], _file_block()).drop("src_ord")

@@ -108,6 +108,48 @@ def test_files_of_several_layouts(spark, folder):
     assert {(r.episode_id, r.step): r.action for r in steps.collect()}["run_1", 4] == "move_ahead"
 
 
+def test_files_of_many_episodes(spark, tmp_path):
+    """An episode of each file is named by its rows, in files of two layouts; the path says nothing."""
+    (tmp_path / "a.csv").write_text("episode_id,timestep,obj-id,ag-action\n7,0,Cup|1,done\n7,1,,None\n8,0,Mug|2,done\n")
+    (tmp_path / "b.csv").write_text("ag-action,obj-id,timestep,episode_id\nmove_ahead,Pan|1,3,9\ndone,Pan|2,3,9\n")
+    nav = logs.read_navigation(spark, str(tmp_path), None)
+    got = sorted((r.episode_id, r.step, r.object_id or "", r.action or "") for r in nav.collect())
+    assert got == [("7", 0, "Cup|1", "done"), ("7", 1, "", ""), ("8", 0, "Mug|2", "done"),
+                   ("9", 3, "Pan|1", "move_ahead"), ("9", 3, "Pan|2", "done")]
+    steps, _ = logs.split_navigation(nav)
+    assert sorted((r.episode_id, r.step, r.pos, r.action) for r in steps.collect()) == [
+        ("7", 0, 0, "done"), ("7", 1, 1, None), ("8", 0, 0, "done"), ("9", 3, 0, "move_ahead")]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "regions.csv").write_text("timestep,region_id\n0,den\n")
+    with pytest.raises(ValueError, match="episode_id"):
+        logs.read_region_rows(spark, str(tmp_path / "c"), None)
+
+
+def test_layouts_and_metas_of_many_episodes(spark, tmp_path):
+    layouts = [{"scene_id": s, "regions": [{"region_id": f"den|{s}{i}"} for i in range(2)]} for s in "ab"]
+    (tmp_path / "layouts.json").write_text("".join(json.dumps(d) + "\n" for d in layouts))
+    regions = layout.read_world_layout(spark, str(tmp_path / "layouts.json"), None)["regions"]
+    got = sorted((r.scene_id, r.row_ord, r.region_id) for r in regions.collect())
+    assert got == [("a", 0, "den|a0"), ("a", 1, "den|a1"), ("b", 0, "den|b0"), ("b", 1, "den|b1")]
+    metas = [{"folder": f"run_{i}", "episode_id": f"e{i}", "scene_id": f"house_{i}"} for i in range(2)]
+    (tmp_path / "metas.json").write_text("".join(json.dumps(d) + "\n" for d in metas))
+    got = layout.read_episode_meta(spark, str(tmp_path / "metas.json"), None).collect()
+    assert sorted((r.folder, r.episode_id, r.scene_id) for r in got) == [("run_0", "e0", "house_0"), ("run_1", "e1", "house_1")]
+
+
+def test_queries_write_few_log_files(spark, tmp_path):
+    """Files of a log do not grow with its episodes."""
+    import os
+
+    from episode_queries import _logs
+
+    rows = spark.range(300).selectExpr("id as episode_id", "0 as timestep", "'den' as region_id")
+    path = _logs(spark, rows, "few", ["timestep"]).removeprefix("file://").removeprefix("file:")
+    assert sum(f.endswith(".csv") for _, _, files in os.walk(path) for f in files) < 50
+    back = logs.read_region_rows(spark, path, None)
+    assert sorted(int(r.episode_id) for r in back.collect()) == list(range(300))
+
+
 def test_catalog(spark, folder):
     got = {r.object_id: r for r in logs.read_objects(spark, notes(folder, "objects")).collect()}
     assert set(got) == {"Lamp|7", "Book|3"}
