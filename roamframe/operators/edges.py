@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamframe.functions import geometry as G
@@ -12,7 +12,7 @@ from roamframe.operators.poses import STEP, local_position, point
 from roamframe.params import DEFAULTS, Params
 
 EDGE_TYPES = ["egocentric", "allocentric", "object_frame", "inferred"]
-# Objects of a cell that one array holds; a cell with more has several.
+# Objects that one array holds: those of a step, or of a cell of steps with more; a cell with more has several.
 ARRAY_OBJECTS = 128
 # Edge of a cell in search radii.
 CELL_RADII = 4
@@ -98,6 +98,67 @@ def _cells(axes: list[str], size: float, reach: float) -> Column:
 def _nearest_in_step(visible: DataFrame, params: Params, array_objects: int) -> DataFrame:
     """Nearest others of the same step.
 
+    The objects are shuffled once, by their step.  A step of at most ``array_objects`` of them is one
+    array, in which each looks at all others; steps with more are cut into cells.
+    """
+    axes = ["local_x", "local_y", "local_z"]
+    place = ["object_id", "det_ord", *axes]
+    # Without a place in space nothing is near; the comparison below would say so for each pair.
+    for axis in axes:
+        visible = visible.where(F.col(axis).isNotNull() & ~F.isnan(axis) & (F.abs(axis) < float("inf")))
+    for key in STEP:
+        visible = visible.where(F.col(key).isNotNull())
+    step = Window.partitionBy(*STEP)
+    counted = (
+        visible.repartition(*STEP)
+        .groupBy(*STEP, *place)
+        # The place as it was given, as grouping turns -0.0 into 0.0.
+        .agg(F.count(F.lit(1)).alias("__n"), *[F.first(a).alias(f"__{a}") for a in axes])
+        .withColumn("__objects", F.sum("__n").over(step))
+    )
+    crowded = _nearest_in_cells(
+        counted.where(F.col("__objects") > array_objects), params, array_objects
+    )
+    me = {c: F.col(c) for c in ("object_id", *axes)}
+    other = F.struct("det_ord", "object_id", *[F.col(f"__{a}").alias(a) for a in axes], "__n")
+    few = counted.where(F.col("__objects") <= array_objects)
+    near = knn_topk(_within_radius("objs", me, params, "__n"), params.k_neighbors)
+    # A repeated row of either end counts as often as it is there.
+    repeated = F.flatten(F.transform(near, lambda m: F.array_repeat(m["o"], (m["n"] * F.col("__n")).cast("int"))))
+    alone = few.withColumn("objs", F.collect_list(other).over(step)).where(F.size("objs") > 1)
+    alone = alone.select(*STEP, *place, F.slice(repeated, 1, params.k_neighbors).alias("near"))
+    return alone.unionByName(crowded).select(*STEP, *place, F.posexplode("near").alias("i", "n")).select(
+        *STEP,
+        *[F.col(c).alias(f"s_{c}") for c in ("object_id", "det_ord", *axes)],
+        *[F.col(f"n.{c}").alias(f"n_{c}") for c in ("object_id", "det_ord", *axes)],
+        F.col("n.dist").alias("dist"),
+        (F.col("i") + 1).alias("rank"),
+    )
+
+
+def _within_radius(objs: str, me: dict[str, Column], params: Params, times: str | None = None) -> Column:
+    """Others of an array that are near enough; with ``times`` as (o, n), n being how often each is there."""
+    axes = ["local_x", "local_y", "local_z"]
+
+    def measured(n: Column) -> Column:
+        found = F.struct(
+            G.norm(*[n[a] - me[a] for a in axes]).alias("dist"),
+            n["det_ord"].alias("det_ord"),
+            n["object_id"].alias("object_id"),
+            *[n[a].alias(a) for a in axes],
+        )
+        return found if times is None else F.struct(found.alias("o"), n[times].alias("n"))
+
+    one = (lambda m: m) if times is None else (lambda m: m["o"])
+    return F.filter(
+        F.transform(objs, measured),
+        lambda m: (one(m)["object_id"] != me["object_id"]) & (one(m)["dist"] <= params.radius),
+    )
+
+
+def _nearest_in_cells(counted: DataFrame, params: Params, array_objects: int) -> DataFrame:
+    """Nearest others in crowded steps, as arrays.
+
     A step is cut into cells of four search radii.  An object is written into every cell within the
     radius, two of them on average in a room, and looks through its own cell only: whatever is near
     enough has been written there.  A crowded cell is several arrays of bounded size, and what an
@@ -107,45 +168,23 @@ def _nearest_in_step(visible: DataFrame, params: Params, array_objects: int) ->
     axes = ["local_x", "local_y", "local_z"]
     place = ["object_id", "det_ord", *axes]
     size = CELL_RADII * params.radius
-    # Without a place in space nothing is near; the comparison below would say so for each pair.
-    for axis in axes:
-        visible = visible.where(F.col(axis).isNotNull() & ~F.isnan(axis) & (F.abs(axis) < float("inf")))
+    each = F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))
+    visible = counted.withColumn("__copy", each).select(
+        *STEP, "object_id", "det_ord", *[F.col(f"__{a}").alias(a) for a in axes]
+    )
     slot = F.floor(F.col("det_ord") / F.lit(array_objects))
     frames = (
         visible.withColumn("__cell", F.explode(_cells(axes, size, params.radius)))
         .groupBy(*STEP, "__cell", slot.alias("__slot"))
         .agg(F.collect_list(F.struct("det_ord", "object_id", *axes)).alias("objs"))
     )
-
-    def near(o: dict[str, Column]) -> Column:
-        def measured(n: Column) -> Column:
-            return F.struct(
-                G.norm(*[n[a] - o[a] for a in axes]).alias("dist"),
-                n["det_ord"].alias("det_ord"),
-                n["object_id"].alias("object_id"),
-                *[n[a].alias(a) for a in axes],
-            )
-
-        others = F.filter(
-            F.transform("objs", measured),
-            lambda m: (m["object_id"] != o["object_id"]) & (m["dist"] <= params.radius),
-        )
-        return knn_topk(others, params.k_neighbors)
-
     own = _cell(*[F.floor(F.col(a) / size) for a in axes])
     looked = visible.select(*STEP, *place, own.alias("__cell")).join(frames, [*STEP, "__cell"])
-    kept = looked.select(*STEP, "__cell", *place, near({c: F.col(c) for c in place}).alias("near"))
-    kept = kept.where(F.size("near") > 0)
-    merged = kept.groupBy(*STEP, "__cell", *place).agg(
+    near = knn_topk(_within_radius("objs", {c: F.col(c) for c in place}, params), params.k_neighbors)
+    kept = looked.select(*STEP, "__cell", *place, near.alias("near")).where(F.size("near") > 0)
+    return kept.groupBy(*STEP, "__cell", *place).agg(
         knn_topk(F.flatten(F.collect_list("near")), params.k_neighbors).alias("near")
-    )
-    return merged.select(*STEP, *place, F.posexplode("near").alias("i", "n")).select(
-        *STEP,
-        *[F.col(c).alias(f"s_{c}") for c in ("object_id", "det_ord", *axes)],
-        *[F.col(f"n.{c}").alias(f"n_{c}") for c in ("object_id", "det_ord", *axes)],
-        F.col("n.dist").alias("dist"),
-        (F.col("i") + 1).alias("rank"),
-    )
+    ).drop("__cell")
 
 
 def edges_allocentric(

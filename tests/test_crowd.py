@@ -74,3 +74,12 @@ def test_a_wide_step_is_searched_cell_by_cell(spark):
         assert cells.count() <= 8 * n * n
     # A cell reaches over nine metres each way at most, however large the step is.
     assert looked == {20: 81, 40: 81}
+
+
+@pytest.mark.parametrize("array_objects", [1, 128])
+def test_repeated_rows_are_neighbours_as_often(spark, array_objects):
+    """A repeated row fills as many places among the nearest, and its own are repeated too."""
+    points = [(0, 0, "A", 0, "c", 0.0, 0.0, 0.0), *[(0, 0, "B", 1, "c", 0.5, 0.0, 0.0)] * 2, (0, 0, "C", 2, "c", 1.0, 0.0, 0.0)]
+    rows = edges_allocentric(spark.createDataFrame(points, SCHEMA), array_objects=array_objects).collect()
+    got = {s: [r.target for r in sorted(rows, key=lambda r: r.ord_minor) if r.source == s] for s in "ABC"}
+    assert got == {"A": ["B", "B", "C"], "B": ["A", "A", "C"], "C": ["B", "B", "A"]}
