@@ -418,7 +418,12 @@ def plan_allocentric(t: EpisodeTables, n: int = 3, params: Params = DEFAULTS) ->
     relative = ["to the left of it", "to the right of it", "in front of it", "behind it"]
     triplet = F.struct(*[F.col(f"angle_{a}").alias(a) for a in "xyz"])
     edges = (
-        first_allocentric_edge(t.allocentric)
+        # Only what is read below is sorted.
+        first_allocentric_edge(
+            t.allocentric.select(
+                *STEP, "edge_type", "source", "target", "ord_major", "ord_minor", *[f"angle_{a}" for a in "xyz"]
+            )
+        )
         .select(*STEP, "source", "target", ego_label(triplet).alias("label"))
         .where(F.col("label").isNotNull())
     )
@@ -658,7 +663,8 @@ def _first_pairs(visits: DataFrame, connectivity: DataFrame, n: int) -> DataFram
             more, deepest = search_trees(hops, starts.join(tree.select(*START), START, "left_anti"))
             tree, depth = tree.unionByName(more), max(depth, deepest)
         reached = tree.where("depth > 0").select(*START, F.col("node").alias("goal"))
-        pairs = tried.join(reached, START).join(goals, ["episode_id", "goal"]).where(F.col("i") < F.col("j"))
+        # An episode's regions meet first: the trees reach regions that it has never been to.
+        pairs = tried.join(goals, "episode_id").where(F.col("i") < F.col("j")).join(reached, [*START, "goal"])
         if found is not None:
             pairs = pairs.unionByName(found.drop("rank"))
         found = saved(top_n_facts(pairs, n, ["i", "j"]), "pairs")
