@@ -18,6 +18,7 @@ from roamframe.params import DEFAULTS, Params
 from roamframe.plans.facts import ARROW, walked_segments
 from roamframe.plans.items import question_text
 from roamframe.plans.tables import EpisodeTables
+from roamframe.storage import saved
 
 FACT = ["episode_id", "fact_no"]
 
@@ -33,6 +34,7 @@ def _ego_labels(t: EpisodeTables, step_col: str, params: Params) -> DataFrame:
 
 def validate_items(items: DataFrame, t: EpisodeTables, params: Params = DEFAULTS) -> DataFrame:
     """Each item's answer worked out again from poses, tracks and layout, and whether it agrees."""
+    # Stored, as every construct below reads the items: drafting them seven times is most of the work.
     asked = items.where(F.col("answer").isNotNull()).select(
         "episode_id",
         "scene_id",
@@ -45,6 +47,7 @@ def validate_items(items: DataFrame, t: EpisodeTables, params: Params = DEFAULTS
         "answer_source",
         "displacement_event",
     )
+    asked = saved(asked, "asked")
     out = ["episode_id", "item_id", "construct", "answer_label", "again"]
 
     def of(construct: str) -> DataFrame:
