@@ -8,11 +8,12 @@ produced in place and never moved.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamframe.operators.poses import STEP
 from roamframe.ordered import (
+    BLOCK_COLUMN,
     first_value,
     following,
     last_value,
@@ -40,21 +41,22 @@ def memory_spans(steps: DataFrame, visible: DataFrame, states: DataFrame) -> Dat
         F.struct("step", "category", *[f"local_{a}" for a in "xyz"]).alias("sight"),
         F.struct("step", "det_ord").alias("opened"),
     )
-    # A sighting already shows the state of its step; what is left are updates while unseen.
-    unseen = (
-        states.join(steps.select(*STEP, "pos"), STEP)
-        .join(visible.select(*STEP, "object_id"), [*STEP, "object_id"], "left_anti")
-        .select(
-            *OBJECT,
-            "step",
-            "pos",
-            what.alias("what"),
-            *[F.lit(None).cast(sightings.schema[c].dataType).alias(c) for c in ("sight", "opened")],
-        )
+    updates = states.join(steps.select(*STEP, "pos"), STEP).select(
+        *OBJECT,
+        "step",
+        "pos",
+        what.alias("what"),
+        *[F.lit(None).cast(sightings.schema[c].dataType).alias(c) for c in ("sight", "opened")],
     )
-    marks = sightings.unionByName(unseen)
+    # A sighting already shows the state of its step; what counts are updates while unseen.  Both kinds
+    # of rows meet where the spans are made, so that nothing is dealt out twice.
+    def unseen(marks: DataFrame) -> DataFrame:
+        here = Window.partitionBy(*OBJECT, BLOCK_COLUMN, "step")
+        marks = marks.withColumn("__seen", F.max(F.col("sight").isNotNull()).over(here))
+        return marks.where(F.col("sight").isNotNull() | ~F.col("__seen")).drop("__seen")
+
     spans = with_ordered(
-        marks,
+        sightings.unionByName(updates),
         OBJECT,
         ["step"],
         step_block("step"),
@@ -64,6 +66,8 @@ def memory_spans(steps: DataFrame, visible: DataFrame, states: DataFrame) -> Dat
             "next_step": following("step"),
             "next_pos": following("pos"),
         },
+        once=True,
+        dealt=unseen,
     )
     return spans.where(F.col("sight").isNotNull()).select(
         *OBJECT,

@@ -39,18 +39,24 @@ def resolve_pose(detections: DataFrame, states: DataFrame, objects: DataFrame) -
 
     ``states`` holds displaced objects only; it and ``objects`` have one row per key.
     """
-    keys = catalog_keys(objects)
-    state = states.select(
-        *STEP,
-        "object_id",
-        F.struct(
-            "category",
-            *[f"pos_{a}" for a in "xyz"],
-            *[f"rot_{a}" for a in "xyz"],
-            "in_camera_fov",
-            "parent_receptacle",
-        ).alias("__state"),
+    state = states.select(*STEP, "object_id", _state().alias("__state"))
+    posed = detections.join(state, [*STEP, "object_id"], "left")
+    return _posed(posed, objects, detections.columns)
+
+
+def _state() -> Column:
+    return F.struct(
+        "category",
+        *[f"pos_{a}" for a in "xyz"],
+        *[f"rot_{a}" for a in "xyz"],
+        "in_camera_fov",
+        "parent_receptacle",
     )
+
+
+def _posed(rows: DataFrame, objects: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pose of rows that carry their state, or null, as ``__state``."""
+    keys = catalog_keys(objects)
     catalog = objects.select(
         *keys,
         F.struct("category", *[f"pos_{a}" for a in "xyz"], *[f"rot_{a}" for a in "xyz"]).alias(
@@ -63,11 +69,10 @@ def resolve_pose(detections: DataFrame, states: DataFrame, objects: DataFrame) -
         for c in ["category", *[f"pos_{a}" for a in "xyz"], *[f"rot_{a}" for a in "xyz"]]
     ]
     return (
-        detections.join(state, [*STEP, "object_id"], "left")
-        .join(catalog, keys, "left")
+        rows.join(catalog, keys, "left")
         .where(has_state | F.col("__catalog").isNotNull())
         .select(
-            *detections.columns,
+            *columns,
             *pose,
             has_state.alias("from_state"),
             F.col("__state.in_camera_fov").alias("in_camera_fov"),
@@ -86,6 +91,34 @@ def unique_detections(detections: DataFrame) -> DataFrame:
     )
 
 
+def _with_states(detections: DataFrame, states: DataFrame) -> DataFrame:
+    """Unique detections with their states as ``__state``, dealt by step.
+
+    Both are shuffled once, by step, and meet in one aggregate; what is joined by step later finds the rows in
+    place. A join by step and object would deal them anew.
+    """
+    seen = detections.select(*STEP, "object_id", "det_ord", *BOX, F.lit(None).alias("__s"), F.lit(1).alias("__seen"))
+    state = states
+    for key in (*STEP, "object_id"):
+        state = state.where(F.col(key).isNotNull())
+    none = [F.lit(None).cast(detections.schema[c].dataType).alias(c) for c in ("det_ord", *BOX)]
+    state = state.select(*STEP, "object_id", *none, _state().alias("__s"), F.lit(None).alias("__seen"))
+    return (
+        seen.unionByName(state)
+        .repartition(*STEP)
+        .groupBy(*STEP, "object_id")
+        .agg(
+            F.min("det_ord").alias("det_ord"),
+            *[F.max_by(b, "det_ord").alias(b) for b in BOX],
+            F.count("__seen").alias("__seen"),
+            # One, unless rows of the state log are repeated.
+            F.collect_list("__s").alias("__states"),
+        )
+        .where(F.col("__seen") > 0)
+        .select(*STEP, "object_id", "det_ord", *BOX, F.explode_outer("__states").alias("__state"))
+    )
+
+
 def local_position(params: Params = DEFAULTS) -> Column:
     return G.world_to_local(point("cam"), F.col("pitch_deg"), F.col("yaw_deg"), point("pos"))
 
@@ -98,9 +131,11 @@ def visible_objects(
     params: Params = DEFAULTS,
 ) -> DataFrame:
     """Every detected object with its camera-frame position, pixel, bearings and box."""
-    posed = resolve_pose(unique_detections(detections), states, objects)
     camera = steps.select(*STEP, "pos", "cam_x", "cam_y", "cam_z", "pitch_deg", "yaw_deg")
-    placed = posed.join(camera, STEP).withColumn("__local", local_position(params))
+    # The camera comes first, while the rows still lie by step.
+    shot = _with_states(detections, states).join(camera, STEP)
+    columns = [*STEP, "object_id", "det_ord", *BOX, *camera.columns[2:]]
+    placed = _posed(shot, objects, columns).withColumn("__local", local_position(params))
     local = F.col("__local")
     placed = placed.withColumns(
         {

@@ -16,14 +16,14 @@ and takes both from that one shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
-_BLK = "__block"
+_BLK = BLOCK_COLUMN = "__block"
 _ROWS = "__rows"
 
 
@@ -144,11 +144,13 @@ def with_ordered(
     block: Column,
     ops: Mapping[str, Op],
     once: bool = False,
+    dealt: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add one column per entry of ``ops``; ``order`` must be unique within ``keys``.
 
     ``once`` reads the input a single time.  It needs every column of ``df`` to be used later on: a
-    column dropped from one of the two readings would make them different shuffles.
+    column dropped from one of the two readings would make them different shuffles.  Then ``dealt`` may choose
+    among the rows of a block, which lie together by the keys and ``BLOCK_COLUMN``.
     """
     keys, order = list(keys), list(order)
     df = df.withColumn(_BLK, block)
@@ -158,6 +160,7 @@ def with_ordered(
         for key in [*keys, _BLK]:
             df = df.where(F.col(key).isNotNull())
         df = df.repartition(*keys, _BLK)
+        df = dealt(df) if dealt else df
     carries = {name: f"__carry_{i}" for i, name in enumerate(ops)}
     parts = [_summary(op, by).alias(carries[name]) for name, op in ops.items()]
     if once:

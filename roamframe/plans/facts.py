@@ -134,17 +134,29 @@ def _views(*views: str | Column) -> Column:
 def with_images(facts: DataFrame, steps: DataFrame) -> DataFrame:
     """Facts with ``image_paths`` in place of ``views``; a step that is not in the log has no image.
 
-    One lookup for the facts of all planners: each fact is dealt to its views, and put together again.
+    One lookup for the facts of all planners: the facts are stored, only the steps of their views are looked up, and
+    what is found is one short list per episode, as its facts are few. So the facts themselves move once.
     Survey facts show each image once.
     """
     columns = [c for c in facts.columns if c != "views"]
-    asked = facts.select(
-        "episode_id", "construct", "rank", F.struct(*columns).alias("fact"), F.posexplode_outer("views").alias("i", "view")
+    facts = saved(facts, "picked")
+    asked = facts.select("episode_id", F.explode("views.step").alias("step")).distinct()
+    looked = asked.join(steps.select(*STEP, "image_path"), STEP).groupBy("episode_id").agg(
+        F.collect_list(F.struct("step", "image_path")).alias("looked")
     )
-    asked = asked.withColumn("step", F.col("view.step"))
-    looked = asked.join(steps.select(*STEP, "image_path"), STEP, "left")
-    image = F.struct("i", F.coalesce("view.image", "image_path").alias("image"))
-    whole = looked.groupBy("episode_id", "construct", "rank").agg(
+    known = facts.repartition("episode_id").join(looked, "episode_id", "left").select(
+        "episode_id",
+        "construct",
+        "rank",
+        F.struct(*columns).alias("fact"),
+        "looked",
+        F.posexplode_outer("views").alias("i", "view"),
+    )
+    found = F.filter("looked", lambda v: v["step"] == F.col("view.step"))
+    # A step that is logged twice counts twice.
+    known = known.withColumn("image", F.explode_outer(F.transform(found, lambda v: v["image_path"])))
+    image = F.struct("i", F.coalesce("view.image", "image").alias("image"))
+    whole = known.groupBy("episode_id", "construct", "rank").agg(
         F.first("fact").alias("fact"), F.sort_array(F.collect_list(image)).alias("images")
     )
     shown = F.transform("images", lambda v: v["image"])
