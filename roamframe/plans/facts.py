@@ -139,7 +139,7 @@ def with_images(facts: DataFrame, steps: DataFrame) -> DataFrame:
     Survey facts show each image once.
     """
     columns = [c for c in facts.columns if c != "views"]
-    facts = saved(facts, "picked")
+    facts = saved(facts.drop("image_paths"), "picked")
     asked = facts.select("episode_id", F.explode("views.step").alias("step")).distinct()
     looked = asked.join(steps.select(*STEP, "image_path"), STEP).groupBy("episode_id").agg(
         F.collect_list(F.struct("step", "image_path")).alias("looked")
@@ -148,7 +148,7 @@ def with_images(facts: DataFrame, steps: DataFrame) -> DataFrame:
         "episode_id",
         "construct",
         "rank",
-        F.struct(*columns).alias("fact"),
+        F.struct(*[c for c in columns if c != "image_paths"]).alias("fact"),
         "looked",
         F.posexplode_outer("views").alias("i", "view"),
     )
