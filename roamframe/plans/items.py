@@ -26,8 +26,11 @@ from roamframe.operators.memory import non_visible_objects, remember
 from roamframe.operators.poses import STEP, point
 from roamframe.params import DEFAULTS, Params
 from roamframe.plans.tables import EpisodeTables
+from roamframe.storage import saved
 
 MENTIONED = 4
+# What is read of a step that a question describes.
+CONTEXT = (*STEP, "cam_x", "cam_y", "cam_z", "pitch_deg", "yaw_deg", "region_id", "region_type")
 EMPTY_PREAMBLE = "You observe several objects in the environment."
 
 
@@ -57,20 +60,25 @@ def limit_nonvisible(memory: DataFrame, n: int = MENTIONED) -> DataFrame:
 
 def question_context(facts: DataFrame, t: EpisodeTables, params: Params = DEFAULTS) -> DataFrame:
     """Facts with what is seen and remembered at the step their question describes."""
-    wanted = facts.withColumn("__at", F.coalesce("encoding_step", "query_step"))
+    facts = facts.withColumn("__at", F.coalesce("encoding_step", "query_step"))
+    # Facts are wide and ask for few steps, so the steps are found and described first, and the facts move once.
+    wanted = facts.select("episode_id", "__at").distinct()
     logged = t.steps.select("episode_id", F.col("step").alias("__at"), F.col("step").alias("__hit"))
     start = t.steps.groupBy("episode_id").agg(F.min("step").alias("__start"))
-    at = (
+    at = saved(
         wanted.join(logged, ["episode_id", "__at"], "left")
         .join(start, "episode_id", "left")
-        .withColumn("context_step", F.coalesce("__hit", "__start"))
-        .drop("__at", "__hit", "__start")
+        .select("episode_id", "__at", F.coalesce("__hit", "__start").alias("context_step")),
+        "context_steps",
     )
-    steps = t.steps.join(
-        at.select("episode_id", F.col("context_step").alias("step")).distinct(), STEP, "left_semi"
+    steps = saved(
+        t.steps.join(
+            at.select("episode_id", F.col("context_step").alias("step")).distinct(), STEP, "left_semi"
+        ).select(*[c for c in CONTEXT if c in t.steps.columns]),
+        "described",
     )
     relation = G.direction_triplet(point("local"), params)
-    seen = (
+    seen = saved(
         t.visible.join(steps.select(*STEP), STEP, "left_semi")
         .withColumn("__r", relation)
         .select(
@@ -88,12 +96,12 @@ def question_context(facts: DataFrame, t: EpisodeTables, params: Params = DEFAUL
         )
         # A step is one camera frame with each object once, so the list is one frame long.
         .groupBy(*STEP)
-        .agg(F.sort_array(F.collect_list("o")).alias("seen"))
+        .agg(F.sort_array(F.collect_list("o")).alias("seen")),
+        "seen",
     )
     # What is remembered at a step are the objects first seen until then, in that order.  The first few
     # out of view are among the first few and as many more as a frame shows, so only these are expanded.
-    shown = t.visible.join(steps.select(*STEP), STEP, "left_semi").groupBy(*STEP).count()
-    most = shown.groupBy("episode_id").agg(F.max("count").alias("__shown"))
+    most = seen.groupBy("episode_id").agg(F.max(F.size("seen")).alias("__shown"))
     order = Window.partitionBy("episode_id").orderBy("__first", "object_id")
     early = (
         t.spans.groupBy("episode_id", "object_id")
@@ -117,8 +125,19 @@ def question_context(facts: DataFrame, t: EpisodeTables, params: Params = DEFAUL
     )
     rooms = steps.select(*STEP, "region_id", "region_type")
     context = rooms.join(seen, STEP, "left").join(gone, STEP, "left")
-    return at.join(
-        context.withColumnRenamed("step", "context_step"), ["episode_id", "context_step"], "left"
+    # An episode's facts are few, so what they ask for is one short list.
+    found = at.join(context.withColumnRenamed("step", "context_step"), ["episode_id", "context_step"], "left")
+    values = [c for c in found.columns if c not in ("episode_id", "context_step", "__at")]
+    listed = found.groupBy("episode_id").agg(
+        F.collect_list(F.struct("__at", "context_step", *values)).alias("__found")
+    )
+    own = F.filter("__found", lambda f: f["__at"].eqNullSafe(F.col("__at")))
+    # A step that is logged twice counts twice.
+    return (
+        facts.join(listed, "episode_id", "left")
+        .withColumn("__own", F.explode_outer(own))
+        .select("episode_id", "__own.context_step", *[c for c in facts.columns if c not in ("episode_id", "__at")],
+                *[F.col(f"__own.{c}") for c in values])
     )
 
 

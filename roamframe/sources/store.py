@@ -15,19 +15,21 @@ from __future__ import annotations
 import hashlib
 import json as json_text
 import uuid
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from roamframe.operators.aggregates import step_counts
-from roamframe.operators.assemble import assemble_steps, sort_steps
+from roamframe.operators.assemble import assemble_episodes
 from roamframe.storage import cut, drop_aside, exists, moved, names_in, publish, published
 
 TABLES = ("episodes", "steps", "step_objects", "edges", "route_landmarks", "route_turns")
 # Pick the number of buckets so that one of them can be read in a reasonable time.
 BUCKETS = 64
+# So many asked ids are sent to all tasks; more of them are met in a shuffle.
+FEW_IDS = 10_000
 
 
 def bucket_of(episode_id, buckets: int = BUCKETS):
@@ -109,10 +111,17 @@ def of_episodes(df: DataFrame, ids: DataFrame, buckets: int = BUCKETS) -> DataFr
     On a stored table only the buckets of these episodes are read.  There are at most ``buckets``
     numbers to look up, however many ids.
     """
-    if "bucket" in df.columns:
-        wanted = ids.select(bucket_of(F.col("episode_id"), buckets).alias("b")).distinct()
-        df = df.where(F.col("bucket").isin([r.b for r in wanted.collect()]))
-    return df.join(ids, ids.columns, "left_semi")
+    return _in_buckets(df, _buckets_of(ids, buckets) if "bucket" in df.columns else []).join(
+        ids, ids.columns, "left_semi"
+    )
+
+
+def _buckets_of(ids: DataFrame, buckets: int) -> list[int]:
+    return [r.b for r in ids.select(bucket_of(F.col("episode_id"), buckets).alias("b")).distinct().collect()]
+
+
+def _in_buckets(df: DataFrame, wanted: list[int]) -> DataFrame:
+    return df.where(F.col("bucket").isin(wanted)) if "bucket" in df.columns else df
 
 
 def _evolved(noted: dict | None, schema: StructType, name: str) -> StructType:
@@ -129,11 +138,15 @@ def _evolved(noted: dict | None, schema: StructType, name: str) -> StructType:
 
 
 def _write(df: DataFrame, target: str, buckets: int) -> None:
+    # Rebalancing cuts a bucket that holds a huge episode into several tasks and files.
+    df = df.withColumn("bucket", bucket_of(F.col("episode_id"), buckets))
+    _write_dealt(df.hint("rebalance", F.col("bucket")), target, buckets)
+
+
+def _write_dealt(df: DataFrame, target: str, buckets: int) -> None:
     df = df.withColumn("bucket", bucket_of(F.col("episode_id"), buckets))
     order = [c for c in ("episode_id", "step") if c in df.columns]
-    # Rebalancing cuts a bucket that holds a huge episode into several tasks and files.
-    spread = df.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *order)
-    spread.write.partitionBy("bucket").parquet(target)
+    df.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(target)
 
 
 def _commit(spark: SparkSession, path: str, number: int, manifest: dict) -> None:
@@ -142,12 +155,20 @@ def _commit(spark: SparkSession, path: str, number: int, manifest: dict) -> None
 
 
 def write_episodes(
-    tables: Mapping[str, DataFrame], path: str, replace: bool = True, buckets: int = BUCKETS
+    tables: Mapping[str, DataFrame],
+    path: str,
+    replace: bool = True,
+    buckets: int = BUCKETS,
+    dealt: Collection[str] = (),
 ) -> int:
     """Write the tables of a set of episodes; ids already stored are replaced, or refused.
 
     All tables change together, when the manifest of the new version appears; its number is returned. A table that is not given keeps
     its rows. Of two writers that start from the same version, the later one gets an error.
+
+    ``dealt`` names tables whose tasks are even already, such as those of memory rows, which come out of a join by blocks
+    of steps and are many times what is shuffled for it.  They are written by the tasks that make them, a file per task
+    and bucket; :func:`compact` makes fewer of them.
     """
     episodes = tables["episodes"]
     spark = episodes.sparkSession
@@ -177,7 +198,8 @@ def write_episodes(
         about = manifest["tables"].get(name)
         schema = _evolved(about, df.schema, name)
         about = about or {"runs": [], "replaced": []}
-        _write(df, f"{path}/{name}/{run}", buckets)
+        write = _write_dealt if name in dealt else _write
+        write(df, f"{path}/{name}/{run}", buckets)
         manifest["tables"][name] = {
             "schema": schema.jsonValue(),
             "runs": [*about["runs"], run],
@@ -250,23 +272,26 @@ def load_episode(
     ``ids`` selects episodes; one that is not stored is an error.  Of stored tables only the buckets
     of these episodes are read.
     """
-    episodes = tables["episodes"]
-    picked = dict(tables)
+    picked = {name: tables[name] for name in ("episodes", "steps", "step_objects", "edges")}
     if ids is not None:
         ids = ids.select("episode_id")
-        known = of_episodes(episodes, ids, buckets)
-        unknown = ids.join(known, "episode_id", "left_anti").take(1)
+        asked = _buckets_of(ids, buckets)
+        picked = {name: _in_buckets(df, asked) for name, df in picked.items()}
+        unknown = ids.join(picked["episodes"], "episode_id", "left_anti").take(1)
         if unknown:
             raise KeyError(f"unknown episode_id: {unknown[0].episode_id}")
-        picked = {name: of_episodes(df, ids, buckets) for name, df in tables.items()}
-    steps = sort_steps(
-        assemble_steps(picked["steps"], picked["step_objects"], picked["edges"])
-    )
-    return picked["episodes"].join(steps, "episode_id", "left")
-
-
-def export_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+        # Objects and edges of steps that are not asked for are in no result. So they need not be picked one by one,
+        # which would shuffle them once more, unless the ids are few.
+        few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+        chosen = F.broadcast(ids) if few else ids
+        for name in picked if few else ("episodes", "steps"):
+            picked[name] = picked[name].join(chosen, "episode_id", "left_semi")
+    return assemble_episodes(*picked.values())
+
+
+def export_json(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    """JSON lines; their keys are most of the text, so they are packed unless ``compression`` says ``none``."""
+    df.write.mode("overwrite").json(path, compression=compression)
 
 
 def read_episode(

@@ -4,8 +4,10 @@ import pytest
 
 from helpers import step, tables
 
-from roamframe.operators import memory, poses
+from roamframe.operators import assemble, edges, memory, poses
 from roamframe.plans import checks, facts, items
+from roamframe.sources import store
+from roamframe.storage import saved
 
 
 @pytest.fixture
@@ -83,3 +85,76 @@ def test_items_are_drafted_once_to_be_validated(t, spark):
     assert "distractor_seeds" not in text and "options_pool" not in text
     assert checked.count() == drafted.where("answer is not null").count()
     assert checked.where("not agrees").count() == 0
+
+
+def _nested_sides(t):
+    gone = memory.non_visible_objects(memory.remember(t.spans, t.steps))
+    objects = saved(memory.union_objects(t.visible, gone), "objects")
+    related = saved(edges.union_edges(edges.edges_egocentric(t.visible), edges.edges_inferred(gone)), "edges")
+    return objects, related
+
+
+def test_nested_steps_are_dealt_once(t, large):
+    objects, related = _nested_sides(t)
+    nested = assemble.assemble_steps(t.steps, objects, related)
+    assert exchanges(nested) == 1
+    got = {(r.episode_id, r.step): r for r in nested.collect()}
+    assert len(got) == 10
+    assert list(got["a", 0].visible_objects) == ["Cup|1", "Mug|2"]
+    assert [e.target for e in got["a", 1].edges_inferred] == ["Cup|1", "Mug|2"] and got["a", 1].edges_egocentric == []
+    # A step with neither objects nor edges.
+    assert got["b", 0].visible_objects is None and got["b", 0].edges_inferred is None
+
+
+def test_episodes_are_loaded_with_one_shuffle_of_their_rows(t, large, tmp_path, monkeypatch):
+    objects, related = _nested_sides(t)
+    others = t.episodes.selectExpr("'none' as episode_id", "scene_id", "environment").limit(1)
+    tables = {
+        "episodes": t.episodes.unionByName(others), "steps": t.steps, "step_objects": objects, "edges": related,
+    }
+    path = str(tmp_path / "store")
+    store.write_episodes(tables, path, buckets=2, dealt=("step_objects", "edges"))
+    back = {n: store.read_table(large, path, n) for n in tables}
+    assert back["edges"].count() == related.count() and back["step_objects"].count() == objects.count()
+    ids = large.createDataFrame([("a",), ("none",), ("a",)], "episode_id string")
+    for few in (10, 0):
+        monkeypatch.setattr(store, "FEW_IDS", few)
+        nested = store.load_episode(back, ids, 2)
+        plan = nested._jdf.queryExecution().executedPlan().toString()
+        # All rows cross one shuffle, by part; no nested step is shuffled again to gather or join its episode.
+        assert plan.index("Exchange hashpartitioning") > plan.index("collect_list(e#")
+        got = {r.episode_id: r for r in nested.collect()}
+        assert set(got) == {"a", "none"}
+        assert got["none"].steps is None and got["none"].part is None and got["none"].scene_id == "house_1"
+        assert [s.step for s in got["a"].steps] == list(range(6))
+        assert list(got["a"].steps[3].non_visible_objects) == ["Mug|2"]
+    # An episode that is stored twice is loaded twice.
+    twice = store.load_episode({**back, "episodes": back["episodes"].unionByName(back["episodes"])}, ids)
+    assert sorted((r.episode_id, len(r.steps or [])) for r in twice.collect()) == [("a", 6)] * 2 + [("none", 0)] * 2
+
+
+def test_dealt_tables_are_written_without_a_shuffle(t, large, tmp_path):
+    """Rows of one task are one file per bucket; a shuffle would have gathered the buckets."""
+    steps = saved(t.steps.repartition(3), "steps")
+    store.write_episodes(
+        {"episodes": t.episodes, "steps": steps}, str(tmp_path / "s"), buckets=1, dealt=("steps",)
+    )
+    assert len(list((tmp_path / "s" / "steps").rglob("*.parquet"))) == 3
+    assert store.read_table(large, str(tmp_path / "s"), "steps").count() == 10
+
+
+def test_json_exports_are_packed(t, spark, tmp_path):
+    out = tmp_path / "json"
+    store.export_json(t.steps, str(out))
+    assert all(f.name.endswith(".json.gz") for f in out.glob("part-*"))
+    back = store.read_episode(spark, json=str(out), schema=t.steps.schema)
+    assert sorted(back.collect()) == sorted(t.steps.collect())
+
+
+def test_facts_move_once_to_what_their_questions_describe(t, large):
+    planned = saved(facts.plan_all(t), "facts")
+    drafted = items.draft_items(planned, t)
+    plan = drafted._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # The answerable and the other facts each read the facts once; objects in view are not read again.
+    assert sum("options_pool" in x and "Relation" in x for x in plan) == 2
+    assert sum("Relation" in x and "cmin" in x for x in plan) == 0
